@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import schema_drift
+
+
+def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{where}/{table}.parquet")
+
+
+def _blobs(spark: SparkSession, where: str) -> DataFrame:
+    fences = schema_drift.blobs_of(_read(spark, where, "streaming_templates"), "streaming_templates", "template_blob")
+    return fences.unionByName(schema_drift.blobs_of(_read(spark, where, "templates"), "templates", "extractor_blob"))
+
+
+def p4_found(spark: SparkSession, where: str) -> DataFrame:
+    return schema_drift.schema_changes(_blobs(spark, where))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
