@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, markup, residue
+from . import furniture, lookalikes, markup, residue
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -25,8 +25,20 @@ def p3_found(spark: SparkSession, where: str) -> DataFrame:
     return furniture.furniture_lines(_read(spark, where, "wcxb_samples"), "file_id", "html", "main_content_text").withColumnRenamed("record", "file_id")
 
 
+def p5_found(spark: SparkSession, where: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(_read(spark, where, "templates"))
+
+
+def p5_groups(spark: SparkSession, where: str) -> DataFrame:
+    return lookalikes.lookalike_groups(p5_found(spark, where))
+
+
+def p5_wandering(spark: SparkSession, where: str) -> DataFrame:
+    return lookalikes.wandering_observations(_read(spark, where, "template_observations"), _read(spark, where, "templates"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering}
 
 
 def oracle_sql() -> dict[str, str]:
