@@ -441,3 +441,36 @@ def lines_of(body: Node, every: bool = True) -> list[Line]:
     if every:
         return out
     return [x for x in out if not any(d.tag in BLOCKS for d in x.node.iter() if d is not x.node)]
+
+
+def leaf_blocks(body: Node) -> list[str]:
+    """Squeezed visible text of every block-level element below ``body`` that holds no other, in order.
+
+    Inline tags are dropped, entities decoded; elements that are never seen give nothing.
+    """
+    out: list[str] = []
+
+    def walk(node: Node, parts: list[str]) -> bool:
+        """Whether ``node`` holds a block; its own inline text goes to ``parts``."""
+        holds = False
+        for c in node.children:
+            if type(c) is str:
+                parts.append(c)
+            elif c.tag in UNSEEN or "hidden" in c.attrs:
+                continue
+            elif c.tag == "br":
+                parts.append(" ")
+            elif c.tag in BLOCKS:
+                holds = True
+                own: list[str] = []
+                at = len(out)
+                if not walk(c, own):
+                    text = squeeze("".join(own))
+                    if text:
+                        out.insert(at, text)
+            elif walk(c, parts):
+                holds = True
+        return holds
+
+    walk(body, [])
+    return out
