@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, lookalikes, markup, residue
+from . import furniture, lookalikes, markup, residue, sitelines
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -37,8 +37,16 @@ def p5_wandering(spark: SparkSession, where: str) -> DataFrame:
     return lookalikes.wandering_observations(_read(spark, where, "template_observations"), _read(spark, where, "templates"))
 
 
+def p6_found(spark: SparkSession, where: str) -> DataFrame:
+    return sitelines.repeated_lines(_read(spark, where, "fixtures"), "id", "host", "html").select("id", "line")
+
+
+def p6_clean(spark: SparkSession, where: str) -> DataFrame:
+    return sitelines.without_repeated(_read(spark, where, "fixtures"), "id", "host", "html")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean}
 
 
 def oracle_sql() -> dict[str, str]:
