@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, lookalikes, markup, residue, sitelines
+from . import furniture, leakage, lookalikes, markup, residue, sitelines
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -45,8 +45,16 @@ def p6_clean(spark: SparkSession, where: str) -> DataFrame:
     return sitelines.without_repeated(_read(spark, where, "fixtures"), "id", "host", "html")
 
 
+def p7_found(spark: SparkSession, where: str) -> DataFrame:
+    return leakage.found(_read(spark, where, "documents"), _read(spark, where, "eval_items"))
+
+
+def p7_overlaps(spark: SparkSession, where: str) -> DataFrame:
+    return leakage.leaked(_read(spark, where, "documents"), _read(spark, where, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
 
 
 def oracle_sql() -> dict[str, str]:
