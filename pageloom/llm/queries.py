@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import furniture, leakage, lookalikes, markup, residue, sitelines
+from . import furniture, leakage, lookalikes, markup, mixing, residue, sentences, sitelines
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
@@ -53,8 +53,20 @@ def p7_overlaps(spark: SparkSession, where: str) -> DataFrame:
     return leakage.leaked(_read(spark, where, "documents"), _read(spark, where, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, where: str) -> DataFrame:
+    return mixing.mix(_read(spark, where, "documents"), _read(spark, where, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, where: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, where), _read(spark, where, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, where: str) -> DataFrame:
+    return sentences.sentence_units(_read(spark, where, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
