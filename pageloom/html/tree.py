@@ -58,12 +58,24 @@ _HEAD_TAGS = frozenset("base link meta title style script template noscript".spl
 class Node:
     """An element. ``children`` holds elements and strings (entities decoded)."""
 
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("_attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
+    def __init__(self, tag: str, attrs: "dict[str, str] | str", parent: "Node | None"):
+        self.tag, self._attrs, self.parent = tag, attrs, parent
         self.children: list = []
 
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Attributes by lower-case name; the source is only taken apart when they are asked for."""
+        if type(self._attrs) is str:
+            self._attrs = _attributes(self._attrs)
+        return self._attrs
+
+    @property
+    def hidden(self) -> bool:
+        raw = self._attrs
+        return bool(raw) and "hidden" in (raw.lower() if type(raw) is str else raw) and "hidden" in self.attrs
+
     def iter(self) -> Iterator["Node"]:
         """This element and its descendants, in document order."""
         stack = [self]
@@ -164,7 +176,7 @@ def parse(source: str | None) -> Node:
 
     def reopen() -> None:
         for old in lost:
-            node = Node(old.tag, old.attrs, stack[-1])
+            node = Node(old.tag, old._attrs, stack[-1])
             stack[-1].children.append(node)
             stack.append(node)
         lost.clear()
@@ -195,10 +207,9 @@ def parse(source: str | None) -> Node:
         if s > pos:
             add_text(source[pos:s])
         pos = m.end()
-        tag = m["start"]
+        end_tag, tag, raw = m.groups()
         if tag is not None:
             tag = tag.lower()
-            raw = m["attrs"]
             if tag in ("html", "body"):
                 node = root if tag == "html" else body
                 for k, v in _attributes(raw).items():
@@ -211,7 +222,7 @@ def parse(source: str | None) -> Node:
                 continue
             if not in_body:
                 if tag in _HEAD_TAGS:
-                    node = Node(tag, _attributes(raw), head)
+                    node = Node(tag, raw, head)
                     head.children.append(node)
                     if tag in RAW or tag in ("template", "noscript"):
                         end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
@@ -262,7 +273,7 @@ def parse(source: str | None) -> Node:
                 stack.append(row_group)
             if lost and tag not in BLOCKS and tag not in ("script", "style", "template"):
                 reopen()
-            node = Node(tag, _attributes(raw) if raw else {}, stack[-1])
+            node = Node(tag, raw, stack[-1])
             if stack[-1].tag in _TABLE_PARENTS and tag not in _TABLE_CHILDREN:
                 foster(node)
             else:
@@ -280,7 +291,7 @@ def parse(source: str | None) -> Node:
             if tag == "pre" and source[pos : pos + 1] == "\n":
                 pos += 1
             continue
-        tag = m["end"]
+        tag = end_tag
         if tag is None:  # comment, doctype, processing instruction
             continue
         tag = tag.lower()
@@ -422,7 +433,7 @@ def lines_of(body: Node, every: bool = True) -> list[Line]:
                 parts.append((c, linked, coded))
                 continue
             tag = c.tag
-            if tag in UNSEEN or "hidden" in c.attrs:
+            if tag in UNSEEN or c.hidden:
                 continue
             if tag == "br":
                 parts.append(("\n", linked, coded))
@@ -456,7 +467,7 @@ def leaf_blocks(body: Node) -> list[str]:
         for c in node.children:
             if type(c) is str:
                 parts.append(c)
-            elif c.tag in UNSEEN or "hidden" in c.attrs:
+            elif c.tag in UNSEEN or c.hidden:
                 continue
             elif c.tag == "br":
                 parts.append(" ")
