@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def _folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, set up where the session names none."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder: for wide rows that several jobs read again."""
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder of the session, without its lineage.
 
     The folder is the one in ``spark.checkpoint.dir``.  Only where that is unset - local
     runs and tests - a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
+    _folder(df)
     return df.checkpoint(eager=True)
