@@ -52,6 +52,7 @@ _SCOPE = frozenset("table td th caption body html button template".split())
 MAX_DEPTH = 400
 _TABLE_PARENTS = frozenset("table tbody thead tfoot tr".split())
 _TABLE_CHILDREN = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
+_TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 _HEAD_TAGS = frozenset("base link meta title style script template noscript".split())
 
 
@@ -232,6 +233,8 @@ def parse(source: str | None) -> Node:
                         pos = end.end() if end else n
                     continue
                 in_body, in_head = True, False
+            if tag in _TABLE_PARTS and not any(x.tag == "table" for x in stack):
+                continue  # parts of a table outside one are no elements
             if tag in _CLOSES_P:
                 close_p()
                 if tag in _HEADINGS and stack[-1].tag in _HEADINGS:

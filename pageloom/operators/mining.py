@@ -76,7 +76,7 @@ def stable_chains(observations: DataFrame, presence: float = PRESENCE, least: in
     pairs = lambda f: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("feature") == f, F.struct("name", "value")))))
     claim = F.struct(single("tag").alias("tag"), single("id").alias("id"), many("class").alias("classes"), pairs("data").alias("data"), pairs("aria").alias("aria"), single("role").alias("role"))
     by_pos = kept.groupBy(*CLUSTER, "total", "pos").agg(claim.alias("claim")).where("claim.tag IS NOT NULL")
-    chain = by_pos.groupBy(*CLUSTER, "total").agg(F.sort_array(F.collect_list(F.struct("pos", "claim"))).alias("list"))
+    chain = by_pos.groupBy(*CLUSTER, "total").agg(F.array_sort(F.collect_list(F.struct("pos", "claim")), lambda x, y: x["pos"] - y["pos"]).alias("list"))
     run = F.filter("list", lambda x, i: x["pos"] == i)
     return chain.select(*CLUSTER, F.col("total").alias("n"), F.reverse(F.transform(run, lambda x: x["claim"])).alias("claims")).where(F.size("claims") > 0)
 
@@ -99,7 +99,7 @@ def _plain(chain) -> list[dict]:
 def _chains(observations: DataFrame) -> DataFrame:
     """Equal chains of a cluster as one row with a count: distances are between different chains only."""
     key = F.to_json("claims")
-    return observations.groupBy(*CLUSTER, key.alias("chain")).agg(F.count("*").alias("copies"), F.min(F.struct("obs_id", "claims")).alias("first")).select(*CLUSTER, "chain", "copies", F.col("first.obs_id").alias("obs_id"), F.col("first.claims").alias("claims"))
+    return observations.groupBy(*CLUSTER, key.alias("chain")).agg(F.count("*").alias("copies"), F.min_by(F.struct("obs_id", "claims"), "obs_id").alias("first")).select(*CLUSTER, "chain", "copies", F.col("first.obs_id").alias("obs_id"), F.col("first.claims").alias("claims"))
 
 
 def medoids(observations: DataFrame, least: int = LEAST) -> DataFrame:
@@ -132,7 +132,7 @@ def candidates(observations: DataFrame, existing: DataFrame | None = None) -> Da
     leaf = F.element_at("claims", -1)
     chains = stable_chains(recent).withColumn("target", F.xxhash64(leaf["tag"], F.coalesce(leaf["id"], F.lit(""))))
     out = chains.join(cluster_hosts(recent).drop("n"), CLUSTER).select("host", "bucket", "role", "claims", "target", F.col("n").alias("source_count"))
-    out = out.groupBy("host", "role", "target").agg(F.max_by(F.struct("bucket", "claims", "source_count"), F.struct("source_count", -F.col("bucket"))).alias("c")).select("host", "c.bucket", "role", "c.claims", "target", "c.source_count")
+    out = out.groupBy("host", "role", "target").agg(F.max_by(F.struct("bucket", "claims", "source_count"), F.struct(F.col("source_count"), -F.col("bucket"))).alias("c")).select("host", "c.bucket", "role", "c.claims", "target", "c.source_count")
     if existing is not None:
         out = out.join(existing.select("host", "role", "target").distinct(), ["host", "role", "target"], "left_anti")
     return out.withColumn("candidate_id", F.substring(F.sha2(F.concat_ws("|", "host", "role", F.col("target").cast("string")), 256), 1, 32))

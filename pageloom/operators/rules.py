@@ -142,8 +142,9 @@ def chain_css(chain: list[dict]) -> str:
 
 
 def css_of_xpath(xpath: str) -> str:
-    """An element path without positions, as child combinators."""
-    return " > ".join(step.split("[")[0].lower() for step in xpath.strip("/").split("/"))
+    """An element path without positions, as child combinators, from body down."""
+    steps = [step.split("[")[0].lower() for step in xpath.strip("/").split("/")]
+    return " > ".join(steps[1:] if steps[0] == "html" and len(steps) > 1 else steps)
 
 
 def position_cost(a: dict | None, b: dict | None) -> float:
