@@ -102,7 +102,7 @@ def _rows(ids: np.ndarray, tokens: np.ndarray, counts: np.ndarray, masks: tuple[
         owners.append(owner[at])
         contexts.extend(context.view(np.int64).tolist())
     if not keys:
-        return pd.DataFrame({"key": np.zeros(0, np.int64), "id": ids[:0], "context": []})
+        return pd.DataFrame({"key": np.zeros(0, np.int64), "id": ids[:0], "context": pd.Series([], dtype=object)})
     return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "id": ids[np.concatenate(owners)], "context": contexts})
 
 

@@ -122,7 +122,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, to
     rated = counted.join(plan, "source").withColumn("rate", F.least(F.col("max_repeats").cast("double"), F.exp(F.least(F.col("lam") * F.col("n_tokens") / F.col("scale"), F.lit(700.0)))))
     rated = rated.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets"))).withColumn("turn", F.xxhash64("doc_id", "mix_id"))
     # Systematic rounding: a document gets one copy for every whole number its running sum of rates passes.
-    along = Window.partitionBy("mix_id", "source", "bucket").orderBy("turn", "doc_id")
+    along = Window.partitionBy("mix_id", "source", "bucket").orderBy("n_tokens", "turn", "doc_id")
     start = F.pmod(F.xxhash64("mix_id", "source", "bucket"), F.lit(1000)) / 1000.0
     upto = F.sum("rate").over(along.rowsBetween(Window.unboundedPreceding, 0)) + start
     copies = F.least(F.floor(upto + 1e-9) - F.floor(upto - F.col("rate") + 1e-9), F.col("max_repeats"))

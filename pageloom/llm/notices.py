@@ -62,7 +62,7 @@ _FILLER = re.compile(
     re.I,
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[^.!?。！？।]+[.!?。！？।]+")
+_STOPS = re.compile(r"[.!?。！？।]+")
 
 
 def is_notice(text: str) -> bool:
@@ -75,7 +75,7 @@ def is_filler(text: str) -> bool:
     words = _WORD.findall(text.lower())
     if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.6 * len(words):
         return True
-    parts = [x.strip().lower() for x in _SENTENCE.findall(text)]
+    parts = [x.strip().lower() for x in _STOPS.split(text) if x.strip()]
     if len(parts) >= 3 and len(set(parts)) <= len(parts) // 3:
         return True
     return len(text) < 60 and bool(_FILLER.search(text)) and len(parts) <= 1 and len(words) <= 6

@@ -7,7 +7,7 @@ trusted labels over near-duplicates:
 
 * units with the same masked text are collapsed into one class (pre-aggregated, so a
   text copied a million times is one row);
-* every class goes into partitioned SimHash tables: the 64 bits are cut into
+* every class goes, by name and signature, into partitioned SimHash tables: the 64 bits are cut into
   ``PARTS`` parts and each table's key is the table's pair of parts, so that two
   signatures at Hamming distance ``HAMMING`` or less share a key in some table;
 * rounds of label propagation join only the classes labelled last (the frontier) with
@@ -37,7 +37,7 @@ from .notices import is_filler, is_notice
 from .placeholders import has_placeholder
 
 SHINGLE, SIMILARITY = 5, 0.8
-HAMMING, PARTS = 3, 5
+HAMMING, PARTS = 6, 8
 #: A page whose heaviest unit weighs less has no real content; a notice may have so much text besides.
 CONTENT, BESIDE = 420.0, 170.0
 _MASKS = [(re.compile(r"\b[A-Z]{2}-\d+\b"), "§"), (re.compile(r"\d+"), "#"), (re.compile(r"/[a-z]{2,12}\b"), "/§"), (re.compile(r"\s+"), " ")]
@@ -89,8 +89,10 @@ def units_of(source: str | None) -> list[tuple[str, bool]]:
     page = Page(source)
     site = site_name(page)
     shown = [x.outside_code() for x in page.lines]
-    if any(has_placeholder(x) for x in shown):
-        return [(mask(" ".join(shown), site), True)]
+    fields = [x for x in shown if has_placeholder(x)]
+    if fields:
+        # The unit is the lines with fields alone: what stands beside them may be real content, and says nothing of other pages.
+        return [(mask(" ".join(fields), site), True)]
     out: list[tuple[str, bool]] = []
     main = [x for x, k in zip(page.lines, page.main) if k]
     heavy = sum(weight(x) for x in main)
@@ -156,22 +158,18 @@ def find_residue(pages: DataFrame, key: str, html: str, hamming: int = HAMMING,
     units = cut(residue_units(pages.where(F.col(key).isNotNull()), key, html).withColumn("klass", F.xxhash64("text")))
     classes = units.groupBy("klass").agg(F.first("text").alias("text"), F.first("signature").alias("signature"), F.max("trusted").alias("trusted"))
     classes = cut(classes)
-    tables = classes.where(~F.col("trusted")).withColumn("k", F.explode(keys("signature"))).select("klass", "text", "signature", "k.tab", "k.bits")
+    # Tables hold names and signatures; texts are only fetched for candidates.
+    key_rows = lambda df, a, b: df.withColumn("k", F.explode(keys("signature"))).select(F.col("klass").alias(a), F.col("signature").alias(b), "k.tab", "k.bits")
+    tables = key_rows(classes.where(~F.col("trusted")), "klass", "signature")
+    texts = classes.select("klass", "text")
     labelled = classes.where("trusted").select("klass")
-    frontier = classes.where("trusted").select("klass", "text", "signature")
+    frontier = classes.where("trusted").select("klass", "signature")
     while True:
-        probes = frontier.withColumn("k", F.explode(keys("signature"))).select(F.col("text").alias("text0"), F.col("signature").alias("signature0"), "k.tab", "k.bits")
-        # One probe per (key, signature): copies were collapsed, and a frontier of alike texts shares keys.
-        near = (
-            tables.join(probes, ["tab", "bits"])
-            .where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature0"))) <= hamming)
-            .dropDuplicates(["klass", "text0"])
-            .where(jaccard("text", "text0") >= similarity)
-            .select("klass", "text", "signature")
-            .dropDuplicates(["klass"])
-            .join(labelled, "klass", "left_anti")
-        )
-        frontier = cut(near)
+        probes = key_rows(frontier, "from", "signature0")
+        close = tables.join(probes, ["tab", "bits"]).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature0"))) <= hamming).select("klass", "signature", "from").distinct()
+        close = close.join(labelled, "klass", "left_anti")
+        both = close.join(texts, "klass").join(texts.select(F.col("klass").alias("from"), F.col("text").alias("text0")), "from")
+        frontier = cut(both.where(jaccard("text", "text0") >= similarity).select("klass", "signature").distinct())
         if frontier.isEmpty():
             break
         labelled = labelled.unionByName(frontier.select("klass"))

@@ -69,7 +69,7 @@ def blocks(lines: DataFrame, kept: DataFrame, share: float = EDGE_SHARE) -> Data
 
     An edge stays when its support is at least ``share`` of the smaller support of its ends.
     """
-    follow = lines.select("site", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(lines) - 1, 1)), i -> named_struct('a', lines[i - 1], 'b', try_element_at(lines, i + 1)))"))).alias("e"))
+    follow = lines.select("site", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(lines) - 1, 1)), i -> named_struct('a', get(lines, i - 1), 'b', get(lines, i)))"))).alias("e"))
     edges = follow.where("e.a IS NOT NULL AND e.b IS NOT NULL AND e.a <> e.b").groupBy("site", "e.a", "e.b").agg(F.count("*").alias("weight")).where(F.col("weight") >= LEAST_PAGES)
     ends = kept.select("site", "line", "support")
     edges = edges.join(ends.select("site", F.col("line").alias("a"), F.col("support").alias("sa")), ["site", "a"]).join(ends.select("site", F.col("line").alias("b"), F.col("support").alias("sb")), ["site", "b"])
