@@ -8,7 +8,8 @@ their weight (109/128 for signatures; a cosine c leaves 1 - sqrt(1 - c^2) for ve
 One run of the join walks both sets down the same random tree: at every node each set
 chooses tokens whose hash, seeded by the path so far, lies under ``rate`` times the
 token's weight, and goes to one child per chosen token; sets with common tokens choose
-them together.  Nodes with few sets are brute-forced, larger ones are split further.
+them together.  Nodes with few sets are brute-forced, larger ones are split further; what has not
+fallen apart after DEEPEST levels is alike, and its pairs are made whole by a join.
 Runs are repeated until a pair at the threshold is missed with a probability of at most
 ``1 - recall``.  Candidates are verified exactly.
 
@@ -27,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, stored
 
 SLOTS, EQUAL_SLOTS, COSINE = 128, 109, 0.90
-RECALL, SHARED, SMALL, START, DEEPEST = 0.9999, 1.6, 32, 2, 24
+RECALL, SHARED, SMALL, START, DEEPEST, BITS = 0.999, 1.6, 128, 2, 6, 22
 
 
 def read_vector(blob: bytes | None) -> dict[str, float]:
@@ -102,33 +103,43 @@ def _descend(tokens: np.ndarray, weights: np.ndarray, owner: np.ndarray, path: n
     return (np.concatenate(owners), np.concatenate(paths)) if owners else (owner[:0], path[:0])
 
 
-def _plant(decode: Callable, rate: float, runs: int, depth: int):
-    """(id, data) -> (path, id): the first levels of all runs, without a shuffle."""
-    seeds = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _slots_set(numbers: np.ndarray) -> np.ndarray:
+    """A bit set of fixed size from slot numbers below 2 ** BITS."""
+    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    np.bitwise_or.at(bits, numbers >> 3, (1 << (numbers & 7)).astype(np.uint8))
+    return bits
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
-                tokens, weights = _padded([decode(x) for x in part["data"]])
-                owner = np.repeat(np.arange(len(part)), runs)
-                path = np.tile(seeds, len(part))
-                for _ in range(depth):
-                    owner, path = _descend(tokens, weights, owner, path, rate)
-                yield pd.DataFrame({"path": path.view(np.int64), "id": part["id"].to_numpy()[owner]})
 
-    return run
+def _in_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.astype(np.uint64) >> np.uint64(64 - BITS)
+    return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
 
+def _collected(slots: DataFrame) -> np.ndarray:
+    """The bit set of a ``slot`` column; at most 2 ** BITS numbers come to the driver, whatever the data."""
+    return _slots_set(np.array([r[0] for r in slots.distinct().collect()], dtype=np.int64))
 
-def _grow(decode: Callable, rate: float):
-    """(path, id, data) -> (path, id): one level more."""
+
+def _plant(decode: Callable, rate: float, runs: int, depth: int, crowded: list[np.ndarray]):
+    """(id, data) -> (path, id) at ``depth`` of all runs, without a shuffle.
+
+    ``crowded`` has, for every depth from START on that is not the last, the bit set of the
+    nodes there that were too large; only their children are walked on.
+    """
+    seeds = _mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000]
                 tokens, weights = _padded([decode(x) for x in part["data"]])
-                owner, path = _descend(tokens, weights, np.arange(len(part)), part["path"].to_numpy().view(np.uint64), rate)
+                owner = np.repeat(np.arange(len(part)), runs)
+                path = np.tile(seeds, len(part))
+                for level in range(1, depth + 1):
+                    owner, path = _descend(tokens, weights, owner, path, rate)
+                    if START <= level < depth:
+                        keep = _in_set(crowded[level - START], path)
+                        owner, path = owner[keep], path[keep]
                 yield pd.DataFrame({"path": path.view(np.int64), "id": part["id"].to_numpy()[owner]})
 
     return run
@@ -137,25 +148,32 @@ def _grow(decode: Callable, rate: float):
 def chosen_path_candidates(sets: DataFrame, decode: Callable, overlap: float, recall: float = RECALL) -> DataFrame:
     """``id_a, id_b`` (id_a < id_b, each pair once): pairs that met in a small node of some run.
 
-    ``sets`` has ``id bigint, data binary``; ``decode`` makes tokens and weights of data.
+    ``sets`` has ``id bigint, data binary``, each id once, and should be a written table, as
+    every level reads it anew; ``decode`` makes tokens and weights of data.  Rows of a node are
+    counted with partial aggregation and only then joined, so a node with many sets is never
+    gathered; it is walked one level deeper, from the table, until it falls apart.
     """
-    rate = SHARED / overlap
+    rate, runs = SHARED / overlap, runs_for(recall)
     pairs: DataFrame | None = None
-    rows = sets.mapInPandas(_plant(decode, rate, runs_for(recall), START), "path bigint, id bigint").distinct()
+    crowded: list[np.ndarray] = []
     for depth in range(START, DEEPEST + 1):
+        rows = sets.mapInPandas(_plant(decode, rate, runs, depth, crowded), "path bigint, id bigint")
         sizes = rows.groupBy("path").count().where("count > 1")
-        known = rows.join(sizes, "path")
-        small = known.where(F.col("count") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        small = rows.join(sizes.where(F.col("count") <= SMALL), "path").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         met = small.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> named_struct('id_a', x, 'id_b', y))))")).alias("p")).select("p.id_a", "p.id_b").distinct()
-        pairs = cut(met) if pairs is None else pairs.unionByName(cut(met))
-        large = cut(known.where(F.col("count") > SMALL).select("path", "id"))
-        if large.isEmpty():
+        large = sizes.where(F.col("count") > SMALL).select(F.lit(None).cast("bigint").alias("id_a"), F.shiftrightunsigned("path", 64 - BITS).alias("id_b")).distinct()
+        both = cut(met.unionByName(large))
+        found = both.where("id_a IS NOT NULL")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        slots = both.where("id_a IS NULL").select("id_b")
+        if slots.isEmpty():
             break
         if depth == DEEPEST:  # sets that no token tells apart: the pairs themselves are the result
-            a, b = large.withColumnRenamed("id", "id_a"), large.withColumnRenamed("id", "id_b")
-            pairs = pairs.unionByName(a.join(b, "path").where("id_a < id_b").select("id_a", "id_b").distinct())
+            again = rows.join(sizes.where(F.col("count") > SMALL).select("path"), "path")
+            a, b = again.withColumnRenamed("id", "id_a"), again.withColumnRenamed("id", "id_b")
+            pairs = pairs.unionByName(a.join(b, "path").where("id_a < id_b").select("id_a", "id_b"))
             break
-        rows = cut(large.join(sets, "id").select("path", "id", "data").mapInPandas(_grow(decode, rate), "path bigint, id bigint").distinct())
+        crowded.append(_collected(slots))
     return pairs.distinct()
 
 
@@ -181,28 +199,33 @@ def _counts(vector: pd.Series) -> pd.Series:
 
 
 def fingerprints(templates: DataFrame) -> DataFrame:
-    """``template_id, signature, vector``: one row per template; what is no evidence is null.
-
-    A template's fingerprint is the same in all its files; where one is null, another's is taken.
-    """
-    ids = templates.where(F.col("template_id").isNotNull())
-    return ids.groupBy("template_id").agg(F.max("signature_minhash").alias("signature"), F.max("pq_gram_vector").alias("vector"))
+    """``template_id, signature``: one row per template; where one file's is null, another's is taken."""
+    return templates.where(F.col("template_id").isNotNull()).groupBy("template_id").agg(F.max("signature_minhash").alias("signature"))
 
 
 def _links(members: DataFrame, decode: Callable, overlap: float, measure: Callable, threshold: float) -> DataFrame:
-    """``template_id_a, template_id_b`` of all templates whose ``data`` reach the threshold; members: template_id, data."""
-    classes = cut(members.groupBy("data").agg(F.min("template_id").alias("rep"), F.count("*").alias("n")).withColumn("id", F.xxhash64("rep")))
-    sets = classes.select("id", "data")
+    """``x, y`` of all templates whose ``data`` reach the threshold; members: template_id, data, repeated rows allowed.
+
+    Equal data are one class, named by a hash; the data travel once, the templates of a class
+    only by name.
+    """
+    named = members.withColumn("id", F.xxhash64("data"))
+    owners = cut(named.select("id", "template_id").distinct())
+    sets = stored(named.groupBy("id").agg(F.first("data").alias("data")))
     close = F.pandas_udf(measure, "double")
-    met = chosen_path_candidates(sets, decode, overlap)
-    a, b = sets.select(F.col("id").alias("id_a"), F.col("data").alias("data_a")), sets.select(F.col("id").alias("id_b"), F.col("data").alias("data_b"))
+    met = cut(chosen_path_candidates(sets, decode, overlap))
+    # Only sets that are in some pair go into the verification join.
+    ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).select(F.shiftrightunsigned("id", 64 - BITS).alias("slot"))
+    bits = _collected(ids)
+    wanted = F.pandas_udf(lambda s: pd.Series(_in_set(bits, s.to_numpy().view(np.uint64))), "boolean")
+    some = sets.where(wanted("id"))
+    a, b = some.select(F.col("id").alias("id_a"), F.col("data").alias("data_a")), some.select(F.col("id").alias("id_b"), F.col("data").alias("data_b"))
     near = met.join(a, "id_a").join(b, "id_b").where(close("data_a", "data_b") >= threshold - 1e-12).select("id_a", "id_b")
-    owners = members.join(classes.select("id", "data", "n"), "data").select("id", "template_id", "n")
     left, right = owners.select(F.col("id").alias("id_a"), F.col("template_id").alias("x")), owners.select(F.col("id").alias("id_b"), F.col("template_id").alias("y"))
     apart = near.join(left, "id_a").join(right, "id_b").select("x", "y")
-    copies = owners.where("n > 1")
-    within = copies.select("id", F.col("template_id").alias("x")).join(copies.select("id", F.col("template_id").alias("y")), "id").where("x < y").select("x", "y")
-    return apart.unionByName(within).select(F.least("x", "y").alias("template_id_a"), F.greatest("x", "y").alias("template_id_b"))
+    copies = owners.join(owners.groupBy("id").count().where("count > 1").select("id"), "id")
+    within = copies.select("id", F.col("template_id").alias("x")).join(copies.select("id", F.col("template_id").alias("y")), "id").select("x", "y")
+    return apart.unionByName(within).where("x <> y").select(F.least("x", "y").alias("template_id_a"), F.greatest("x", "y").alias("template_id_b"))
 
 
 def lookalike_pairs(templates: DataFrame) -> DataFrame:
@@ -211,10 +234,10 @@ def lookalike_pairs(templates: DataFrame) -> DataFrame:
     Signatures that are null, cut short or the same in all slots and empty or broken vectors
     give no pairs; rows with a null template_id are ignored; a template never pairs with itself.
     """
-    prints = cut(fingerprints(templates))
     evidence, counts = F.pandas_udf(_evidence, "boolean"), F.pandas_udf(_counts, "boolean")
-    by_slot = prints.where(F.length("signature") == 4 * SLOTS).where(evidence("signature")).select("template_id", F.col("signature").alias("data"))
-    by_gram = prints.where(F.length("vector") > 4).where(counts("vector")).select("template_id", F.col("vector").alias("data"))
+    rows = templates.where(F.col("template_id").isNotNull())
+    by_slot = rows.where(F.length("signature_minhash") == 4 * SLOTS).select("template_id", F.col("signature_minhash").alias("data")).where(evidence("data"))
+    by_gram = rows.where(F.length("pq_gram_vector") > 4).select("template_id", F.col("pq_gram_vector").alias("data")).where(counts("data"))
     slots = _links(by_slot, signature_set, EQUAL_SLOTS / SLOTS, equal_slots, EQUAL_SLOTS / SLOTS)
     grams = _links(by_gram, vector_set, 1 - math.sqrt(1 - COSINE**2), cosines, COSINE)
     return slots.unionByName(grams).distinct()
