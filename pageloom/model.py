@@ -47,6 +47,8 @@ CONTAMINATION_HINTS = (
     "sort-and-filter sort-bar pickup-in-store pick-up-in-store store-locator newsletter-signup newsletter-form subscribe-form cross-sell upsell"
 ).split()
 SEGMENT_TAGS = frozenset("header footer nav main article section aside form table".split())
+# The tags a byte-level filter lets through.
+STRUCTURAL_TAGS = "html body head header footer nav aside section article main div p ul ol li h1 h2 h3 h4 h5 h6 table tbody thead tr".split()
 CLEAN_TAGS = frozenset("script style template noscript svg select".split())
 NOISE_TOKENS = frozenset("dark-mode light-mode dark light active hidden visible selected open closed loading loaded error".split())
 NOISE_PREFIXES = ("is-", "js-", "has-", "data-", "state-", "aria-")

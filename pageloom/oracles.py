@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.stability import ATOMIC, SINGLETONS, STATE, UTILITY, VARIANT
-from .model import NOISE_PREFIXES, NOISE_SUFFIX, NOISE_TOKENS
+from .model import NOISE_PREFIXES, NOISE_SUFFIX, NOISE_TOKENS, STRUCTURAL_TAGS
 
 _HOST = r"lower(regexp_extract(coalesce({u}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
 _TAGS = r"""tags AS (
@@ -62,6 +62,13 @@ SELECT response_id, accept,
   coalesce(nullif(regexp_extract(accept, 'text/markdown;q=([0-9.]+)', 1), ''), regexp_extract(accept, 'text/\\*;q=([0-9.]+)', 1))::DOUBLE AS markdown_q, 1.0::DOUBLE AS html_q
 FROM r""",
     "tag_events": f"WITH {_COUNTS} SELECT file_id, tag, n, first_pos::INTEGER AS first_pos FROM counts",
+    "structural_tags": f"""
+WITH {_COUNTS} SELECT file_id, sum(n) FILTER (tag IN ({", ".join(f"'{x}'" for x in STRUCTURAL_TAGS)}))::BIGINT AS structural,
+  round(sum(n) FILTER (tag IN ({", ".join(f"'{x}'" for x in STRUCTURAL_TAGS)}))::DOUBLE / sum(n), 9) AS share FROM counts GROUP BY file_id HAVING structural > 0""",
+    "event_sessions": """
+WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id AS key, min(ts) AS began, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k""",
     "tag_histogram": f"WITH {_TAGS} SELECT tag, count(*) AS n, count(DISTINCT file_id) AS pages FROM tags GROUP BY tag",
     "tag_shingles": f"WITH {_SHINGLES} SELECT shingle, count(*) AS pages FROM shingles GROUP BY shingle",
     "minhash_sql": f"WITH {_SKETCH} SELECT * FROM sketch",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import stability, web
+from .model import STRUCTURAL_TAGS
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
 from .plans import schema_drift
 from .sources import pages as page_sources
@@ -233,6 +234,23 @@ def tag_events(spark: SparkSession, where: str) -> DataFrame:
     return _tags(spark, where).groupBy("file_id", "tag").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
+def structural_tags(spark: SparkSession, where: str) -> DataFrame:
+    """Structural tags of every page and their share of all its tags."""
+    t = tag_events(spark, where)
+    total = t.groupBy("file_id").agg(F.sum("n").alias("total"))
+    return t.where(F.col("tag").isin(STRUCTURAL_TAGS)).groupBy("file_id").agg(F.sum("n").alias("structural")).join(total, "file_id").select("file_id", "structural", F.round(F.col("structural") / F.col("total"), 9).alias("share"))
+
+
+def event_sessions(spark: SparkSession, where: str) -> DataFrame:
+    return jobs.sessions(_read(spark, where, "events"), "ts", "user_id")
+
+
+def events_ndjson(spark: SparkSession, where: str) -> DataFrame:
+    """Template events as lines for a sink, emitted at the page's time."""
+    at = _pages(spark, where).groupBy(F.col("file_id").alias("page")).agg(F.min("crawled_at").alias("at"))
+    return jobs.envelope(template_events(spark, where).join(at, "page"), "kind", "at")
+
+
 def tag_histogram(spark: SparkSession, where: str) -> DataFrame:
     return _tags(spark, where).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("pages"))
 
@@ -393,7 +411,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     p4_found, p4_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
     node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan,
-    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, tag_histogram, tag_shingles, minhash_sql, band_probe,
+    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,
     longest_drift, true_likeness, fence_versions, fence_at_version, store_history, store_changes, latest_templates, aging_score, status_report,
 )
