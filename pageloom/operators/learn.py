@@ -1,7 +1,6 @@
 """Matching pages to their host's templates and learning from them, in order.
 
-All heavy, order-free work (parsing, fingerprint, classification) happens in one Arrow
-pass before the shuffle.  The fold itself runs per host over rows sorted by time and page;
+Fingerprints are made in one Arrow pass before the shuffle.  The fold itself runs per host over rows sorted by time and page;
 partitions are streamed, so a host's pages are never held together, only its templates are.
 The same ``HostState.step`` serves batch and Structured Streaming.
 """
@@ -188,9 +187,11 @@ def learned(pages: DataFrame, key: str, host: str, html: str, at: str, learn: bo
     rows = pages.where(F.col(key).isNotNull()).select(
         F.lower(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(key).cast("string").alias("page"), F.coalesce(F.col(at), F.timestamp_seconds(F.lit(0))).alias("at"), F.coalesce(F.col(html), F.lit("")).alias("source")
     )
-    rows = rows.dropDuplicates(["host", "page"])
     ready = rows.mapInPandas(_prepare, "host string, page string, at timestamp, source string, print string")
-    return ready.repartition("host").sortWithinPartitions("host", "at", "page").mapInPandas(_fold(learn), RESULT)
+    # One shuffle: the number is given, so that hosts are not gathered into fewer tasks, and repeated pages go inside it.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hosts = ready.repartition(parts, "host").dropDuplicates(["host", "page"])
+    return hosts.sortWithinPartitions("host", "at", "page").mapInPandas(_fold(learn), RESULT)
 
 
 def events(results: DataFrame) -> DataFrame:

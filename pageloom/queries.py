@@ -12,13 +12,14 @@ from .model import STRUCTURAL_TAGS
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
 from .plans import schema_drift
 from .sources import pages as page_sources
+from .sources.tables import read
 from .streaming import jobs
 
 AS_OF = "2026-01-01 00:00:00"
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{where}/{table}.parquet")
+    return read(spark, where, table)
 
 
 def _pages(spark: SparkSession, where: str) -> DataFrame:
