@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read
 from . import furniture, leakage, lookalikes, markup, mixing, residue, sentences, sitelines
 
 
 def _read(spark: SparkSession, where: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{where}/{table}.parquet")
+    return read(spark, where, table)
 
 
 def p1_found(spark: SparkSession, where: str) -> DataFrame:
