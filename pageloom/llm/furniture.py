@@ -40,7 +40,7 @@ def furniture_lines(pages: DataFrame, key: str, html: str, content: str) -> Data
     rows = pages.where(F.col(key).isNotNull() & F.col(html).isNotNull() & (F.length(F.col(content)) > 0))
     source = rows.select(F.col(key).cast("string").alias("record"), F.col(html).alias("source"), F.col(content).alias("content"))
     strays = source.mapInPandas(_strays, "record string, line_no int").distinct()
-    return strays.join(find_residue(pages, key, html), "record", "left_anti")
+    return strays.join(find_residue(pages, key, html, exact=True), "record", "left_anti")
 
 
 __all__ = ["furniture_lines", "main_bodies", "units_of"]

@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
-    return residue.find_residue(_read(spark, where, "wcxb_samples"), "file_id", "html").withColumnRenamed("record", "file_id")
+    return residue.find_residue(_read(spark, where, "wcxb_samples"), "file_id", "html", exact=True).withColumnRenamed("record", "file_id")
 
 
 def p3_found(spark: SparkSession, where: str) -> DataFrame:

@@ -10,9 +10,12 @@ trusted labels over near-duplicates:
 * every class goes, by name and signature, into partitioned SimHash tables: the 64 bits are cut into
   ``PARTS`` parts and each table's key is the table's pair of parts, so that two
   signatures at Hamming distance ``HAMMING`` or less share a key in some table;
+* texts at the wanted similarity are often further apart than that, so every class also
+  goes into an exact index (``exact``): its shingles in one global order, the common ones last, of
+  which two sets of similarity s share one among the first n - ceil(s n) + 1;
 * rounds of label propagation join only the classes labelled last (the frontier) with
-  the rest on (table, key), verify Hamming distance and five-word-shingle similarity,
-  and stop when no class is new.  The labelled classes are the connected components
+  the rest on (table, key) and on the indexed shingles, verify five-word-shingle
+  similarity, and stop when no class is new.  The labelled classes are the connected components
   that hold a trusted label; components without one are never expanded.
 
 Each round's frontier is written through ``checkpoint`` so that lost executors do not
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,6 +42,8 @@ from .placeholders import has_placeholder
 
 SHINGLE, SIMILARITY = 5, 0.8
 HAMMING, PARTS = 6, 8
+#: About so many classes tell which shingles are common, and so many of the commonest are kept.
+SAMPLE, COMMON = 20_000, 50_000
 #: A page whose heaviest unit weighs less has no real content; a notice may have so much text besides.
 CONTENT, BESIDE = 420.0, 170.0
 _MASKS = [(re.compile(r"\b[A-Z]{2}-\d+\b"), "§"), (re.compile(r"\d+"), "#"), (re.compile(r"/[a-z]{2,12}\b"), "/§"), (re.compile(r"\s+"), " ")]
@@ -60,11 +66,24 @@ def shingles(text: str, width: int = SHINGLE) -> list[str]:
     return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def _digests(items: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in items), dtype=np.uint8)
+
+
+def prefix_of(items: list[str], common: dict[int, int], similarity: float = SIMILARITY) -> tuple[int, list[int]]:
+    """(distinct shingles, hashes of the first of them): two sets of the similarity share one of theirs, whatever ``common`` says."""
+    if not items:
+        return 0, []
+    hashes = set(_digests(items).view(">i8").tolist())
+    n = len(hashes)
+    return n, sorted(hashes, key=lambda h: (common.get(h, 0), h))[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
 def simhash(items: list[str]) -> int:
     """64-bit SimHash of a bag of shingles, as a signed number."""
     if not items:
         return 0
-    digests = np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in items), dtype=np.uint8)
+    digests = _digests(items)
     bits = np.unpackbits(digests.reshape(-1, 8), axis=1)
     votes = bits.sum(axis=0, dtype=np.int64) * 2 - len(items)
     return int(np.packbits((votes > 0).astype(np.uint8)).view(">i8")[0])
@@ -146,9 +165,29 @@ def _keys(signature: pd.Series) -> pd.Series:
     return signature.map(lambda s: [{"tab": t, "bits": b} for t, b in keys_of(s)])
 
 
-def find_residue(pages: DataFrame, key: str, html: str, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
+def _hashes(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: sorted(set(_digests(items).view(">i8").tolist())) if (items := shingles(x)) else [])
+
+
+def _indexed(classes: DataFrame, similarity: float) -> DataFrame:
+    """``classes`` with the number of their distinct shingles and the hashes they are indexed under, in order."""
+    sample = classes.where(F.pmod("klass", F.lit(max(1, classes.count() // SAMPLE))) == 0)
+    counts = sample.select(F.explode(F.pandas_udf(_hashes, "array<bigint>")("text")).alias("h")).groupBy("h").count().where("count > 2")
+    common = {r["h"]: r["count"] for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()}
+    shared = classes.sparkSession.sparkContext.broadcast(common)
+
+    def prefixes(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([prefix_of(shingles(x), shared.value, similarity) for x in text], columns=["n", "hashes"])
+
+    return classes.withColumn("prefix", F.pandas_udf(prefixes, "struct<n:int,hashes:array<bigint>>")("text"))
+
+
+def find_residue(pages: DataFrame, key: str, html: str, hamming: int = HAMMING, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """``record``: the keys of pages that are residue, each once.
 
+    Labels spread between texts of the similarity within ``hamming`` of each other; with
+    ``exact``, as in every query, between all texts of the similarity.
+
     Null and empty pages are no residue (they show nothing); rows with a null key are
     ignored; repeated rows count once; other columns are not read.
     """
@@ -158,18 +197,29 @@ def find_residue(pages: DataFrame, key: str, html: str, hamming: int = HAMMING,
     units = cut(residue_units(pages.where(F.col(key).isNotNull()), key, html).withColumn("klass", F.xxhash64("text")))
     classes = units.groupBy("klass").agg(F.first("text").alias("text"), F.first("signature").alias("signature"), F.max("trusted").alias("trusted"))
     classes = cut(classes)
+    if exact:
+        classes = cut(_indexed(classes, similarity))
     # Tables hold names and signatures; texts are only fetched for candidates.
     key_rows = lambda df, a, b: df.withColumn("k", F.explode(keys("signature"))).select(F.col("klass").alias(a), F.col("signature").alias(b), "k.tab", "k.bits")
     tables = key_rows(classes.where(~F.col("trusted")), "klass", "signature")
+    hash_rows = lambda df, a, b: df.select(F.col("klass").alias(a), F.col("prefix.n").alias(f"n{b}"), F.posexplode("prefix.hashes").alias(f"at{b}", "h"))
+    index = hash_rows(classes.where(~F.col("trusted")), "klass", "") if exact else None
     texts = classes.select("klass", "text")
     labelled = classes.where("trusted").select("klass")
-    frontier = classes.where("trusted").select("klass", "signature")
+    ahead = ["klass", "signature", *(["prefix"] if exact else [])]
+    frontier = classes.where("trusted").select(ahead)
+    # The first common shingle bounds how many follow it in both.
+    needed = F.ceil((F.col("n") + F.col("n0")) * (similarity / (1 + similarity)) - 1e-6)
+    enough = F.least(F.col("n") - F.col("at"), F.col("n0") - F.col("at0")) >= needed
     while True:
         probes = key_rows(frontier, "from", "signature0")
-        close = tables.join(probes, ["tab", "bits"]).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature0"))) <= hamming).select("klass", "signature", "from").distinct()
-        close = close.join(labelled, "klass", "left_anti")
+        close = tables.join(probes, ["tab", "bits"]).where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature0"))) <= hamming).select("klass", "from")
+        if exact:
+            close = close.unionByName(index.join(hash_rows(frontier, "from", "0"), "h").where(enough).select("klass", "from"))
+        close = close.distinct().join(labelled, "klass", "left_anti")
         both = close.join(texts, "klass").join(texts.select(F.col("klass").alias("from"), F.col("text").alias("text0")), "from")
-        frontier = cut(both.where(jaccard("text", "text0") >= similarity).select("klass", "signature").distinct())
+        new = both.where(jaccard("text", "text0") >= similarity).select("klass").distinct()
+        frontier = cut(classes.select(ahead).join(new, "klass"))
         if frontier.isEmpty():
             break
         labelled = labelled.unionByName(frontier.select("klass"))
@@ -178,5 +228,5 @@ def find_residue(pages: DataFrame, key: str, html: str, hamming: int = HAMMING,
 
 def without_residue(pages: DataFrame, key: str, html: str) -> DataFrame:
     """The pages that are no residue, with all their columns."""
-    found = find_residue(pages, key, html).withColumnRenamed("record", "_record")
+    found = find_residue(pages, key, html, exact=True).withColumnRenamed("record", "_record")
     return pages.join(found, pages[key].cast("string") == found["_record"], "left_anti")

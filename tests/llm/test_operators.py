@@ -68,6 +68,33 @@ def test_residue_spreads_over_near_duplicates(spark):
     assert {r[0] for r in residue.find_residue(df, "file_id", "html").collect()} == want and len(want) > 1
 
 
+def test_residue_spreads_to_every_similar_text(spark):
+    """p2_found: pairs at the stated similarity, many of them further apart than the SimHash tables reach, against brute force."""
+    rng = np.random.default_rng(3)
+    vocabulary = [a + b + c for a in "bdgkl" for b in "aeiou" for c in "mnrs"]
+    texts, data = {}, []
+    for k in range(40):
+        words = [str(x) for x in rng.choice(vocabulary, 94)]
+        for v in range(4):
+            own = ["bad", "gateway", *words]
+            for at in rng.choice(np.arange(8, 90), [0, 1, 1, 4][v], replace=False):
+                own[at] = f"z{'abcdefgh'[v]}{'abcdefgh'[at % 8]}"
+            if v:
+                own[:2] = ["quay", "lantern"]
+            texts[f"{k:02d}{v}"] = residue.mask(" ".join(own), "")
+            data.append((f"{k:02d}{v}", f"<div><p>{' '.join(own)}</p></div>"))
+    sets = {i: set(residue.shingles(x)) for i, x in texts.items()}
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= residue.SIMILARITY
+    sign = {i: residue.simhash(residue.shingles(x)) for i, x in texts.items()}
+    far = lambda x, y: ((sign[x] ^ sign[y]) & (2**64 - 1)).bit_count() > residue.HAMMING
+    want = {i for i in texts if i.endswith("0")}
+    assert sum(like(x, y) and far(x, y) for x in want for y in texts) > 10
+    while more := {y for x in want for y in texts if y not in want and like(x, y)}:
+        want |= more
+    df = spark.createDataFrame(data, "file_id string, html string")
+    assert {r[0] for r in residue.find_residue(df, "file_id", "html", exact=True).collect()} == want and len(want) < len(texts)
+
+
 def test_furniture(spark, pages):
     assert rows(furniture.furniture_lines(pages, "file_id", "html", "main_content_text")) == [("1", 2)]
     assert furniture.furniture_lines(pages.limit(0), "file_id", "html", "main_content_text").count() == 0
