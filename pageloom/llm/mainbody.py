@@ -5,8 +5,9 @@ links; the weights are summed over a sliding window of lines.  The body begins w
 sums surge and ends where they dive; of several such stretches the one with most text
 wins.  The stretch is then fitted to the page: its container is the smallest element with
 nearly all of the stretch's text, lines of the container just outside the stretch
-(headings, cells, short items) are taken in, and boxed remarks inside it, which are
-themselves dives between surges, are left out.
+(headings, cells, short items) are taken in, and boxed remarks at any depth inside it,
+which are small beside what surrounds them, are left out.  Where small boxes hold much of
+the text, the body is made of them, and only those whose own windows are dives are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ WINDOW = 3
 SURGE, LEAST = 0.18, 24
 #: A box inside the body with less than this part of its text, or with fewer characters and under half, is no part of it.
 BOX, SHORT_BOX = 0.2, 150
+#: Small boxes with this part of the text or more together are no remarks but what the body is made of.
+PARTS = 0.3
 #: Wide scripts say as much with fewer characters.
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _BOXES = frozenset("div section aside form header footer nav details dialog fieldset".split())
@@ -89,6 +92,20 @@ def _furniture(node: Node) -> bool:
     return node.tag in _FURNITURE_TAGS or node.attrs.get("role", "").lower() in _FURNITURE_ROLES
 
 
+def _dives(parent: Node, boxes: list[Node], total: dict[int, float], held: dict[int, list[float]]) -> list[Node]:
+    """Those of the boxes right below a part of the body that are no part of it."""
+    here = max(total[id(parent)], 1e-9)
+    small = [a for a in boxes if _furniture(a) or total[id(a)] < BOX * here or (total[id(a)] < SHORT_BOX and total[id(a)] < 0.5 * here)]
+    rest = [a for a in small if not _furniture(a)]
+    if sum(total[id(a)] for a in rest) < PARTS * here:
+        return small
+    # The text lies in many parts: each is judged by its own windows, and beside its like.
+    least = max(LEAST, SURGE * max(blocks_of(held[id(parent)])))
+    usual = sorted(total[id(a)] for a in boxes if not _furniture(a))
+    usual = usual[len(usual) // 2]
+    return [a for a in small if _furniture(a) or max(blocks_of(held[id(a)])) < least or (total[id(a)] < SHORT_BOX and total[id(a)] < 0.5 * usual)]
+
+
 def _main(lines: list[Line], body: Node) -> tuple[list[bool], Node, list[Node]]:
     keep = [False] * len(lines)
     if not lines:
@@ -132,25 +149,26 @@ def _main(lines: list[Line], body: Node) -> tuple[list[bool], Node, list[Node]]:
         for i in range(start, end):
             keep[i] = not any(_furniture(a) for a in paths[i])
         return keep, body, inner
-    here = max(total[id(box)], 1e-9)
-    known: dict[int, bool] = {}
-    for i, p in enumerate(paths):
+    chains: list[list[Node] | None] = []  # the boxes around each line, from the container down
+    held: dict[int, list[float]] = {}
+    below: dict[int, dict[int, Node]] = {}
+    for w, p in zip(weights, paths):
         at = next((k for k, a in enumerate(p) if a is box), None)
-        if at is None:
-            continue
-        keep[i] = True
-        for a in p[at + 1 :]:
-            if a.tag in _BOXES:
-                boxed = known.get(id(a))
-                if boxed is None:
-                    boxed = known[id(a)] = (
-                        _furniture(a) or total[id(a)] < BOX * here or (total[id(a)] < SHORT_BOX and total[id(a)] < 0.5 * here)
-                    )
-                    if boxed:
-                        inner.append(a)
-                if boxed:
-                    keep[i] = False
-                break
+        chains.append(None if at is None else [box, *(a for a in p[at + 1 :] if a.tag in _BOXES)])
+        for k, a in enumerate(chains[-1] or []):
+            held.setdefault(id(a), []).append(w)
+            if k:
+                below.setdefault(id(chains[-1][k - 1]), {})[id(a)] = a
+    dives: set[int] = set()
+    waiting = [box]
+    while waiting:
+        parent = waiting.pop()
+        boxes = list(below.get(id(parent), {}).values())
+        out = _dives(parent, boxes, total, held)
+        dives.update(map(id, out))
+        inner += out
+        waiting += [a for a in boxes if id(a) not in dives]
+    keep = [c is not None and not any(id(a) in dives for a in c) for c in chains]
     return keep, box, inner
 
 

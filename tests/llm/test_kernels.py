@@ -119,6 +119,21 @@ def test_main_body_and_strays():
     assert stray_lines(page, None) == stray_lines(page, "") == stray_lines(Page(None), "x") == []
 
 
+def test_body_in_many_parts_and_nested_boxes():
+    """p3_found: no part of a body is lost for being one of many, and a box inside a part is a box."""
+    parts = [f"Part {k} of the letter. " + PROSE for k in "abcdefgh"]
+    body = "".join(f"<section><h2>Head {k}</h2><p>{x}</p></section>" for k, x in enumerate(parts))
+    page = Page(f"<nav><a href=/>Home</a></nav><main><h1>Title</h1>{body}<div class=promo><p>Become a member today.</p></div></main>")
+    assert main_text(page).split("\n") == ["Title", *(y for k, x in enumerate(parts) for y in (f"Head {k}", x.strip()))]
+    assert stray_lines(page, "\n".join(["Home", "Head 1", parts[1], "Become a member today."])) == [1, 4]
+    box = "<div class=news><p>Get our letter every week.</p></div>"
+    page = Page(f"<main><h1>Title</h1><section><div><p>{PROSE}</p>{box}<p>{PROSE[::-1]}</p></div></section><section><p>{PROSE * 2}</p></section></main>")
+    assert "Get our letter every week." not in main_text(page) and main_text(page).count("\n") == 3
+    assert "Get our letter" not in clean_page(f"<main><section><p>{PROSE}</p>{box}</section></main>")
+    short = "".join(f"<div><h3>Step {k}</h3><p>Turn the handle by the old door {k} times to the left.</p></div>" for k in range(7))
+    assert main_text(Page(f"<main><h1>Title</h1>{short}</main>")).count("\n") == 14
+
+
 # ------------------------------------------------------------------------------------- others
 
 
