@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..html.tree import Node, body_of, lines_of, parse
 from .mainbody import Page
-from .notations import clean, hide_markdown_code, kinds_in, newlines
+from .notations import FOREIGN_SIGNS, clean, hide_markdown_code, kinds_in, newlines
 
 _SCHEMA = "record_key string, kinds array<string>, clean_text string"
 
@@ -99,10 +99,6 @@ def _kernel(page: bool, text: bool):
     return run
 
 
-# A text without any of these characters can hold no foreign markup; the JVM leaves such answers out before Python sees them.
-_ANSWER_SIGNS = r"[<&\\$]|\[\[|==|''|\{\||\[(?:https?|ftp)://|__[A-Z]+__|#[RW]|^\|-(?!-)"
-
-
 def markup_residue(records: DataFrame, key: str, text: str, notation: str, with_text: bool = True) -> DataFrame:
     """``record_key, kinds, clean_text`` for every record; ``notation`` is ``html`` or ``markdown``.
 
@@ -116,7 +112,8 @@ def markup_residue(records: DataFrame, key: str, text: str, notation: str, with_
     if with_text:
         return source.mapInPandas(_kernel(notation == "html", True), _SCHEMA)
     if notation == "markdown":
-        source = source.where(F.col("source").rlike("(?m)" + _ANSWER_SIGNS))
+        # The JVM leaves answers without any sign of foreign markup out before Python sees them.
+        source = source.where(F.col("source").rlike(FOREIGN_SIGNS))
     return source.where(F.col("source").isNotNull()).mapInPandas(_kernel(notation == "html", False), _SCHEMA).where(F.size("kinds") > 0)
 
 

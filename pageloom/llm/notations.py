@@ -10,7 +10,7 @@ from __future__ import annotations
 import html as _html
 import re
 
-from .placeholders import hide_placeholders
+from .placeholders import PLACEHOLDER, hide_placeholders
 
 # Element names of HTML that may be readable as text.
 TAGS = (
@@ -58,7 +58,7 @@ _WIKI = [
         ("://", r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+[ \t]+[^\[\]\n]+\](?!\])"),
         ("<", r"<(?:ref|nowiki|gallery|math|syntaxhighlight|references)\b[^<>]*>"),
         ("#", r"^#(?:REDIRECT|WEITERLEITUNG)\b"),
-        ("{{", r"\{\{(?:cite|main|see also|infobox|reflist|citation needed|stub|lang)\b[^{}]*\}\}"),
+        ("{{", r"\{\{(?i:cite|main|see also|infobox|reflist|citation needed|stub|lang)\b[^{}]*\}\}"),
     )
 ]
 _LATEX = [
@@ -73,6 +73,11 @@ _LATEX = [
     )
 ]
 
+# What a text must hold where the string before a pattern says too little.
+_SIGNS = {"|": r"\{\||^\|-(?!-)", "__": r"__[A-Z]+__", "://": r"\[(?:https?|ftp)://", "#": r"^#[RW]"}
+#: For Python and Java: a line of a text without any of these can hold no html, wiki or latex.
+FOREIGN_SIGNS = "(?m)" + "|".join(dict.fromkeys(["<", "&", *(_SIGNS.get(n, re.escape(n)) for n, _ in _WIKI + _LATEX)]))
+
 _SWITCH = _WIKI[5][1]
 _FENCE = re.compile(r"^(?P<lead>[ \t]{0,3}(?:[-*+>][ \t]+)?)(?P<bar>`{3,}|~{3,})[^\n]*\n(?:.*?\n)??[ \t]{0,3}(?:[>][ \t]+)?(?P=bar)[`~]*[ \t]*(?=\n|\Z)", re.M | re.S)
 _OPEN_FENCE = re.compile(r"^[ \t]{0,3}(?:`{3,}|~{3,})[^\n]*\n.*\Z", re.M | re.S)
@@ -149,6 +154,7 @@ _STEPS = [
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
     (_SWITCH, ""),
     (re.compile(r"\{\|[^\n|]*|\|\}"), ""),
+    (_WIKI[-1][1], lambda m: m[0] if PLACEHOLDER.fullmatch(m[0]) else ""),
     (re.compile(r"'{2,5}(?=\S)([^\n]{1,200}?)'{2,5}"), r"\1"),
     (re.compile(r"(?<!\*)\*\*(?=\S)([^\n*]{1,200}?)(?<=\S)\*\*"), r"\1"),
     (re.compile(r"(?<![\w_])__(?=[^\s_])([^\n]{1,200}?)(?<=[^\s_])__(?!\w)"), r"\1"),

@@ -44,6 +44,19 @@ def test_markup(spark, pages):
         markup.markup_residue(pages, "file_id", "html", "bbcode")
 
 
+def test_markup_kinds_are_the_same_with_and_without_text(spark):
+    """p1_found: what the JVM leaves out holds nothing that the patterns find."""
+    texts = [
+        "{{cite web|title=Lumedin}}", "{{Infobox|name=Lumedin}}", "{{Citation needed|date=May}}", "[[x]]", "a\n== b ==", "'''x'''", "''x''", "{| class=a", "a\r|- b", "__TOC__", "[http://a.test/ b]", "<ref name=a>", "#REDIRECT x", "&nbsp;",
+        "<b>", "<!-- x -->", "\\emph{x}", "\\alpha", "\\(x\\)", "$x^2$", "$$x$$", "plain", "# Head", "| a | b |", "{{ name }}", "{{main}}",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id long, markdown string")
+    mode = lambda with_text: {r["record_key"]: r["kinds"] for r in markup.markup_residue(df, "response_id", "markdown", "markdown", with_text).collect() if r["kinds"]}
+    assert mode(False) == mode(True) and [k for k in ("0", "1", "2") if mode(False).get(k) == ["wiki"]] == ["0", "1", "2"] and len(mode(False)) == 21
+    clean = {r["record_key"]: r["clean_text"] for r in markup.markup_residue(df, "response_id", "markdown", "markdown").collect()}
+    assert clean["0"] == clean["1"] == "" and clean["24"] == "{{ name }}"
+
+
 def test_residue(spark, pages):
     assert rows(residue.find_residue(pages, "file_id", "html")) == [("5",), ("7",)]
     assert residue.find_residue(pages.limit(0), "file_id", "html").count() == 0
