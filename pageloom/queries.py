@@ -46,6 +46,13 @@ def p4_table(spark: SparkSession, where: str) -> DataFrame:
     return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), fields)
 
 
+def p4_template_table(spark: SparkSession, where: str) -> DataFrame:
+    """The learned-template stores as one table under the names of their first files, those inside rules and centroids too."""
+    blobs = _blobs(spark, where).where("blob_table = 'templates'")
+    fields = ["templateId", "version", "rules", "centroid", "notes"]
+    return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), fields)
+
+
 # ---------------------------------------------------------------------- pages and their kernel
 
 
@@ -410,7 +417,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    p4_found, p4_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
+    p4_found, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
     node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan,
     site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,

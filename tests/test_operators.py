@@ -148,6 +148,22 @@ def test_schema_changes(spark):
     assert schema_drift.rewrite({"r": [{"b": 1}, {"b": 2}]}, [("r[].a", "r[].b")]) == {"r": [{"a": 1}, {"a": 2}]}
 
 
+def test_template_table_undoes_nested_renames(spark, tmp_path):
+    """p4_template_table: renames under arrays and maps are undone in the query over templates.extractor_blob."""
+    data = []
+    for k in range(20):
+        data.append(("s", 1, f"t{k}", blob(templateId=f"t{k}", version=1, rules=[{"role": k, "cssSelectors": ["a"]}], centroid={"byRole": {"Footer": {"meanDepth": k + 0.5}}}, notes="n")))
+        data.append(("s", 2, f"t{k}", blob(templateId=f"t{k}", version=1, rules=[{"blockRole": k, "cssSelectors": ["a"]}], centroid={"byRole": {"Footer": {"depth": k + 0.5}}}, notes="n", quality=k)))
+    data.append(("s", 2, "bad", b"{"))
+    columns = "store_id string, file_seq int, template_id string, "
+    spark.createDataFrame(data, columns + "extractor_blob binary").write.parquet(f"{tmp_path}/templates.parquet")
+    spark.createDataFrame([], columns + "template_blob binary").write.parquet(f"{tmp_path}/streaming_templates.parquet")
+    table = {(r["file_seq"], r["template_id"]): r for r in queries.queries()["p4_template_table"](spark, str(tmp_path)).collect()}
+    assert len(table) == 41 and table[2, "bad"]["rules"] is None and table[2, "t3"]["rest"] == '{"quality":3}'
+    assert table[1, "t3"]["rules"] == table[2, "t3"]["rules"] and json.loads(table[2, "t3"]["rules"]) == [{"role": 3, "cssSelectors": ["a"]}]
+    assert table[1, "t3"]["centroid"] == table[2, "t3"]["centroid"] == '{"byRole":{"Footer":{"meanDepth":3.5}}}'
+
+
 def test_paths():
     got = [p for p, _ in schema_drift.walk({"centroid": {"byRole": {"Footer": {"n": 1}}}, "rules": [{"claims": [{"data": {"k": "v"}, "tag": "a"}], "role": None}], "l": [1]})]
     assert got == ["centroid", "centroid.byRole", "centroid.byRole{}.n", "rules", "rules[].claims", "rules[].claims[].data", "rules[].claims[].tag", "l"]
