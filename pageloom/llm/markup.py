@@ -3,8 +3,8 @@
 Pages go through the line-block distribution: markup is stripped into lines, the text
 weights of sliding windows give the surge and dive points, and the text between them is
 kept, with headings, lists, tables, code blocks and formulas as light Markdown.  Answers
-are Markdown already; their lines that are empty once markup is stripped are the dives at
-either end and are dropped.  The kinds of residue are found in the same pass, on the whole
+are Markdown already and hold no site furniture, so they are kept whole, without blank
+lines at either end.  The kinds of residue are found in the same pass, on the whole
 visible text (for a page, furniture included), outside code and placeholders.
 """
 
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..html.tree import Node, body_of, lines_of, parse
+from ..html.tree import Line, Node, body_of, lines_of, parse
 from .mainbody import Page
 from .notations import FOREIGN_SIGNS, clean, hide_markdown_code, kinds_in, newlines
 
@@ -26,9 +26,11 @@ _SCHEMA = "record_key string, kinds array<string>, clean_text string"
 
 def page_kinds(source: str | None) -> list[str]:
     """Kinds of foreign markup in what a reader sees of a page."""
-    if not source:
-        return []
-    return kinds_in("\n".join(x.outside_code() for x in lines_of(body_of(parse(source)))))
+    return _kinds_of(lines_of(body_of(parse(source)))) if source else []
+
+
+def _kinds_of(lines: list[Line]) -> list[str]:
+    return kinds_in("\n".join(x.outside_code() for x in lines))
 
 
 def answer_kinds(markdown: str | None) -> list[str]:
@@ -54,7 +56,10 @@ def _prefix(node: Node) -> str:
 
 def clean_page(source: str | None) -> str:
     """The main body of a page as clean text. Null, empty and textless pages give an empty string."""
-    page = Page(source)
+    return _text_of(Page(source))
+
+
+def _text_of(page: Page) -> str:
     out: list[str] = []
     row = None
     for x in page.main_lines():
@@ -83,18 +88,21 @@ def clean_answer(markdown: str | None) -> str:
     return clean(markdown, own_markdown=True) if markdown and markdown.strip() else ""
 
 
+def _page_both(source: str | None) -> tuple[list[str], str]:
+    page = Page(source)
+    return _kinds_of(page.lines), _text_of(page)
+
+
 def _kernel(page: bool, text: bool):
-    kinds, convert = (page_kinds, clean_page) if page else (answer_kinds, clean_answer)
+    if text:
+        both = _page_both if page else lambda x: (answer_kinds(x), clean_answer(x))
+    else:
+        both = lambda x: (page_kinds(x) if page else answer_kinds(x), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "record_key": pdf["record_key"],
-                    "kinds": [kinds(x) for x in pdf["source"]],
-                    "clean_text": [convert(x) for x in pdf["source"]] if text else None,
-                }
-            )
+            out = [both(x) for x in pdf["source"]]
+            yield pd.DataFrame({"record_key": pdf["record_key"], "kinds": [k for k, _ in out], "clean_text": [t for _, t in out]})
 
     return run
 
@@ -122,3 +130,10 @@ def found(pages: DataFrame, answers: DataFrame) -> DataFrame:
     a = markup_residue(pages, "file_id", "html", "html", with_text=False).withColumn("source_table", F.lit("wcxb_samples"))
     b = markup_residue(answers, "response_id", "markdown", "markdown", with_text=False).withColumn("source_table", F.lit("test_responses"))
     return a.unionByName(b).select("source_table", "record_key", F.explode("kinds").alias("markup")).distinct()
+
+
+def cleaned(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """p1_clean: every record of both tables with its residue kinds and its clean text, repeated records once."""
+    a = markup_residue(pages, "file_id", "html", "html").withColumn("source_table", F.lit("wcxb_samples"))
+    b = markup_residue(answers, "response_id", "markdown", "markdown").withColumn("source_table", F.lit("test_responses"))
+    return a.unionByName(b).select("source_table", "record_key", "kinds", "clean_text").distinct()

@@ -18,14 +18,26 @@ def p1_found(spark: SparkSession, where: str) -> DataFrame:
     return markup.found(_read(spark, where, "wcxb_samples"), _read(spark, where, "test_responses"))
 
 
+def p1_clean(spark: SparkSession, where: str) -> DataFrame:
+    return markup.cleaned(_read(spark, where, "wcxb_samples"), _read(spark, where, "test_responses"))
+
+
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
     return residue.find_residue(_read(spark, where, "wcxb_samples"), "file_id", "html", exact=True).withColumnRenamed("record", "file_id")
 
 
+def p2_clean(spark: SparkSession, where: str) -> DataFrame:
+    return residue.without_residue(_read(spark, where, "wcxb_samples"), "file_id", "html")
+
+
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
     return furniture.furniture_lines(_read(spark, where, "wcxb_samples"), "file_id", "html", "main_content_text").withColumnRenamed("record", "file_id")
 
 
+def p3_bodies(spark: SparkSession, where: str) -> DataFrame:
+    return furniture.main_bodies(_read(spark, where, "wcxb_samples"), "file_id", "html").withColumnRenamed("record", "file_id").distinct()
+
+
 def p5_found(spark: SparkSession, where: str) -> DataFrame:
     return lookalikes.lookalike_pairs(_read(spark, where, "templates"))
 
@@ -67,7 +79,7 @@ def p9_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -252,3 +252,18 @@ def test_found_queries_have_the_asked_columns(spark, data):
         df = queries.queries()[name](spark, data)
         assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == columns
         assert df.count() == df.distinct().count() > 0
+
+
+def test_texts_of_problems_1_to_3_are_queries(spark, data):
+    """p1_clean, p2_clean, p3_bodies: every record of the tables comes back."""
+    q = queries.queries()
+    pages, answers = spark.read.parquet(f"{data}/wcxb_samples.parquet"), spark.read.parquet(f"{data}/test_responses.parquet")
+    keys = {r[0] for r in pages.select("file_id").where("file_id IS NOT NULL").collect()}
+    clean = q["p1_clean"](spark, data).collect()
+    assert {r["record_key"] for r in clean if r["source_table"] == "wcxb_samples"} == keys and {int(r["record_key"]) for r in clean if r["source_table"] == "test_responses"} == {r[0] for r in answers.select("response_id").where("response_id IS NOT NULL").collect()}
+    assert {(r["source_table"], r["record_key"], k) for r in clean for k in r["kinds"]} == set(rows(q["p1_found"](spark, data))) and sum(bool(r["clean_text"]) for r in clean) > len(clean) // 2
+    found = {r[0] for r in q["p2_found"](spark, data).collect()}
+    kept = q["p2_clean"](spark, data)
+    assert kept.columns == pages.columns and {r[0] for r in kept.select("file_id").where("file_id IS NOT NULL").collect()} == keys - found
+    bodies = q["p3_bodies"](spark, data)
+    assert bodies.columns == ["file_id", "main_body"] and {r["file_id"] for r in bodies.collect() if r["file_id"]} == keys
