@@ -62,6 +62,7 @@ _FILLER = re.compile(
     re.I,
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCES = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])")
 _STOPS = re.compile(r"[.!?。！？।]+")
 
 
@@ -70,6 +71,14 @@ def is_notice(text: str) -> bool:
     return bool(NOTICE.search(text) or _CODE_ONLY.match(text))
 
 
+def notice_line(text: str) -> bool:
+    """Whether a line of any length is a notice: most of its sentences are, so that prose which mentions one is none."""
+    if not is_notice(text):
+        return False
+    parts = [x for x in _SENTENCES.split(text) if x.strip()]
+    return 2 * sum(len(x) for x in parts if is_notice(x.strip())) >= len("".join(parts))
+
+
 def is_filler(text: str) -> bool:
     """Pseudo-Latin, or the same sentence again and again, or a short line that names itself filler."""
     words = _WORD.findall(text.lower())

@@ -36,15 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from ..html.tree import Line
 from .mainbody import Page, weight
-from .notices import is_filler, is_notice
+from .notices import is_filler, is_notice, notice_line
 from .placeholders import has_placeholder
 
 SHINGLE, SIMILARITY = 5, 0.8
 HAMMING, PARTS = 6, 8
 #: About so many classes tell which shingles are common, and so many of the commonest are kept.
-SAMPLE, COMMON = 20_000, 50_000
-#: A page whose heaviest unit weighs less has no real content; a notice may have so much text besides.
+SAMPLE, COMMON = 5_000, 50_000
+#: A page whose main body weighs less has no real content, one with more may be a long notice; a notice may have so much text besides.
 CONTENT, BESIDE = 420.0, 170.0
 _MASKS = [(re.compile(r"\b[A-Z]{2}-\d+\b"), "§"), (re.compile(r"\d+"), "#"), (re.compile(r"/[a-z]{2,12}\b"), "/§"), (re.compile(r"\s+"), " ")]
 _WORDS = re.compile(r"\w+|#|§", re.U)
@@ -103,6 +104,19 @@ def site_name(page: Page) -> str:
     return re.split(r"\s[|–—·-]\s", text)[-1].strip() if re.search(r"\s[|–—·-]\s", text) else ""
 
 
+def _all_notice(lines: list[Line], heavy: float) -> bool:
+    """Whether a main body of the weight is a notice and little besides; the heaviest lines come first, so that content is told after a few."""
+    spare, found = 0.0, False
+    for x in sorted(lines, key=weight, reverse=True):
+        if not x.pre and notice_line(x.text):
+            found = True
+        elif not x.node.tag.startswith("h"):
+            spare += weight(x)
+            if spare > BESIDE and spare > 0.2 * heavy:
+                return False
+    return found
+
+
 def units_of(source: str | None) -> list[tuple[str, bool]]:
     """(masked text, trusted) of a page's units; the first is the page as a whole."""
     page = Page(source)
@@ -123,7 +137,7 @@ def units_of(source: str | None) -> list[tuple[str, bool]]:
         out.append((mask(" ".join(x.text for x in main), site), len(beside) <= 2 and spare <= max(BESIDE, 0.25 * total)))
         return out
     if heavy >= CONTENT:
-        return [(mask(" ".join(x.text for x in main), site), False)]
+        return [(mask(" ".join(x.text for x in main), site), _all_notice(main, heavy))]
     branches: dict[int, list] = {}
     for x in page.lines:
         chain = [x.node, *x.node.ancestors()]

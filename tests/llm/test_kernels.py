@@ -89,6 +89,15 @@ def test_units():
     assert trusted("<main><h1>T</h1><p>" + "Lorem ipsum dolor sit amet. " * 9 + "</p></main>") and units_of(None) == []
 
 
+def test_notices_of_any_length():
+    """p2_found: a page whose whole main body is a long error message is judged by it, one that mentions errors in prose is not."""
+    trusted = lambda body: any(t for _, t in units_of(f"<nav><a href=/>Home</a></nav><main><h1>Oops</h1>{body}</main>"))
+    trace = "".join(f"<p>Warning: include(part{k}.php) failed to open the wanted stream, at app.Page.render{k}(Page.java:{k}1)</p>" for k in range(9))
+    assert trusted(trace) and trusted("<p>" + "Something went wrong on our side and the page cannot be shown. The server met a problem with your request. " * 4 + "Try later.</p>")
+    assert trusted("<p>" + "サーバーエラーのためにこのページを表示することができませんでした。メンテナンス中のためしばらくお待ちください。" * 5 + "</p>")
+    assert not trusted(f"<p>{PROSE * 2}The printer only said that something went wrong. {PROSE}</p>") and not trusted(f"<p>{PROSE * 2}</p><p>Something went wrong.</p>")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=HAMMING, unique=True))
 def test_simhash_tables_find_every_close_signature(value, flips):
