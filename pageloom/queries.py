@@ -284,7 +284,7 @@ def minhash_sql(spark: SparkSession, where: str) -> DataFrame:
 
 
 def band_probe(spark: SparkSession, where: str) -> DataFrame:
-    """Pages of a host that share a band of four slots, with their estimated likeness."""
+    """Pages of a host that share a band of four slots with the first page that has it, and in how many bands; band_pairs has all pairs."""
     bands = _sketch(spark, where).groupBy("file_id", F.floor(F.col("slot") / 4).alias("band")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "mark"))), lambda x: x["mark"]), ",").alias("key"))
     hosts = _pages(spark, where).where("host IS NOT NULL").select("file_id", F.lower("host").alias("host")).distinct()
     b = bands.join(hosts, "file_id")
@@ -292,6 +292,29 @@ def band_probe(spark: SparkSession, where: str) -> DataFrame:
     return b.join(first, ["host", "band", "key"]).where("file_a < file_id").groupBy("host", "file_a", F.col("file_id").alias("file_b")).agg(F.count("*").alias("bands"))
 
 
+def _sketched(spark: SparkSession, where: str) -> DataFrame:
+    marks = _sketch(spark, where).groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "mark"))), lambda x: x["mark"]).alias("marks"))
+    hosts = _pages(spark, where).where("host IS NOT NULL").select("file_id", F.lower("host").alias("host")).distinct()
+    return marks.join(hosts, "file_id")
+
+
+def band_classes(spark: SparkSession, where: str) -> DataFrame:
+    """The class of every page with a sketch: the first page of its host with the very same sketch."""
+    pages = _sketched(spark, where)
+    first = pages.groupBy("host", "marks").agg(F.min("file_id").alias("class_id"))
+    return pages.join(first, ["host", "marks"]).select("host", "file_id", "class_id")
+
+
+def band_pairs(spark: SparkSession, where: str) -> DataFrame:
+    """All pairs of classes of a host that share a band of four slots, with the share of equal slots; band_classes has the pages of a class."""
+    classes = _sketched(spark, where).groupBy("host", "marks").agg(F.min("file_id").alias("page"))
+    bands = classes.select("host", "page", "marks", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("marks", k * 4 + 1, 4))).alias("band", "key"))
+    side = lambda x: bands.select("host", "band", "key", F.col("page").alias(f"file_{x}"), F.col("marks").alias(f"marks_{x}"))
+    same = F.size(F.filter(F.zip_with("marks_a", "marks_b", lambda a, b: a == b), lambda x: x))
+    both = side("a").join(side("b"), ["host", "band", "key"]).where("file_a < file_b").select("host", "file_a", "file_b", (same / F.lit(16)).alias("likeness"))
+    return both.groupBy("host", "file_a", "file_b").agg(F.max("likeness").alias("likeness"))
+
+
 def gram_cosine(spark: SparkSession, where: str) -> DataFrame:
     """The cosine of every page's tag counts with its host's first page."""
     counts = tag_events(spark, where).select("file_id", "tag", "n")
@@ -419,7 +442,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     p4_found, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
     node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan,
-    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe,
+    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe, band_classes, band_pairs,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,
     longest_drift, true_likeness, fence_versions, fence_at_version, store_history, store_changes, latest_templates, aging_score, status_report,
 )

@@ -216,6 +216,29 @@ def test_site_map(spark):
     assert rows(skeleton.site_map(links, seeds, 2)) == [("http://a/", "http://a/", 0), ("http://a/", "http://a/1", 1), ("http://a/", "http://a/2", 2)]
 
 
+def test_band_pairs_against_brute_force(spark, tmp_path):
+    """band_probe's whole job: every pair of pages that share a band, also those of which neither is the first of its bucket."""
+    pages = []
+    for k in range(9):
+        own = "".join(f"<{t}><b></b><i></i></{t}>" for t in ("ul", "ol", "dl", "nav", "pre", "em", "dfn", "kbd", "sup")[: 1 + k % 6])
+        pages.append((f"p{k}", "H.test" if k < 8 else None, "<div><p><a></a></p></div><table><tr><td><h1></h1></td></tr></table><main><section><h2></h2></section></main>" + own))
+    spark.createDataFrame(pages, "file_id string, host string, html string").write.parquet(f"{tmp_path}/wcxb_samples.parquet")
+    q, marks = queries.queries(), {}
+    for r in q["minhash_sql"](spark, str(tmp_path)).collect():
+        marks.setdefault(r["file_id"], {})[r["slot"]] = r["mark"]
+    del marks["p8"]
+    slots = {k: [m[i] for i in range(16)] for k, m in marks.items()}
+    band = lambda a, b: any(slots[a][i : i + 4] == slots[b][i : i + 4] for i in (0, 4, 8, 12))
+    want = {(a, b): sum(x == y for x, y in zip(slots[a], slots[b])) / 16 for a in slots for b in slots if a < b and band(a, b)}
+    first = {r["file_id"]: r["class_id"] for r in q["band_classes"](spark, str(tmp_path)).collect()}
+    pairs = {(r["file_a"], r["file_b"]): r["likeness"] for r in q["band_pairs"](spark, str(tmp_path)).collect()}
+    assert first == {a: min(b for b in slots if slots[b] == slots[a]) for a in slots} and len(set(first.values())) < len(first)
+    got = {(a, b): 1.0 if first[a] == first[b] else pairs.get(tuple(sorted((first[a], first[b])))) for a in slots for b in slots if a < b}
+    assert {k: v for k, v in got.items() if v is not None} == want
+    probed = {(r["file_a"], r["file_b"]) for r in q["band_probe"](spark, str(tmp_path)).collect()}
+    assert set(want) - probed
+
+
 def test_every_query_is_registered_and_has_its_columns(spark, data):
     q, sql = queries.queries(), queries.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
