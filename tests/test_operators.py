@@ -239,6 +239,15 @@ def test_band_pairs_against_brute_force(spark, tmp_path):
     assert set(want) - probed
 
 
+def test_probe_templates_are_whole_fingerprints(spark, monkeypatch):
+    """fast_probe, slow_probe: pages alike in the four slots of ``hex`` but not in the rest are templates of their own."""
+    prints = spark.createDataFrame([(p, "h.test", "same", [1, 2, 3, 4, n], [n], {"g": 1.0}, 1.0) for p, n in (("a", 5), ("b", 6), ("c", 5))], "page string, host string, hex string, minhash array<int>, bands array<int>, grams map<string,double>, norm double")
+    seen = spark.createDataFrame([(p, datetime(2025, 1, k)) for k, p in enumerate("abc", 1)], "file_id string, crawled_at timestamp")
+    monkeypatch.setattr(queries, "page_fingerprints", lambda *_: prints)
+    monkeypatch.setattr(queries, "_pages", lambda *_: seen)
+    assert rows(queries._probe_sides(spark, "")[1].select("template_id", "observation_count")) == [("a", 2), ("b", 1)]
+
+
 def test_every_query_is_registered_and_has_its_columns(spark, data):
     q, sql = queries.queries(), queries.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
