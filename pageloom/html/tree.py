@@ -72,10 +72,14 @@ class Node:
             self._attrs = _attributes(self._attrs)
         return self._attrs
 
+    def has(self, name: str) -> bool:
+        """Whether there is an attribute of the (lower-case) name; the source is only taken apart where the name occurs in it."""
+        raw = self._attrs
+        return bool(raw) and name in (raw.lower() if type(raw) is str else raw) and name in self.attrs
+
     @property
     def hidden(self) -> bool:
-        raw = self._attrs
-        return bool(raw) and "hidden" in (raw.lower() if type(raw) is str else raw) and "hidden" in self.attrs
+        return self.has("hidden")
 
     def iter(self) -> Iterator["Node"]:
         """This element and its descendants, in document order."""
