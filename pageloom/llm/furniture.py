@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mainbody import Page, main_text, stray_lines
-from .residue import find_residue, units_of
+from ..checkpoints import stored
+from .mainbody import Page, main_text
+from .residue import labelled_records, residue_units
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,25 +23,16 @@ def main_bodies(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key).cast("string").alias("record"), F.col(html).alias("source")).mapInPandas(_bodies, "record string, main_body string")
 
 
-def _strays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for key, source, content in zip(pdf["record"], pdf["source"], pdf["content"]):
-            page = Page(source)
-            rows += [(key, n) for n in stray_lines(page, content)]
-        yield pd.DataFrame(rows, columns=["record", "line_no"])
-
-
 def furniture_lines(pages: DataFrame, key: str, html: str, content: str) -> DataFrame:
     """``record, line_no``: the lines of ``content``, counted from 1, that are furniture of the page.
 
-    Pages of problem 2 are left out.  Null or empty pages or contents give no rows, rows with
-    a null key are ignored, a repeated row counts once, other columns are not read.
+    Pages of problem 2 are left out; a page is parsed once for its own lines and for the units
+    that tell whether it is one.  Null or empty pages or contents give no rows, rows with a
+    null key are ignored, a repeated row counts once, other columns are not read.
     """
-    rows = pages.where(F.col(key).isNotNull() & F.col(html).isNotNull() & (F.length(F.col(content)) > 0))
-    source = rows.select(F.col(key).cast("string").alias("record"), F.col(html).alias("source"), F.col(content).alias("content"))
-    strays = source.mapInPandas(_strays, "record string, line_no int").distinct()
-    return strays.join(find_residue(pages, key, html, exact=True), "record", "left_anti")
+    units = stored(residue_units(pages, key, html, content))
+    strays = units.where("strays IS NOT NULL").select("record", F.explode("strays").alias("line_no"))
+    return strays.join(labelled_records(units).select("record"), "record", "left_anti").distinct()
 
 
-__all__ = ["furniture_lines", "main_bodies", "units_of"]
+__all__ = ["furniture_lines", "main_bodies"]

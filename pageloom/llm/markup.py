@@ -2,10 +2,11 @@
 
 Pages go through the line-block distribution: markup is stripped into lines, the text
 weights of sliding windows give the surge and dive points, and the text between them is
-kept, with headings, lists, tables, code blocks and formulas as light Markdown.  Answers
-are Markdown already and hold no site furniture, so they are kept whole, without blank
-lines at either end.  The kinds of residue are found in the same pass, on the whole
-visible text (for a page, furniture included), outside code and placeholders.
+kept, with headings, lists, tables, code blocks and formulas as light Markdown.  Residue
+is looked for in that text alone, outside code and placeholders; what a menu or a footer
+shows is dropped with it and makes no record an affected one.  Answers are Markdown
+already, one body without site furniture: their distribution has nothing to cut, so they
+are kept whole, without blank lines at either end.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..html.tree import Line, Node, body_of, lines_of, parse
+from ..html.tree import Line, Node
 from .mainbody import Page
 from .notations import FOREIGN_SIGNS, clean, hide_markdown_code, kinds_in, newlines
 
@@ -25,8 +26,8 @@ _SCHEMA = "record_key string, kinds array<string>, clean_text string"
 
 
 def page_kinds(source: str | None) -> list[str]:
-    """Kinds of foreign markup in what a reader sees of a page."""
-    return _kinds_of(lines_of(body_of(parse(source)))) if source else []
+    """Kinds of foreign markup in the text that the line-block distribution keeps of a page."""
+    return _kinds_of(Page(source).main_lines()) if source else []
 
 
 def _kinds_of(lines: list[Line]) -> list[str]:
@@ -40,7 +41,8 @@ def answer_kinds(markdown: str | None) -> list[str]:
     return kinds_in(hide_markdown_code(newlines(markdown)), own_markdown=True)
 
 
-def _prefix(node: Node) -> str:
+def _prefix(node: Node, numbers: dict[int, int]) -> str:
+    """The Markdown mark of a line's owner; ``numbers`` has the places of list items already met."""
     tag = node.tag
     if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
         return "#" * int(tag[1]) + " "
@@ -49,7 +51,9 @@ def _prefix(node: Node) -> str:
         parent = node.parent
         mark = "- "
         if parent is not None and parent.tag == "ol":
-            mark = f"{[x for x in parent.elements() if x.tag == 'li'].index(node) + 1}. "
+            if id(node) not in numbers:
+                numbers.update((id(x), n) for n, x in enumerate((x for x in parent.elements() if x.tag == "li"), 1))
+            mark = f"{numbers[id(node)]}. "
         return "  " * max(0, depth - 1) + mark
     return "> " if tag == "blockquote" else ""
 
@@ -62,6 +66,7 @@ def clean_page(source: str | None) -> str:
 def _text_of(page: Page) -> str:
     out: list[str] = []
     row = None
+    numbers: dict[int, int] = {}
     for x in page.main_lines():
         here = next((a for a in (x.node, *x.node.ancestors()) if a.tag == "tr"), None)
         if x.pre:
@@ -77,8 +82,8 @@ def _text_of(page: Page) -> str:
             text.append((" " if at and rest.startswith(" ") else "") + clean(rest))
             line = "".join(text)
             if line:
-                prefix = _prefix(x.node) if x.node.tag != "p" or x.node.parent is None else _prefix(x.node) or ("> " if x.node.parent.tag == "blockquote" else "")
-                out.append(prefix + line)
+                quoted = x.node.tag == "p" and x.node.parent is not None and x.node.parent.tag == "blockquote"
+                out.append(("> " if quoted else _prefix(x.node, numbers)) + line)
         row = here
     return "\n\n".join(out)
 
@@ -90,7 +95,7 @@ def clean_answer(markdown: str | None) -> str:
 
 def _page_both(source: str | None) -> tuple[list[str], str]:
     page = Page(source)
-    return _kinds_of(page.lines), _text_of(page)
+    return _kinds_of(page.main_lines()), _text_of(page)
 
 
 def _kernel(page: bool, text: bool):

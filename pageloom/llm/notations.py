@@ -31,17 +31,18 @@ _MARKDOWN = [
     (n, re.compile(p, re.M))
     for n, p in (
         ("#", r"^[ \t]{0,3}#{1,6}[ \t]+\S"),  # heading
-        ("**", r"(?<![\w*\\])\*\*(?=[^\s*])[^\n*]{1,200}?(?<=[^\s*\\])\*\*(?!\*)"),  # strong
-        ("**", r"(?<!\*)\*\*(?=[^\s*])[^\n*]{1,200}?(?<=[^\s*\\])\*\*(?![\w*])"),
-        ("__", r"(?<![\w\\_])__(?=[^\s_])[^\n]{1,200}?(?<=[^\s_\\])__(?![\w])"),
-        ("~~", r"(?<![~\\])~~(?=[^\s~])[^\n~]{1,200}?(?<=[^\s~])~~(?!~)"),  # struck out
-        ("](", r"!?\[[^\[\]\n]{0,300}\]\((?:<[^<>\n]*>|[^\s()]+)(?:[ \t]+\"[^\"\n]*\")?\)"),  # link, picture
-        ("[^", r"\[\^[\w-]{1,40}\]"),  # footnote
+        ("**", r"(?<![\w*\\])\*\*(?=[^\s*])[^\n*]+?(?<=[^\s*\\])\*\*(?!\*)"),  # strong
+        ("**", r"(?<!\*)\*\*(?=[^\s*])[^\n*]+?(?<=[^\s*\\])\*\*(?![\w*])"),
+        ("__", r"(?<![\w\\_])__(?=[^\s_])(?:[^\n_]|_(?!_))+(?<=[^\s_\\])__(?![\w])"),
+        ("__", r"^(?=[^\n]*[぀-ヿ㐀-鿿])(?:[^\n_]|_(?!_))*__(?=[^\s_])(?:[^\n_]|_(?!_))+(?<=[^\s_\\])__(?!_)"),  # a script without spaces has no word edges
+        ("~~", r"(?<![~\\])~~(?=[^\s~])[^\n~]+(?<=[^\s~])~~(?!~)"),  # struck out
+        ("](", r"!?\[[^\[\]\n]*\]\((?:<[^<>\n]*>|[^\s()]+)(?:[ \t]+\"[^\"\n]*\")?\)"),  # link, picture
+        ("[^", r"\[\^[\w-]+\]"),  # footnote
         ("", r"^[ \t]*(?:```|~~~)"),  # fence
-        ("`", r"(?<![`\\])`[^`\n]{1,200}`(?!`)"),  # code
+        ("`", r"(?<![`\\])`[^`\n]+`(?!`)"),  # code
         (">", r"^[ \t]{0,3}>[ \t]+\S"),  # quotation
         ("---", r"(?:^|\s)\|[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|"),  # rule of a table
-        ("]:", r"^[ \t]{0,3}\[[^\]\n]{1,100}\]:[ \t]+\S"),  # reference
+        ("]:", r"^[ \t]{0,3}\[[^\]\n]+\]:[ \t]+\S"),  # reference
         ("[", r"^[ \t]*[-*+][ \t]\[[ xX]\][ \t]"),  # task
         ("*", r"^[ \t]{0,3}\*[ \t]+\S.*\n[ \t]{0,3}\*[ \t]+\S"),
     )
@@ -49,10 +50,10 @@ _MARKDOWN = [
 _WIKI = [
     (n, re.compile(p, re.M))
     for n, p in (
-        ("[[", r"\[\[(?=[^\s\[\]|])[^\[\]\n]{1,300}\]\]"),
-        ("==", r"(?:^|(?<=\s))(={2,6})[ \t]*(?=[^\s=])[^=\n]{1,200}?[ \t]*\1(?=\s|$)"),
-        ("'''", r"(?<!')'''(?=[^\s'])[^\n]{1,200}?'''(?!')"),
-        ("''", r"(?<!')''(?=[^\s'])[^'\n]{1,200}?''(?!')"),
+        ("[[", r"\[\[(?=[^\s\[\]|])[^\[\]\n]+\]\]"),
+        ("==", r"(?:^|(?<=\s))(={2,6})[ \t]*(?=[^\s=])[^=\n]+\1(?=\s|$)"),
+        ("'''", r"(?<!')'''(?=[^\s'])(?:[^\n']|'(?!''))+'''(?!')"),
+        ("''", r"(?<!')''(?=[^\s'])[^'\n]+''(?!')"),
         ("|", r"\{\|[ \t]*(?:class|style|border|cellpadding|width)\b|\{\|(?=.*\|\})|^\|-(?!-)"),
         ("__", r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX|NEWSECTIONLINK|NOGALLERY|HIDDENCAT)__"),
         ("://", r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+[ \t]+[^\[\]\n]+\](?!\])"),
@@ -67,9 +68,9 @@ _LATEX = [
         ("\\", r"(?<!\\)\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}?"),
         ("\\", r"(?<!\\)\\(?:item|hline|centering|noindent|newpage|maketitle|tableofcontents|newline|par|LaTeX|TeX|ldots|dots|quad|qquad|bigskip|"
         r"medskip|smallskip|sum|prod|int|infty|alpha|beta|gamma|delta|lambda|sigma|theta|times|cdot|leq?|geq?|neq?|pm|approx|rightarrow)(?![A-Za-z])"),
-        ("\\", r"(?<!\\)\\[(\[](?=[^\n]{1,300}?\\[)\]])"),
-        ("$", r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]{0,200}[\\^_={}+])[^$\n]{1,200}?(?<=[^\s\\$])\$(?![\w$])"),
-        ("$$", r"\$\$[^$]{1,500}\$\$"),
+        ("\\", r"(?<!\\)\\[(\[](?=(?:[^\n\\]|\\(?![()\[\]]))+\\[)\]])"),
+        ("$", r"(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}+])[^$\n]+(?<=[^\s\\$])\$(?![\w$])"),
+        ("$$", r"\$\$[^$]+\$\$"),
     )
 ]
 
@@ -138,33 +139,36 @@ def kinds_in(text: str, own_markdown: bool = False) -> list[str]:
 
 # ---------------------------------------------------------------------------------- conversion
 
-_STEPS = [
+#: Steps that take marks of Markdown away, which stay where it is the text's own notation.
+_OWN_STEPS = [
+    (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
+    (re.compile(r"\[([^\[\]\n^]+)\]\((?:<[^<>\n]*>|[^\s()]+)(?:[ \t]+\"[^\"\n]*\")?\)"), r"\1"),
+    (re.compile(r"\[\^[\w-]+\]:?"), ""),
+    (re.compile(r"(?<!\*)\*\*(?=\S)([^\n*]+)(?<=\S)\*\*"), r"\1"),
+    (re.compile(r"(?<![\w_])__(?=[^\s_])((?:[^\n_]|_(?!_))+)(?<=[^\s_])__(?!\w)"), r"\1"),
+    (re.compile(r"~~(?=\S)([^\n~]+)(?<=\S)~~"), r"\1"),
+]
+#: Steps for the notations that are foreign everywhere.
+_FOREIGN_STEPS = [
     (_COMMENT, ""),
     (re.compile(r"<br\s*/?>", re.I), "\n"),
     (_TAG, ""),
-    (re.compile(r"^[ \t]{0,3}(#{1,6})[ \t]+", re.M), lambda m: m[1] + " "),
-    (re.compile(r"(?:^|(?<=\s))(={2,6})[ \t]*(?=[^\s=])([^=\n]{1,200}?)[ \t]*\1(?=\s|$)", re.M), lambda m: "#" * len(m[1]) + " " + m[2]),
+    (re.compile(r"(?:^|(?<=\s))(={2,6})[ \t]*(?=[^\s=])([^=\n]+?)[ \t]*\1(?=\s|$)", re.M), lambda m: "#" * len(m[1]) + " " + m[2]),
     (re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}\n]*)\}"), lambda m: {"part": "# ", "chapter": "# ", "section": "## ", "subsection": "### "}.get(m[1], "#### ") + m[2]),
-    (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
     (re.compile(r"(?<!\[)\[(?:https?|ftp)://[^\s\[\]]+[ \t]+([^\[\]\n]+)\](?!\])"), r"\1"),
-    (re.compile(r"\[([^\[\]\n^]{1,300})\]\((?:<[^<>\n]*>|[^\s()]+)(?:[ \t]+\"[^\"\n]*\")?\)"), r"\1"),
-    (re.compile(r"\[\^[\w-]{1,40}\]:?"), ""),
     (re.compile(r"\[\[Category:[^\[\]\n]*\]\]", re.I), ""),
     (re.compile(r"\[\[(?:File|Image|Datei|Archivo|Fichier):[^\[\]\n]*?\|?([^\[\]|\n]*)\]\]", re.I), r"\1"),
     (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
     (_SWITCH, ""),
     (re.compile(r"\{\|[^\n|]*|\|\}"), ""),
     (_WIKI[-1][1], lambda m: m[0] if PLACEHOLDER.fullmatch(m[0]) else ""),
-    (re.compile(r"'{2,5}(?=\S)([^\n]{1,200}?)'{2,5}"), r"\1"),
-    (re.compile(r"(?<!\*)\*\*(?=\S)([^\n*]{1,200}?)(?<=\S)\*\*"), r"\1"),
-    (re.compile(r"(?<![\w_])__(?=[^\s_])([^\n]{1,200}?)(?<=[^\s_])__(?!\w)"), r"\1"),
-    (re.compile(r"~~(?=\S)([^\n~]{1,200}?)(?<=\S)~~"), r"\1"),
+    (re.compile(r"'{2,5}(?=[^\s'])((?:[^\n']|'(?!'))+)'{2,5}"), r"\1"),
     (re.compile(r"\\begin\{(?:itemize|enumerate|description)\}|\\end\{(?:itemize|enumerate|description)\}"), ""),
     (re.compile(r"\\item(?:\[[^\]\n]*\])?[ \t]*"), "\n- "),
     (re.compile(r"~?\\(?:cite|citep|citet|label|ref|pageref|footnote|index|vspace|hspace)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}"), ""),
     (re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|text|mbox)\{([^{}\n]*)\}"), r"\1"),
-    (re.compile(r"\\\(([^\n]{1,300}?)\\\)"), r"$\1$"),
-    (re.compile(r"\\\[([^\n]{1,300}?)\\\]"), r"$$\1$$"),
+    (re.compile(r"\\\(((?:[^\n\\]|\\(?![()\[\]]))+)\\\)"), r"$\1$"),
+    (re.compile(r"\\\[((?:[^\n\\]|\\(?![()\[\]]))+)\\\]"), r"$$\1$$"),
 ]
 
 
@@ -172,8 +176,17 @@ def clean(text: str, own_markdown: bool = False) -> str:
     """The text without foreign markup; headings, list entries, code and formulas stay recognisable.
 
     Code blocks and inline code are untouched.  Formulas become ``$...$`` or ``$$...$$``.
-    Where Markdown is the text's own notation, its own marks stay.
+    Where Markdown is the text's own notation, its own marks stay.  A clean text stays as it
+    is: what becomes markup once entities are decoded is taken away as well.
     """
+    while True:
+        new = _cleaned(text, own_markdown)
+        if new == text:
+            return new
+        text = new
+
+
+def _cleaned(text: str, own_markdown: bool) -> str:
     kept: list[str] = []
 
     def keep(m: re.Match) -> str:
@@ -182,17 +195,19 @@ def clean(text: str, own_markdown: bool = False) -> str:
 
     text = newlines(text).replace(HIDDEN, "")
     if own_markdown:
-        for pattern in (_FENCE, _OPEN_FENCE, _TICKS, _AUTOLINK, _ESCAPE):
-            if pattern is _ESCAPE:
-                continue
+        for pattern in (_FENCE, _OPEN_FENCE, _INDENTED, _TICKS, _AUTOLINK):
             text = pattern.sub(keep, text)
-    for pattern, into in _STEPS:
-        if own_markdown and pattern.pattern[:2] in ("!\\", "(?") and ("\\*\\*" in pattern.pattern or "__" in pattern.pattern or "!\\[" in pattern.pattern or "\\^" in pattern.pattern):
-            continue
+    for pattern, into in (*_FOREIGN_STEPS, *([] if own_markdown else _OWN_STEPS)):
         text = pattern.sub(into, text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: _html.unescape(m[0]), text).replace(" ", " ")
-    text = re.sub(rf"{HIDDEN}(\d+){HIDDEN}", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", text)
     text = re.sub(r"[ \t]+\n", "\n", text)
     text = re.sub(r"(?<=\S)[ \t]{2,}", " ", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    text = re.sub(r"\n{3,}", "\n\n", text).strip("\n")
+    text = text if own_markdown else text.strip()
+    while f"{HIDDEN}" in text:  # code that stands inside other kept code comes back last
+        new = re.sub(rf"{HIDDEN}(\d+){HIDDEN}", lambda m: kept[int(m[1])] if int(m[1]) < len(kept) else "", text)
+        if new == text:
+            break
+        text = new
+    return text.rstrip() if own_markdown else text

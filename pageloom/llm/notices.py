@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
 # What error, block and outage pages and script, cookie, browser and check notices say, by language, in lower case.
 _NOTICES = r"""
@@ -42,8 +44,132 @@ javascriptを有効に|cookieを有効に|ブラウザを確認して|ページ
 जावास्क्रिप्ट|पृष्ठ नहीं मिला|पन्ना नहीं मिला|पहुँच अस्वीकृत|सर्वर त्रुटि|रखरखाव|लॉग ?इन करें
 เปิดใช้งาน\s?(?:javascript|จาวาสคริปต์)|ไม่พบหน้า|การเข้าถึงถูกปฏิเสธ|ข้อผิดพลาดของเซิร์ฟเวอร์|ปิดปรับปรุง|โปรดเข้าสู่ระบบ
 """
-NOTICE = re.compile("|".join(f"(?:{x})" for x in _NOTICES.strip().split("\n")), re.I)
 _CODE_ONLY = re.compile(r"^(?:error |fehler |erreur |http )?(?:40[0-9]|410|418|429|451|50[0-9]|52[0-9])\b[ .:–-]*$", re.I)
+_CODES = re.compile(r"40[0-9]|410|418|429|451|50[0-9]|52[0-9]")
+_QUANTIFIED = re.compile(r"[?*+]|\{[^}]*\}")
+
+
+def _split(pattern: str) -> list[str]:
+    """The alternatives of a pattern, outside its groups and classes."""
+    out, depth, at, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+        i += 1
+    return [*out, pattern[at:]]
+
+
+def needles_of(pattern: str) -> list[str]:
+    """Strings of which every match of the pattern (one alternative, lower case) holds at least one; empty where none are plain."""
+    runs: list[list[str]] = []  # every entry: strings of which one must be there
+    run, i = "", 0
+    while i < len(pattern):
+        c, group = pattern[i], None
+        if c == "\\":
+            plain = pattern[i + 1] if pattern[i + 1] in ".()" else None
+            i += 2
+        elif c == "(":
+            end = i
+            depth = 0
+            while True:
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                end += 1
+                if not depth:
+                    break
+            group, plain = pattern[i + 3 : end - 1], None
+            i = end
+        elif c == "[":
+            plain, i = None, pattern.index("]", i) + 1
+        else:
+            plain = None if c in ".^$" else c
+            i += 1
+        m = _QUANTIFIED.match(pattern, i)
+        if m:
+            i, plain = m.end(), None
+        if plain is not None:
+            run += plain
+            continue
+        runs.append([run])
+        run = ""
+        if group is not None and not (m and (m[0][0] in "?*" or m[0].startswith("{0"))):
+            inner = [needles_of(x) for x in _split(group)]
+            if all(inner):
+                runs.append([y for x in inner for y in x])
+    runs.append([run])
+    best = max(runs, key=lambda r: min(map(len, r)))
+    return best if min(map(len, best)) > 1 else []
+
+
+class Finder:
+    """Many lower-case patterns at once: one pass over the text finds the plain strings in it, and only the patterns with one of them are tried."""
+
+    def __init__(self, *patterns: str):
+        alternatives = [y for x in patterns for y in _split(x)]
+        self.compiled = [re.compile(x) for x in alternatives]
+        self.needles: dict[str, list[int]] = {}
+        for i, x in enumerate(alternatives):
+            found = needles_of(x)
+            if not found:
+                raise ValueError(f"a pattern without a plain string: {x}")
+            for n in found:
+                self.needles.setdefault(n, []).append(i)
+        try:
+            import ahocorasick
+        except ImportError:
+            self.automaton = None
+        else:
+            self.automaton = ahocorasick.Automaton()
+            for n, which in self.needles.items():
+                self.automaton.add_word(n, which)
+            self.automaton.make_automaton()
+
+    def _met(self, low: str) -> Iterator[list[int]]:
+        if self.automaton is None:
+            return (which for n, which in self.needles.items() if n in low)
+        return (which for _, which in self.automaton.iter(low))
+
+    def may(self, low: str) -> bool:
+        """False only where no part of the text matches."""
+        return next(self._met(low), None) is not None
+
+    def search(self, low: str) -> bool:
+        """Whether a pattern matches in the lower-case text."""
+        tried: set[int] = set()
+        for which in self._met(low):
+            for i in which:
+                if i not in tried:
+                    tried.add(i)
+                    if self.compiled[i].search(low):
+                        return True
+        return False
+
+
+@functools.cache
+def _notices() -> Finder:
+    return Finder(*_NOTICES.strip().split("\n"))
+
+
+@functools.cache
+def _fillers() -> Finder:
+    return Finder(_FILLER)
+
+
+def _low(text: str) -> str:
+    return text.lower().replace("’", "'")
+
+
+def may_hold_notice(text: str) -> bool:
+    """False only where no part of the text can be a notice."""
+    return _notices().may(_low(text)) or _CODES.search(text) is not None
+
 
 # Words of pseudo-Latin filler.
 LOREM = frozenset(
@@ -55,20 +181,21 @@ LOREM = frozenset(
     "fenis fira tarim serum nomar minal pellum utrum obel curabo elis".split()
 )
 # What repeated filler says.
-_FILLER = re.compile(
+_FILLER = (
     r"(?:sample|dummy|placeholder|filler|blind|example) (?:text|copy|content|paragraph)|placeholder (?:text|paragraph)|blindtext|platzhalter|fülltext|texto de (?:relleno|ejemplo|prueba)|"
     r"texte (?:de remplissage|factice|d'exemple)|faux[- ]texte|текст[- ](?:заполнитель|рыба|заглушка)|рыба[- ]текст|пример текста|ダミー(?:テキスト|文)|サンプルテキスト|占位(?:文本|文字)|示例文(?:本|字)|填充文(?:本|字)|"
-    r"نص تجريبي|نص وهمي|नमूना पाठ|ข้อความตัวอย่าง|ข้อความจำลอง",
-    re.I,
+    r"نص تجريبي|نص وهمي|नमूना पाठ|ข้อความตัวอย่าง|ข้อความจำลอง"
 )
+#: Of these, words that other languages share say nothing alone.
+_SHARED = frozenset("a ad amet ante culpa do dolor duis ea elis est et eu ex fames id in nisi non odio quam quis sed sit sunt tempus ut vitae".split())
+_TOLD = LOREM - _SHARED
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])")
 _STOPS = re.compile(r"[.!?。！？।]+")
 
 
 def is_notice(text: str) -> bool:
-    text = text.replace("’", "'")
-    return bool(NOTICE.search(text) or _CODE_ONLY.match(text))
+    return _notices().search(_low(text)) or bool(_CODE_ONLY.match(text))
 
 
 def notice_line(text: str) -> bool:
@@ -79,12 +206,26 @@ def notice_line(text: str) -> bool:
     return 2 * sum(len(x) for x in parts if is_notice(x.strip())) >= len("".join(parts))
 
 
-def is_filler(text: str) -> bool:
-    """Pseudo-Latin, or the same sentence again and again, or a short line that names itself filler."""
-    words = _WORD.findall(text.lower())
-    if len(words) >= 4 and sum(w in LOREM for w in words) >= 0.6 * len(words):
-        return True
-    parts = [x.strip().lower() for x in _STOPS.split(text) if x.strip()]
-    if len(parts) >= 3 and len(set(parts)) <= len(parts) // 3:
-        return True
-    return len(text) < 60 and bool(_FILLER.search(text)) and len(parts) <= 1 and len(words) <= 6
+def may_hold_filler(text: str) -> bool:
+    """False only where no line of the text can be pseudo-Latin or name itself filler."""
+    low = text.lower()
+    return not _TOLD.isdisjoint(_WORD.findall(low)) or _fillers().may(low)
+
+
+def is_filler(text: str, told: bool = True) -> bool:
+    """Pseudo-Latin, or the same sentence again and again, or a short line that names itself filler.
+
+    ``told`` says that ``may_hold_filler`` holds for the text around, so that only repetition is left to look for where it does not.
+    """
+    words: list[str] = []
+    if told:
+        words = _WORD.findall(text.lower())
+        if len(words) >= 4 and not _SHARED.issuperset(words) and sum(w in LOREM for w in words) >= 0.6 * len(words):
+            return True
+    if len(_STOPS.findall(text)) >= 2:
+        parts = [x.strip().lower() for x in _STOPS.split(text) if x.strip()]
+        if len(parts) >= 3 and len(set(parts)) <= len(parts) // 3:
+            return True
+        if len(parts) > 1:
+            return False
+    return told and len(text) < 60 and len(words) <= 6 and _fillers().search(text.lower()) and sum(bool(x.strip()) for x in _STOPS.split(text)) <= 1

@@ -23,7 +23,7 @@ def p1_clean(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
-    return residue.find_residue(_read(spark, where, "wcxb_samples"), "file_id", "html", exact=True).withColumnRenamed("record", "file_id")
+    return residue.find_residue(_read(spark, where, "wcxb_samples"), "file_id", "html").withColumnRenamed("record", "file_id")
 
 
 def p2_clean(spark: SparkSession, where: str) -> DataFrame:
@@ -58,6 +58,10 @@ def p6_clean(spark: SparkSession, where: str) -> DataFrame:
     return sitelines.without_repeated(_read(spark, where, "fixtures"), "id", "host", "html")
 
 
+def p6_blocks(spark: SparkSession, where: str) -> DataFrame:
+    return sitelines.boilerplate_blocks(_read(spark, where, "fixtures"), "id", "host", "html").select("site", "lines", "support", "text")
+
+
 def p7_found(spark: SparkSession, where: str) -> DataFrame:
     return leakage.found(_read(spark, where, "documents"), _read(spark, where, "eval_items"))
 
@@ -79,7 +83,7 @@ def p9_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_bodies": p3_bodies, "p5_found": p5_found, "p5_groups": p5_groups, "p5_wandering": p5_wandering, "p6_found": p6_found, "p6_clean": p6_clean, "p6_blocks": p6_blocks, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -70,7 +70,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿　-〿＀-￯]")
 _THAI = r"[฀-๎]"
 _THAI_GAP = re.compile(rf"(?<={_THAI})\s+(?={_THAI})")
 _THAI_ANY = re.compile(_THAI)
-_WORD_BEFORE = re.compile(r"[^\s(\[（「『“„«\"‘¿¡—–-]+$")
+_BEFORE_WORD = frozenset("([（「『“„«\"‘¿¡—–-")
 _WORD_AFTER = re.compile(r"[\w'’.]+")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|nicht|ein|eine|von|vor|im|am|bei)\b|[ßäöü]", re.I)
 _PAIRS = {"“": "”", "„": "“", "«": "»", "»": "«", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
@@ -78,6 +78,8 @@ _QUOTE_MARKS = re.compile(r"[“”„«»「」『』（）()\[\]【】《》
 _QUOTES = frozenset("“„«「『‹\"")
 _PARTICLE = re.compile(r"[とってかなのにはがをもやで、，,：:；;]")
 
+#: Longer spans have no length score.
+SHORT = 6
 LENGTH_SHORT, LENGTH_NUMBER, UNBALANCED, ONLY_QUOTE = -4.0, -9.0, -30.0, -6.0
 SURE, LIKELY, NEVER = 6.0, 2.5, -12.0
 
@@ -152,6 +154,16 @@ def _opening(text: str, at: int, end: int, lowered: bool = False) -> tuple[float
     return LIKELY, word  # a script without case
 
 
+def _last_word(text: str, start: int, end: int) -> str:
+    """The last word, ended by white space, of text[start:end]."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    first = end
+    while first > start and not text[first - 1].isspace():
+        first -= 1
+    return text[first:end]
+
+
 def _points(text: str, start: int, end: int, german: bool) -> list[tuple[int, float]]:
     """(position, score) of the places in text[start:end] where a sentence could end."""
     out: list[tuple[int, float]] = []
@@ -190,14 +202,15 @@ def _points(text: str, start: int, end: int, german: bool) -> list[tuple[int, fl
         if score <= NEVER:
             continue
         # A single point: what stands before it?
-        before = _WORD_BEFORE.search(text, max(start, m.start() - 40), m.start())
-        token = before[0] if before else ""
+        first = m.start()
+        while first > start and text[first - 1] not in _BEFORE_WORD and not text[first - 1].isspace():
+            first -= 1
+        token = text[first : m.start()]
         low = token.lower().rstrip(".")
         if closers:
             out.append((after, score + 2.0))
         elif len(token) == 1 and token.isalpha() and not _CJK.match(token):
-            prior = text[start : before.start()].split()[-1:] if before else []
-            previous = prior[0].lower().strip("(„“«\"") if prior else ""
+            previous = _last_word(text, start, first).lower().strip("(„“«\"")
             joined = (previous.rstrip(".") + "." + low) if previous.endswith(".") else ""
             if joined in _LAST and token.islower():
                 out.append((after, score))
@@ -230,7 +243,7 @@ def _span_score(text: str, a: int, b: int) -> float:
     n = b - a
     if n <= 3 and not _CJK.search(text, a, b):
         return LENGTH_NUMBER if text[a:b].rstrip(".)").isdigit() else LENGTH_SHORT
-    if n <= 6 and text[a:b].rstrip(".)").isdigit():
+    if n <= SHORT and text[a:b].rstrip(".)").isdigit():
         return LENGTH_NUMBER
     return 0.0
 
@@ -273,16 +286,30 @@ def _segment(text: str, start: int, end: int, german: bool) -> Iterator[tuple[in
     n = len(ends)
     best = [float("-inf")] * (n + 1)
     best[0], back = 0.0, [0] * (n + 1)
+    # Spans of more than SHORT characters score the same whatever their length, unless they begin at a quotation that is still
+    # open: the best of their beginnings is carried along, and only the few others are gone through for every end.
+    far, far_at, passed, quoted = float("-inf"), 0, 0, []
     for j in range(1, n + 1):
-        # Only spans up to SPAN points long are scored; longer ones would need as many unlikely points in a row.
-        for i in range(max(0, j - SPAN), j):
-            a, b = begins[i], ends[j - 1]
-            score = best[i] + gains[j - 1] + (_span_score(text, a, b) if b - a <= 6 else 0.0)
-            close = whole.get(a)
-            if close is not None and close + 1 >= b and j < n:
+        b = ends[j - 1]
+        while passed < j and b - begins[passed] > SHORT:
+            if begins[passed] in whole:
+                quoted.append(passed)
+            elif best[passed] > far:
+                far, far_at = best[passed], passed
+            passed += 1
+        for i in [i for i in quoted if whole[begins[i]] + 1 < b or j == n]:
+            quoted.remove(i)
+            if best[i] > far or (best[i] == far and i < far_at):
+                far, far_at = best[i], i
+        top, at = far, far_at
+        for i in (*quoted, *range(passed, j)):
+            a = begins[i]
+            score = best[i] + (_span_score(text, a, b) if i >= passed else 0.0)
+            if a in whole and whole[a] + 1 >= b and j < n:
                 score += ONLY_QUOTE if text[a] not in "（(" else 0.0
-            if score > best[j]:
-                best[j], back[j] = score, i
+            if score > top or (score == top and i < at):
+                top, at = score, i
+        best[j], back[j] = top + gains[j - 1], at
     cuts = []
     j = n
     while j:
@@ -293,8 +320,6 @@ def _segment(text: str, start: int, end: int, german: bool) -> Iterator[tuple[in
             yield a, b
 
 
-SPAN = 64
-
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every unit in code points, end exclusive. Null, empty and blank texts have none."""

@@ -3,24 +3,27 @@
 Every site is a weighted graph: its nodes are normalised lines, weighted by the number of
 pages that have them; its edges join lines that follow each other in a page, weighted by
 the number of pages where they do.  Nodes with high support stay, edges with high support
-between them stay, and the connected components are the site's boilerplate blocks.  A
-page's lines are deleted where they occur in a block of its site.
-
-Pages are shredded once into (site, line) hashes; counting is a partial aggregation, so a
-site with a third of all pages sends one row per line and task.  The last join salts the
-few kept lines, so that its occurrences spread over all tasks.
+between them stay, and the connected components are the site's boilerplate blocks - a line
+that is repeated but always stands elsewhere is a block of its own.  A page's lines are
+deleted where they occur in a block of its site.
+
+Nodes and edges of all sites are counted in one partial aggregation of hashes.  What is kept
+of a site is small however many pages it has: a kept node is in a fifth of its pages, so
+there are at most five times as many as a page has lines on average, and a kept edge is in
+a fifth of a fifth, so at most twenty-five times.  That is why a site's components can be
+found in one task, and why its blocks travel to its pages as one row, spread by a salt.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import stored
 from ..html.tree import body_of, leaf_blocks, parse
 
 LEAST_PAGES, LEAST_SHARE, EDGE_SHARE = 5, 0.2, 0.2
@@ -57,41 +60,48 @@ def lines_by_page(pages: DataFrame, key: str, host: str, html: str) -> DataFrame
     return shred.groupBy("id", "site").agg(F.max("lines").alias("lines"))
 
 
-def kept_lines(lines: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """``site, line, support, pages``: the nodes with high support."""
+def site_graphs(lines: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE, edge_share: float = EDGE_SHARE) -> DataFrame:
+    """``site, a, b, weight, pages``: the nodes (b null) and edges of all sites that may be kept, lines as hashes."""
     totals = lines.groupBy("site").agg(F.count("*").alias("pages"))
-    support = lines.select("site", F.explode(F.array_distinct("lines")).alias("line")).groupBy("site", "line").agg(F.count("*").alias("support")).where(F.col("support") >= least)
-    return support.join(totals, "site").where(F.col("support") >= F.col("pages") * F.lit(share) - 1e-9)
-
-
-def blocks(lines: DataFrame, kept: DataFrame, share: float = EDGE_SHARE) -> DataFrame:
-    """``site, line, block``: connected components of the kept lines; a block's name is its smallest line.
-
-    An edge stays when its support is at least ``share`` of the smaller support of its ends.
-    """
-    follow = lines.select("site", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(size(lines) - 1, 1)), i -> named_struct('a', get(lines, i - 1), 'b', get(lines, i)))"))).alias("e"))
-    edges = follow.where("e.a IS NOT NULL AND e.b IS NOT NULL AND e.a <> e.b").groupBy("site", "e.a", "e.b").agg(F.count("*").alias("weight")).where(F.col("weight") >= LEAST_PAGES)
-    ends = kept.select("site", "line", "support")
-    edges = edges.join(ends.select("site", F.col("line").alias("a"), F.col("support").alias("sa")), ["site", "a"]).join(ends.select("site", F.col("line").alias("b"), F.col("support").alias("sb")), ["site", "b"])
-    edges = edges.where(F.col("weight") >= F.least("sa", "sb") * F.lit(share)).select("site", "a", "b")
-    edges = cut(edges.unionByName(edges.select("site", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(kept.select("site", "line", F.col("line").alias("block")))
-    while not edges.isEmpty():
-        heard = edges.join(labels.select("site", F.col("line").alias("b"), F.col("block").alias("other")), ["site", "b"]).groupBy("site", F.col("a").alias("line")).agg(F.min("other").alias("other"))
-        jump = labels.select("site", F.col("line").alias("block"), F.col("block").alias("beyond"))
-        low = F.least("block", "other", "beyond")
-        new = cut(labels.join(heard, ["site", "line"], "left").join(jump, ["site", "block"], "left").select("site", "line", low.alias("block"), (low != F.col("block")).alias("moved")))
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    return labels
-
-
-def _occurrences(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``id, site, line`` and the columns of ``chosen`` where a page has a chosen line of its site; each once."""
+    hashes = F.transform("lines", lambda x: F.xxhash64(x))
+    nodes = F.transform(F.array_distinct("h"), lambda x: F.struct(x.alias("a"), F.lit(None).cast("bigint").alias("b")))
+    follow = F.expr("filter(transform(h, (x, i) -> named_struct('a', x, 'b', get(h, i + 1))), e -> e.b IS NOT NULL AND e.a <> e.b)")
+    parts = lines.select("site", hashes.alias("h")).select("site", F.explode(F.concat(nodes, F.array_distinct(follow))).alias("e"))
+    counts = parts.groupBy("site", "e.a", "e.b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    part = F.when(F.col("b").isNull(), F.lit(share)).otherwise(F.lit(share * edge_share))
+    return counts.join(totals, "site").where(F.col("weight") >= F.col("pages") * part - 1e-9)
+
+
+def components_of(graph: Iterable[dict], edge_share: float = EDGE_SHARE) -> dict[int, int]:
+    """Kept line -> the smallest line of its component; an edge stays when its weight is at least ``edge_share`` of the smaller support of its ends."""
+    support = {e["a"]: e["weight"] for e in graph if e["b"] is None}
+    block = {x: x for x in support}
+
+    def root(x: int) -> int:
+        while block[x] != x:
+            block[x] = x = block[block[x]]
+        return x
+
+    for e in graph:
+        a, b = e["a"], e["b"]
+        if a in support and b in support and e["weight"] >= edge_share * min(support[a], support[b]) - 1e-9:
+            a, b = root(a), root(b)
+            block[max(a, b)] = min(a, b)
+    return {x: root(x) for x in support}
+
+
+def site_blocks(lines: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE, edge_share: float = EDGE_SHARE) -> DataFrame:
+    """``site, kept``: for every site with kept lines a map from their hashes to the component each is in, named by its smallest hash."""
+    found = F.udf(lambda graph: components_of(graph, edge_share), "map<bigint,bigint>", useArrow=True)
+    graphs = site_graphs(lines, least, share, edge_share).groupBy("site").agg(F.collect_list(F.struct("a", "b", "weight")).alias("graph"))
+    return graphs.where(F.exists("graph", lambda e: e["b"].isNull())).select("site", found("graph").alias("kept"))
+
+
+def _with_blocks(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``kept``: hash -> block of the page's site, null where the site has none."""
     salts = max(4, lines.sparkSession.sparkContext.defaultParallelism)
-    spread = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return lines.select("id", "site", F.explode(F.array_distinct("lines")).alias("line"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).join(spread, ["site", "line", "salt"]).drop("salt")
+    spread = site_blocks(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(spread, ["site", "salt"], "left").drop("salt")
 
 
 def repeated_lines(pages: DataFrame, key: str, host: str, html: str) -> DataFrame:
@@ -100,14 +110,20 @@ def repeated_lines(pages: DataFrame, key: str, host: str, html: str) -> DataFram
     Pages without lines give no rows; empty tables give an empty result; ties do not arise, as
     all lines at a threshold stay.
     """
-    lines = cut(lines_by_page(pages, key, host, html))
-    kept = cut(kept_lines(lines))
-    return _occurrences(lines, blocks(lines, kept)).select("id", "line", "block")
+    lines = stored(lines_by_page(pages, key, host, html))
+    found = F.filter(F.transform(F.array_distinct("lines"), lambda x: F.struct(x.alias("line"), F.try_element_at("kept", F.xxhash64(x)).alias("block"))), lambda e: e["block"].isNotNull())
+    return _with_blocks(lines).where("kept IS NOT NULL").select("id", F.explode(found).alias("e")).select("id", "e.line", "e.block")
 
 
 def without_repeated(pages: DataFrame, key: str, host: str, html: str) -> DataFrame:
     """``id, text``: every page's normalised lines that are in no block of its site, in order, one a line."""
-    lines = cut(lines_by_page(pages, key, host, html))
-    drop = _occurrences(lines, kept_lines(lines).select("site", "line")).groupBy("id").agg(F.collect_set("line").alias("drop"))
-    left = F.filter("lines", lambda x: ~F.array_contains(F.coalesce(F.col("drop"), F.array().cast("array<string>")), x))
-    return lines.join(drop, "id", "left").select("id", F.array_join(left, "\n").alias("text"))
+    lines = stored(lines_by_page(pages, key, host, html))
+    left = F.filter("lines", lambda x: F.col("kept").isNull() | F.try_element_at("kept", F.xxhash64(x)).isNull())
+    return _with_blocks(lines).select("id", F.array_join(left, "\n").alias("text"))
+
+
+def boilerplate_blocks(pages: DataFrame, key: str, host: str, html: str) -> DataFrame:
+    """``site, block, lines, support, text``: every block of every site, the pages that have its most frequent line, and its lines in the order of their text."""
+    found = repeated_lines(pages, key, host, html).join(pages.where(F.col(key).isNotNull() & F.col(host).isNotNull()).select(F.col(key).cast("string").alias("id"), site_of(F.col(host)).alias("site")).distinct(), "id")
+    lines = found.groupBy("site", "block", "line").agg(F.count("*").alias("n"))
+    return lines.groupBy("site", "block").agg(F.count("*").alias("lines"), F.max("n").alias("support"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))

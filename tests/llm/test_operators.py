@@ -63,49 +63,50 @@ def test_residue(spark, pages):
     assert residue.without_residue(pages, "file_id", "html").where("file_id IN ('5', '7')").count() == 0
 
 
-def test_residue_spreads_over_near_duplicates(spark):
-    words = [a + b + c for a in "bdgkl" for b in "aeiou" for c in "mnrs"]
-    line = lambda *change: "<div><p>" + " ".join([*words[:48], *change, *words[48:90]]) + "</p></div>"
-    data = [("a", line("bad", "gateway")), ("b", line("bad", "gatewax")), ("c", line("bax", "gatewax")), ("d", "<div><p>" + " ".join(words[::-1][:90]) + "</p></div>")]
-    df = spark.createDataFrame(data, "file_id string, html string")
-    units = {u["record"]: u for u in residue.residue_units(df, "file_id", "html").collect()}
-    assert {k: u["trusted"] for k, u in units.items()} == {"a": True, "b": False, "c": False, "d": False}
-
-    def linked(x, y):
-        p, q = set(residue.shingles(units[x]["text"])), set(residue.shingles(units[y]["text"]))
-        return bin((units[x]["signature"] ^ units[y]["signature"]) & (2**64 - 1)).count("1") <= residue.HAMMING and len(p & q) / len(p | q) >= residue.SIMILARITY
-
-    want = {"a"}
-    while more := {y for x in want for y in units if y not in want and linked(x, y)}:
-        want |= more
-    assert {r[0] for r in residue.find_residue(df, "file_id", "html").collect()} == want and len(want) > 1
-
-
-def test_residue_spreads_to_every_similar_text(spark):
-    """p2_found: pairs at the stated similarity, many of them further apart than the SimHash tables reach, against brute force."""
+def test_residue_spreads_to_similar_texts(spark):
+    """p2_found: labels spread over near-duplicates and over those of near-duplicates, against brute force; with the spread switched off only seeds are left."""
     rng = np.random.default_rng(3)
     vocabulary = [a + b + c for a in "bdgkl" for b in "aeiou" for c in "mnrs"]
     texts, data = {}, []
-    for k in range(40):
-        words = [str(x) for x in rng.choice(vocabulary, 94)]
-        for v in range(4):
-            own = ["bad", "gateway", *words]
-            for at in rng.choice(np.arange(8, 90), [0, 1, 1, 4][v], replace=False):
-                own[at] = f"z{'abcdefgh'[v]}{'abcdefgh'[at % 8]}"
-            if v:
+    for k in range(60):
+        own = ["bad", "gateway", *(str(x) for x in rng.choice(vocabulary, 94))]
+        for v in range(5):
+            if v == 1:
                 own[:2] = ["quay", "lantern"]
+            elif v:  # every version differs from the one before by a word or two, so that the last is far from the first
+                for at in rng.choice(np.arange(8, 90), 1 + (k + v) % 2, replace=False):
+                    own[at] = f"z{'abcdefgh'[v]}{'abcdefgh'[at % 8]}"
             texts[f"{k:02d}{v}"] = residue.mask(" ".join(own), "")
             data.append((f"{k:02d}{v}", f"<div><p>{' '.join(own)}</p></div>"))
+    seeds = {i for i in texts if i.endswith("0")}
     sets = {i: set(residue.shingles(x)) for i, x in texts.items()}
     like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= residue.SIMILARITY
-    sign = {i: residue.simhash(residue.shingles(x)) for i, x in texts.items()}
-    far = lambda x, y: ((sign[x] ^ sign[y]) & (2**64 - 1)).bit_count() > residue.HAMMING
-    want = {i for i in texts if i.endswith("0")}
-    assert sum(like(x, y) and far(x, y) for x in want for y in texts) > 10
+    want = set(seeds)
     while more := {y for x in want for y in texts if y not in want and like(x, y)}:
         want |= more
     df = spark.createDataFrame(data, "file_id string, html string")
-    assert {r[0] for r in residue.find_residue(df, "file_id", "html", exact=True).collect()} == want and len(want) < len(texts)
+    found = {r["record"]: r["trusted"] for r in residue.labelled_records(residue.residue_units(df, "file_id", "html")).collect()}
+    assert set(found) <= want and {k for k, t in found.items() if t} == seeds  # nothing besides, and the seeds stay seeds
+    gained, possible = len(set(found) - seeds), len(want - seeds)
+    print(f"recall of the spread: {gained} of {possible}")
+    assert possible > 150 and gained >= 0.9 * possible
+    assert any(not like(y[:2] + "0", y) for y in found)  # some came in a later round
+    assert {r[0] for r in residue.find_residue(df, "file_id", "html").collect()} == set(found)
+
+
+def test_surge_and_dive_points_decide_the_body(monkeypatch):
+    """p3_found: the body is where the window sums say; with them switched off other lines are listed."""
+    from pageloom.llm import mainbody
+
+    teasers = "".join(f"<p>Teaser {k} of many on this site</p><ul><li><a href=/>x</a><li><a href=/>y</a><li><a href=/>z</a></ul>" for k in range(30))
+    page = f"<div class=a><p>{PROSE}</p><p>{PROSE}</p><div class=x><p>Join our letter today</p></div></div><div class=b>{teasers}</div>"
+    content = "\n".join([PROSE.strip(), "Join our letter today", "Teaser 3 of many on this site"])
+    assert mainbody.stray_lines(mainbody.Page(page), content) == [2, 3]
+    monkeypatch.setattr(mainbody, "stretches", lambda weights, window=3: [(0, len(weights))])
+    assert mainbody.stray_lines(mainbody.Page(page), content) == [1, 2]
+    monkeypatch.undo()
+    monkeypatch.setattr(mainbody, "_dives", lambda parent, boxes, held: [])
+    assert mainbody.stray_lines(mainbody.Page(page), content) == [3]
 
 
 def test_furniture(spark, pages):
@@ -185,12 +186,20 @@ def test_repeated_lines_against_brute_force(spark):
     want = sorted((i, x) for i, (site, ls) in lines.items() for x in ls if count[site, x] >= 5 and count[site, x] * 5 >= n[site])
     found = sitelines.repeated_lines(df, "id", "host", "html")
     assert rows(found.select("id", "line")) == want and len(want) > 50
-    assert {r["block"] for r in found.where("line IN ('menu', 'page #')").select("block").distinct().collect()} == {"menu"}
+    blocks = {(r["site"], r["text"]) for r in sitelines.boilerplate_blocks(df, "id", "host", "html").collect()}
+    assert ("big.test", "menu\npage #") in blocks and ("small.test", "menu\npage #") in blocks
     clean = {r["id"]: r["text"] for r in sitelines.without_repeated(df, "id", "host", "html").collect()}
     assert clean["f1"] == "own ba" and clean["e1"] == clean["e2"] == ""
     assert sitelines.repeated_lines(df.limit(0), "id", "host", "html").count() == 0
 
 
+def test_blocks_are_components_of_supported_nodes_and_edges():
+    node, edge = lambda a, n: {"a": a, "b": None, "weight": n}, lambda a, b, n: {"a": a, "b": b, "weight": n}
+    graph = [node(1, 50), node(2, 50), node(3, 40), node(4, 50), node(5, 9), edge(1, 2, 50), edge(2, 3, 30), edge(3, 4, 7), edge(4, 6, 50), edge(2, 1, 1)]
+    assert sitelines.components_of(graph) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}  # 3-4 is too weak, 6 is not kept, 5 stands alone
+    assert sitelines.components_of([e for e in graph if e["b"] is None]) == {k: k for k in range(1, 6)}  # without edges every line is a block
+
+
 # ---------------------------------------------------------------------------------- leakage
 
 
@@ -204,9 +213,8 @@ def test_leakage_against_brute_force(spark):
     ]
     documents = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, key string")
     items = spark.createDataFrame([(1, "EN", item), (1, "EN", item), (2, "zh-x1", han), (3, None, han), (4, "en", None), (5, "en", "short one")], "item_id long, lang string, text string")
-    assert rows(leakage.found(documents, items)) == [(1, 1), (3, 1), (4, 1), (5, 2), (5, 3), (9, 1)] or rows(leakage.found(documents, items)) == [(1, 1), (3, 1), (5, 2), (5, 3), (9, 1)]
-    runs = [len(words) - 7]
-    assert (4, 1) in rows(leakage.found(documents, items)) if max(6, runs[0]) >= 12 else True
+    assert len(words) - 7 >= 12  # document 4 holds that many after its one other word; 11 is cut into 9 and 10
+    assert rows(leakage.found(documents, items)) == [(1, 1), (3, 1), (4, 1), (5, 2), (5, 3), (9, 1)]
     near = {(r["doc_id"], r["item_id"]): r["equal_share"] for r in leakage.leaked(documents, items).collect()}
     assert near[4, 1] > 0.8
     assert leakage.found(documents.limit(0), items).count() == 0 and leakage.found(documents, items.limit(0)).count() == 0
