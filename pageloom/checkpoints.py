@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _folder(df: DataFrame) -> str:
@@ -13,6 +14,8 @@ def _folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pageloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,3 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _folder(df)
     return df.checkpoint(eager=True)
+
+
+#: So many narrow rows (names, numbers) of a counted table may be broadcast: some tens of megabytes.
+FEW = 1_000_000
+
+
+def counted(df: DataFrame, few: int = FEW) -> DataFrame:
+    """A written, narrow table for a join: marked for broadcast where counting shows at most ``few`` rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= few else df

@@ -60,3 +60,20 @@ def nearest_rank(df: DataFrame, group: list[str], value: str, ranks: tuple[float
 def f1_report(scores: DataFrame, page_type: str) -> DataFrame:
     """``page_type, pages, precision, recall, f1``, with a total row whose page_type is null."""
     return scores.rollup(page_type).agg(F.count("*").alias("pages"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+
+
+def confusion(rows: DataFrame, wanted: str, got: str) -> DataFrame:
+    """``wanted, got, n``: how often each pair of labels occurs; a null label is the label ''."""
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return rows.groupBy(label(wanted).alias("wanted"), label(got).alias("got")).agg(F.count("*").alias("n"))
+
+
+def classification_report(rows: DataFrame, wanted: str, got: str) -> DataFrame:
+    """``label, support, precision, recall, f1`` of every label that is wanted or given; without rows to divide by they are 0."""
+    c = confusion(rows, wanted, got)
+    sides = c.select(F.col("wanted").alias("label"), F.col("n").alias("w"), F.lit(0).alias("g"), F.when(F.col("wanted") == F.col("got"), F.col("n")).otherwise(0).alias("hit"))
+    sides = sides.unionByName(c.select(F.col("got").alias("label"), F.lit(0).alias("w"), F.col("n").alias("g"), F.lit(0).alias("hit")))
+    t = sides.groupBy("label").agg(F.sum("w").alias("support"), F.sum("g").alias("given"), F.sum("hit").alias("hit"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = ratio(F.col("hit"), F.col("given")), ratio(F.col("hit"), F.col("support"))
+    return t.select("label", "support", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))

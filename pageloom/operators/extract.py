@@ -88,8 +88,8 @@ def overridden(pages: DataFrame, key: str, host: str, html: str, templates: list
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [apply_rules(Dom.of(s), by_host[h])[0] for h, s in zip(pdf["host"], pdf["source"])]
-            yield pd.DataFrame({"page": pdf["page"], "host": pdf["host"], "matched": [len(b) > 0 for b in found], "blocks": [[x.row() for x in b] for b in found]})
+            found = [apply_rules(Dom.of(s), by_host[h]) for h, s in zip(pdf["host"], pdf["source"])]
+            yield pd.DataFrame({"page": pdf["page"], "host": pdf["host"], "matched": [hit > 0 for _, hit, _ in found], "blocks": [[x.row() for x in b] for b, _, _ in found]})
 
     own = _pages(pages, key, html, F.lower(host).alias("host")).where(F.col("host").isin(sorted(by_host)))
     return own.mapInPandas(run, f"page string, host string, matched boolean, blocks {_struct()}")

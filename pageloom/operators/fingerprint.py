@@ -128,35 +128,51 @@ def aging(likeness: Column, observations: Column, age_days: Column) -> Column:
     return likeness + BY_COUNT * F.log1p(observations.cast("double")) + BY_AGE * F.exp(-age_days / DAYS)
 
 
+def _best(scored: DataFrame) -> DataFrame:
+    """The template with the best score of every page; ties go to the smaller template_id."""
+    return scored.groupBy("page").agg(F.min_by(F.struct("template_id", "similarity", "score"), F.struct(-F.round("score", 9), F.col("template_id"))).alias("b")).select("page", "b.*")
+
+
+def _scored(both: DataFrame, as_of: Column) -> DataFrame:
+    age = (F.unix_micros(as_of) - F.unix_micros("last_seen")) / 86_400_000_000.0
+    return both.withColumn("score", aging(F.col("similarity"), F.col("observation_count"), age))
+
+
 def fast_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = FAST) -> DataFrame:
     """``page, template_id, similarity, score``: the best template of the page's own host that shares a band.
 
     ``pages`` has page, host, minhash, bands; ``templates`` template_id, host, minhash, bands,
-    observation_count, last_seen.  Candidates come from an equi-join on (host, band number,
-    band hash); ties go to the smaller template_id.
+    observation_count, last_seen; slots and bands may be of any type.  Candidates come from an
+    equi-join on (host, band number, band) of equal fingerprints taken together, so that a layout
+    with many pages is one row; a template never matches the page of its own name.
     """
-    split = lambda df, *keep: df.select(*keep, F.posexplode("bands").alias("band", "hash"))
-    met = split(pages, "page", "host").join(split(templates, "template_id", "host"), ["host", "band", "hash"]).select("page", "template_id").distinct()
-    both = met.join(pages.select("page", F.col("minhash").alias("probe")), "page").join(templates.select("template_id", "minhash", "observation_count", "last_seen"), "template_id")
-    age = (F.unix_micros(as_of) - F.unix_micros("last_seen")) / 86_400_000_000.0
-    scored = both.withColumn("similarity", jaccard(F.col("probe"), F.col("minhash"))).where(F.col("similarity") >= threshold).withColumn("score", aging(F.col("similarity"), F.col("observation_count"), age))
-    return scored.groupBy("page").agg(F.min_by(F.struct("template_id", "similarity", "score"), F.struct(-F.col("score"), F.col("template_id"))).alias("b")).select("page", "b.*")
+    classes = pages.groupBy("host", "minhash").agg(F.first("bands").alias("bands")).withColumn("klass", F.xxhash64("host", "minhash"))
+    split = lambda df, *keep: df.select(*keep, "host", F.posexplode("bands").alias("band", "hash"))
+    met = split(classes, "klass").join(split(templates, "template_id"), ["host", "band", "hash"]).select("klass", "template_id").distinct()
+    both = met.join(classes.select("klass", F.col("minhash").alias("probe")), "klass").join(templates.select("template_id", "minhash", "observation_count", "last_seen"), "template_id")
+    alike = both.withColumn("similarity", jaccard(F.col("probe"), F.col("minhash"))).where(F.col("similarity") >= threshold).drop("probe", "minhash")
+    named = pages.select("page", F.xxhash64("host", "minhash").alias("klass"))
+    return _best(_scored(named.join(alike, "klass").where(F.col("page") != F.col("template_id")), as_of))
 
 
 def slow_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = SLOW) -> DataFrame:
-    """The same by cosine of pq-grams over all templates of the host, as a sparse dot-product join.
+    """The same by cosine of pq-grams, with the candidates of a prefix filter.
 
-    Grams are joined on (host, gram) and products summed per pair, so a host with many
-    templates is spread over its grams.
+    A page's grams are put in order, those rare among its host's templates first.  A template
+    that shares none of the first so many, those before what is left is too short to reach the
+    threshold, cannot reach it: only they are joined, so that a gram every page has meets
+    nobody.  The cosine of the candidates is exact.
     """
-    left = pages.select("page", "host", F.explode("grams").alias("gram", "x"))
     right = templates.select("template_id", "host", F.explode("grams").alias("gram", "y"))
-    norm = lambda c: F.sqrt(F.aggregate(F.map_values(c), F.lit(0.0), lambda s, v: s + v * v))
-    dots = left.join(right, ["host", "gram"]).groupBy("page", "template_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    both = dots.join(pages.select("page", norm(F.col("grams")).alias("n1")), "page").join(templates.select("template_id", norm(F.col("grams")).alias("n2"), "observation_count", "last_seen"), "template_id")
-    age = (F.unix_micros(as_of) - F.unix_micros("last_seen")) / 86_400_000_000.0
-    scored = both.withColumn("similarity", F.col("dot") / (F.col("n1") * F.col("n2"))).where(F.col("similarity") >= threshold).withColumn("score", aging(F.col("similarity"), F.col("observation_count"), age))
-    return scored.groupBy("page").agg(F.min_by(F.struct("template_id", "similarity", "score"), F.struct(-F.col("score"), F.col("template_id"))).alias("b")).select("page", "b.*")
+    known = right.groupBy("host", "gram").agg(F.count("*").alias("usual"))
+    norm2 = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda s, v: s + v * v)
+    left = pages.select("page", "host", (norm2(F.col("grams")) * threshold * threshold).alias("need"), F.explode("grams").alias("gram", "x")).join(known, ["host", "gram"])
+    rest = Window.partitionBy("page").orderBy("usual", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    prefix = left.withColumn("rest", F.sum(F.col("x") * F.col("x")).over(rest)).where(F.col("rest") >= F.col("need") * (1 - 1e-9))
+    met = prefix.join(right.select("template_id", "host", "gram"), ["host", "gram"]).where(F.col("page") != F.col("template_id")).select("page", "template_id").distinct()
+    both = met.join(pages.select("page", F.col("grams").alias("probe")), "page").join(templates.select("template_id", "grams", "observation_count", "last_seen"), "template_id")
+    alike = both.withColumn("similarity", cosine(F.col("probe"), F.col("grams"))).where(F.col("similarity") >= threshold).drop("probe", "grams")
+    return _best(_scored(alike, as_of))
 
 
 def node_shingles(nodes: DataFrame) -> DataFrame:

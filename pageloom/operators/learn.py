@@ -77,8 +77,8 @@ def diff_of(old: Template, extractor: dict, print_: dict) -> dict:
 class HostState:
     """A host's templates. ``step`` takes the next page and gives its result row (RESULT without host and page)."""
 
-    def __init__(self, host: str, learn: bool = True, stale_bands: bool = False):
-        self.host, self.learn, self.stale_bands = host, learn, stale_bands
+    def __init__(self, host: str, learn: bool = True, stale_bands: bool = False, override: dict | None = None):
+        self.host, self.learn, self.stale_bands, self.override = host, learn, stale_bands, override
         self.templates: list[Template] = []
 
     def _score(self, t: Template, sim: float, now: float) -> tuple:
@@ -100,6 +100,10 @@ class HostState:
         return "NovelEphemeral", None, 0.0
 
     def step(self, dom: Dom, print_: dict, fresh: list[Block], now: float, profile_markdown) -> dict:
+        if self.override is not None:
+            applied, hit, _ = apply_rules(dom, self.override)
+            if hit:  # a hand-written template that finds nothing leaves the page to the learned ones
+                return self._row("OperatorOverride", None, 1.0, None, dom, applied, profile_markdown, None, None, None) | {"template_id": f"operator:{self.host}", "version": self.override.get("version", 1)}
         status, t, similarity = self.match(print_, now)
         blocks, event, old_version, diff, broken = fresh, None, None, None, False
         true = likeness(t.print, print_) if t else None
@@ -130,6 +134,9 @@ class HostState:
             ident = hashlib.sha256(f"{self.host}|{print_['hex']}|{len(self.templates)}".encode()).hexdigest()[:32]
             t = Template(ident, print_, induce(dom, fresh), 1, 1, now, now, set(enumerate(print_["bands"])))
             self.templates.append(t)
+        return self._row(status, t, similarity, true, dom, blocks, profile_markdown, event, old_version, diff)
+
+    def _row(self, status: str, t: Template | None, similarity: float, true: float | None, dom: Dom, blocks: list[Block], profile_markdown, event: str | None, old_version: int | None, diff: dict | None) -> dict:
         content = sum(len(b.text) for b in blocks if b.role in CONTENT)
         if content < RESCUE_BELOW:
             saved = rescue(dom.root)
@@ -161,29 +168,36 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(print=[json.dumps(fingerprint(x)) for x in pdf["source"]])
 
 
-def _fold(learn: bool):
+def _fold(learn: bool, until: float | None, overrides: dict[str, dict]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: HostState | None = None
         for pdf in batches:
             rows = []
             for host, page, at, source, print_ in zip(pdf["host"], pdf["page"], pdf["at"], pdf["source"], pdf["print"]):
                 if state is None or state.host != host:
-                    state = HostState(host, learn)
+                    state = HostState(host, learn, override=overrides.get(host))
+                now = at.timestamp() if at is not None and at is not pd.NaT else 0.0
+                state.learn = learn and (until is None or now < until)
                 dom = Dom.of(source)
-                rows.append({"host": host, "page": page} | state.step(dom, json.loads(print_), blocks_of(dom), at.timestamp() if at is not None and at is not pd.NaT else 0.0, plain_markdown))
+                rows.append({"host": host, "page": page} | state.step(dom, json.loads(print_), blocks_of(dom), now, plain_markdown))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
             yield out
 
     return run
 
 
-def learned(pages: DataFrame, key: str, host: str, html: str, at: str, learn: bool = True) -> DataFrame:
+def learned(pages: DataFrame, key: str, host: str, html: str, at: str, learn: bool = True, until: float | None = None, templates: list[dict] | None = None, snapshots: bool = False) -> DataFrame:
     """One result row (RESULT) per page, its host's templates learned in order of ``at`` and key.
 
     Exact repeats of a key count once; null keys are left out; null hosts form the host ''; null
     pages are empty pages.  With ``learn`` false nothing is remembered and unmatched pages are
-    NovelEphemeral.
+    NovelEphemeral; with ``until`` (seconds) the templates learned before it are frozen then.
+    Hand-written ``templates`` come before all matching (OperatorOverride), deterministic
+    snapshots among them only when asked for.
     """
+    from ..sources.operator_templates import as_extractor
+
+    overrides = {t["host"].lower(): as_extractor(t) | {"version": t.get("version", 1)} for t in templates or [] if snapshots or not t.get("deterministic")}
     rows = pages.where(F.col(key).isNotNull()).select(
         F.lower(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(key).cast("string").alias("page"), F.coalesce(F.col(at), F.timestamp_seconds(F.lit(0))).alias("at"), F.coalesce(F.col(html), F.lit("")).alias("source")
     )
@@ -191,7 +205,7 @@ def learned(pages: DataFrame, key: str, host: str, html: str, at: str, learn: bo
     # One shuffle: the number is given, so that hosts are not gathered into fewer tasks, and repeated pages go inside it.
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hosts = ready.repartition(parts, "host").dropDuplicates(["host", "page"])
-    return hosts.sortWithinPartitions("host", "at", "page").mapInPandas(_fold(learn), RESULT)
+    return hosts.sortWithinPartitions("host", "at", "page").mapInPandas(_fold(learn, until, overrides), RESULT)
 
 
 def events(results: DataFrame) -> DataFrame:

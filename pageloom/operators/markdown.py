@@ -226,13 +226,14 @@ def profiled(blocks: Column, profile: str) -> Column:
 
 def rendered(blocks: Column, profile: str) -> Column:
     """A page's Markdown: its blocks in a profile, joined by blank lines, with one newline at the end."""
+    space = F.lit(" \t\r\n")
     link_list = lambda b: F.array_join(F.transform(b["links"], lambda x: F.concat(F.lit("- ["), x["text"], F.lit("]("), x["href"], F.lit(")"))), "\n")
     nav = ["PrimaryNavigation", "SecondaryNavigation", "Breadcrumb"]
     body = lambda b: (
         F.when(F.lit(profile == "Wcxb"), b["text"])
         .when(b["role"].isin(nav) & (F.size(b["links"]) > 0), link_list(b))
-        .when(F.length(F.trim(b["markdown"])) > 0, F.trim(b["markdown"]))
+        .when(F.length(F.btrim(b["markdown"], space)) > 0, F.btrim(b["markdown"], space))
         .otherwise(b["text"])
     )
     shown = lambda b: F.concat(F.lit("<!-- "), b["role"], F.lit(" -->\n"), body(b)) if profile == "DebugFull" else body(b)
-    return F.concat(F.trim(F.array_join(F.transform(profiled(blocks, profile), shown), "\n\n")), F.lit("\n"))
+    return F.concat(F.btrim(F.array_join(F.transform(profiled(blocks, profile), shown), "\n\n"), space), F.lit("\n"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
 from .rules import selector_distance
 
 LEAST, PRESENCE, NEWEST, OUTLIER = 3, 0.7, 1000, 5.0
@@ -53,13 +54,13 @@ def _positions(observations: DataFrame) -> DataFrame:
 
 def claim_frequency(observations: DataFrame) -> DataFrame:
     """``bucket, role, pos, feature, name, value, n``: how often each feature occurs at each position from the leaf."""
-    pos = _positions(observations)
-    one = lambda feature, name, value: pos.where(value.isNotNull()).select(*CLUSTER, "obs_id", "pos", F.lit(feature).alias("feature"), name.alias("name"), value.alias("value"))
-    empty = F.lit("")
-    kv = lambda part: pos.select(*CLUSTER, "obs_id", "pos", F.explode(F.map_entries(F.col(f"c.{part}"))).alias("e")).select(*CLUSTER, "obs_id", "pos", F.lit(part).alias("feature"), F.col("e.key").alias("name"), F.col("e.value").alias("value"))
-    parts = one("tag", empty, F.col("c.tag")).unionByName(one("id", empty, F.col("c.id"))).unionByName(one("role", empty, F.col("c.role")))
-    classes = pos.select(*CLUSTER, "obs_id", "pos", F.explode("c.classes").alias("value")).select(*CLUSTER, "obs_id", "pos", F.lit("class").alias("feature"), empty.alias("name"), "value").distinct()
-    return parts.unionByName(classes).unionByName(kv("data")).unionByName(kv("aria")).groupBy(*CLUSTER, "pos", "feature", "name", "value").agg(F.count("*").alias("n"))
+    c, none = F.col("c"), F.lit("")
+    single = lambda feature: F.when(c[feature].isNotNull(), F.array(F.struct(F.lit(feature).alias("feature"), none.alias("name"), c[feature].alias("value"))))
+    classes = F.transform(F.array_distinct(c["classes"]), lambda x: F.struct(F.lit("class").alias("feature"), none.alias("name"), x.alias("value")))
+    pairs = lambda feature: F.transform(F.map_entries(c[feature]), lambda e: F.struct(F.lit(feature).alias("feature"), e["key"].alias("name"), e["value"].alias("value")))
+    # All features of a position at once: the observations, however they were made, are read a single time.
+    features = F.flatten(F.array_compact(F.array(single("tag"), single("id"), single("role"), classes, pairs("data"), pairs("aria"))))
+    return _positions(observations).select(*CLUSTER, "pos", F.explode(features).alias("f")).groupBy(*CLUSTER, "pos", "f.feature", "f.name", "f.value").agg(F.count("*").alias("n"))
 
 
 def stable_chains(observations: DataFrame, presence: float = PRESENCE, least: int = LEAST) -> DataFrame:
@@ -68,6 +69,7 @@ def stable_chains(observations: DataFrame, presence: float = PRESENCE, least: in
     Clusters of fewer than ``least`` observations give none.  A position without a majority tag ends the chain
     (chains with an empty claim could match nothing), and so does a leaf without one end the cluster.
     """
+    observations = stored(observations.select(*CLUSTER, "obs_id", "claims"))
     sizes = observations.groupBy(*CLUSTER).agg(F.count("*").alias("total")).where(F.col("total") >= least)
     need = F.ceil(F.col("total") * F.lit(presence) - F.lit(1e-9))
     kept = claim_frequency(observations).join(sizes, CLUSTER).where(F.col("n") >= need)
@@ -108,6 +110,7 @@ def medoids(observations: DataFrame, least: int = LEAST) -> DataFrame:
     A cluster enters with its newest NEWEST observations, as its operator defines; ties go to the
     smallest obs_id.
     """
+    observations = stored(observations)
     sized = newest(observations).join(observations.groupBy(*CLUSTER).agg(F.count("*").alias("n")).where(F.col("n") >= least), CLUSTER)
     rows = _chains(sized)
     far = F.pandas_udf(distances, "double")
@@ -119,6 +122,7 @@ def medoids(observations: DataFrame, least: int = LEAST) -> DataFrame:
 def outliers(observations: DataFrame, limit: float = OUTLIER) -> DataFrame:
     """``bucket, role, obs_id, distance``: observations far from their cluster's medoid."""
     far = F.pandas_udf(distances, "double")
+    observations = stored(observations)
     center = medoids(observations).select(*CLUSTER, F.col("claims").alias("medoid"))
     return newest(observations).join(center, CLUSTER).withColumn("distance", far("claims", "medoid")).where(F.col("distance") > limit).select(*CLUSTER, "obs_id", "distance")
 
@@ -128,7 +132,7 @@ def candidates(observations: DataFrame, existing: DataFrame | None = None) -> Da
 
     Those already in ``existing`` (host, role, target) are left out.
     """
-    recent = newest(observations)
+    recent = stored(newest(observations).select(*CLUSTER, "obs_id", "host", "claims"))
     leaf = F.element_at("claims", -1)
     chains = stable_chains(recent).withColumn("target", F.xxhash64(leaf["tag"], F.coalesce(leaf["id"], F.lit(""))))
     out = chains.join(cluster_hosts(recent).drop("n"), CLUSTER).select("host", "bucket", "role", "claims", "target", F.col("n").alias("source_count"))
@@ -138,6 +142,47 @@ def candidates(observations: DataFrame, existing: DataFrame | None = None) -> Da
     return out.withColumn("candidate_id", F.substring(F.sha2(F.concat_ws("|", "host", "role", F.col("target").cast("string")), 256), 1, 32))
 
 
+def totals(observations: DataFrame, found: DataFrame) -> DataFrame:
+    """``clusters, mined, hosts, candidates``: what one mining pass looked at and what it gave."""
+    sizes = clusters(observations).agg(F.count("*").alias("clusters"), F.sum(F.when(F.col("n") >= LEAST, 1).otherwise(0)).alias("mined"))
+    hosts = observations.agg(F.countDistinct("host").alias("hosts"))
+    return sizes.crossJoin(hosts).crossJoin(found.agg(F.count("*").alias("candidates")))  # one row each
+
+
+def scan_candidates(candidates: DataFrame, host: str, role: str | None = None, limit: int | None = None) -> DataFrame:
+    """A host's candidates, the newest (``created_at``) first, of one role where it is given; the filter reaches the files."""
+    out = candidates.where(F.col("host") == host.lower())
+    out = (out.where(F.col("role") == role) if role else out).orderBy(F.desc("created_at"), "candidate_id")
+    return out.limit(limit) if limit else out
+
+
+def evaluated(candidates: DataFrame, pages: DataFrame, key: str, host: str, html: str, at: str, least: int = 200) -> DataFrame:
+    """``candidate_id, page, won, at``: the outcome log of trying every candidate on every page of its host.
+
+    A candidate wins where its chain finds an element of the page with at least ``least``
+    characters that are not mostly links.  A host's candidates travel to its pages as one row.
+    """
+    from collections.abc import Iterator
+
+    from ..html.shred import Dom
+    from .rules import match_chain
+
+    listed = candidates.groupBy("host").agg(F.collect_list(F.struct("candidate_id", "claims")).alias("tries"))
+    source = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("page"), F.lower(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(at).alias("at"), F.col(html).alias("source"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page, when, html_, tries in zip(pdf["page"], pdf["at"], pdf["source"], pdf["tries"]):
+                dom = Dom.of(html_)
+                for t in tries:
+                    found = match_chain(dom, _plain(t["claims"]))
+                    rows.append((t["candidate_id"], page, any(dom.trimmed(i) >= least and dom.density(i) < 0.5 for i in found), when))
+            yield pd.DataFrame(rows, columns=["candidate_id", "page", "won", "at"])
+
+    return source.join(listed, "host").mapInPandas(run, "candidate_id string, page string, won boolean, at timestamp")
+
+
 def reputation(outcomes: DataFrame) -> DataFrame:
     """``candidate_id, reputation, last_won_at, last_lost_at`` from an outcome log (candidate_id, won, at)."""
     return outcomes.groupBy("candidate_id").agg(

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut
+from ..checkpoints import cut, stored
 from ..functions.stability import is_stable
 from ..functions.web import host_of
 from ..html.css import BadSelector, select
@@ -129,19 +129,27 @@ def site_map(links: DataFrame, seeds: DataFrame, depth: int = 3, pages: int = 50
     ``links`` has ``source, target`` (canonical URLs), ``seeds`` has ``url``.  Each round joins the
     frontier only, and drops what was reached before.
     """
-    own = links.where(host_of(F.col("source")) == host_of(F.col("target"))).select("source", "target").distinct()
+    own = stored(links.where(host_of(F.col("source")) == host_of(F.col("target"))).select("source", "target").distinct())
     reached = cut(seeds.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth")).distinct())
     frontier = reached
     for k in range(1, depth + 1):
         step = frontier.join(own, frontier["url"] == own["source"]).select("root", F.col("target").alias("url"), F.lit(k).alias("depth")).distinct()
-        frontier = cut(step.join(reached.select("root", "url"), ["root", "url"], "left_anti"))
+        new = step.join(reached.select("root", "url"), ["root", "url"], "left_anti")
+        # A crawl stops at its limit: what lies beyond it is not walked on.
+        room = F.lit(pages) - F.col("had")
+        place = F.row_number().over(Window.partitionBy("root").orderBy("url"))
+        frontier = cut(new.join(reached.groupBy("root").agg(F.count("*").alias("had")), "root").where(room > 0).withColumn("place", place).where(F.col("place") <= room).select("root", "url", "depth"))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
-    from pyspark.sql import Window
+        reached = reached.unionByName(frontier)
+    return reached
 
-    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "url"))
-    return reached.withColumn("place", place).where(F.col("place") <= pages).drop("place")
 
+def tree_markdown(reached: DataFrame) -> DataFrame:
+    """``root, pages, markdown``: a site map as one nested Markdown list a root, by depth and address."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("url"))
+    rows = reached.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("depth", "url", line.alias("line")))).alias("list"))
+    return rows.select("root", F.size("list").alias("pages"), F.array_join(F.transform("list", lambda x: x["line"]), "\n").alias("markdown"))
 
-__all__ = ["catalog", "induce_with", "outlines", "prompt_for", "site_map", "skeleton", "usable_rules"]
+
+__all__ = ["catalog", "induce_with", "outlines", "prompt_for", "site_map", "skeleton", "tree_markdown", "usable_rules"]

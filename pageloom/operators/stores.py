@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import base64
 import json
+import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import slots
 from .fingerprint import aging
 
-RING, HISTORY = 100, 3
+RING, HISTORY, FORMAT = 100, 3, 4
 
 
 def latest_rows(templates: DataFrame) -> DataFrame:
@@ -35,19 +39,21 @@ def ring(observations: DataFrame, size: int = RING) -> DataFrame:
     return observations.dropDuplicates().withColumn("place", rank).where(F.col("place") <= size)
 
 
-def drift_average(observations: DataFrame, alpha: float = 0.2, terms: int = 200) -> DataFrame:
-    """``template_id, n, ewma``: the exponentially weighted drift (1 - similarity) of every template.
+def drift_average(observations: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """``template_id, n, ewma``: the exponentially weighted drift (1 - similarity) of every template, the oldest observation starting it.
 
-    Weights fall by 0.8 a step, so what lies more than ``terms`` steps back is below double
-    precision; the newest ``terms`` observations give the whole sum.  With fewer, the oldest
-    starts the average.  Observations without similarity are left out.
+    Observations without similarity are left out.  Weights fall by 1 - alpha a step, so that
+    what lies further back than double precision reaches (some 200 steps at 0.2) adds nothing
+    to the sum: only the newest so many rows of a template are put in order, in windows that
+    are cut to them before the shuffle; ``n`` counts all.
     """
     seen = observations.where("similarity_at_match IS NOT NULL").select("template_id", "observed_at", "loaded_at", "similarity_at_match").distinct()
+    counts = seen.groupBy("template_id").agg(F.count("*").alias("n"))
+    reach = math.ceil(-53 * math.log(2) / math.log(1 - alpha)) + 8
     rank = F.row_number().over(Window.partitionBy("template_id").orderBy(F.desc("observed_at"), F.desc("loaded_at"), F.desc("similarity_at_match")))
-    newest = seen.withColumn("k", rank - 1).where(F.col("k") < terms)
-    n = F.count("*").over(Window.partitionBy("template_id"))
+    newest = seen.withColumn("k", rank - 1).where(F.col("k") < reach)
     weight = F.pow(F.lit(1 - alpha), F.col("k")) * F.when(F.col("k") == F.col("n") - 1, 1.0).otherwise(alpha)
-    return newest.withColumn("n", n).groupBy("template_id").agg(F.max("n").alias("n"), F.sum(weight * (1 - F.col("similarity_at_match"))).alias("ewma"))
+    return newest.join(counts, "template_id").groupBy("template_id").agg(F.max("n").alias("n"), F.sum(weight * (1 - F.col("similarity_at_match"))).alias("ewma"))
 
 
 def longest_drift(observations: DataFrame, below: float) -> DataFrame:
@@ -110,12 +116,6 @@ def best_template(templates: DataFrame, as_of: Column) -> DataFrame:
     return scored.groupBy("host_hash").agg(F.min_by(F.struct("template_id", "score"), F.struct(-F.round("score", 9), F.col("template_id"))).alias("b")).select("host_hash", "b.*")
 
 
-def slots(signature: Column) -> Column:
-    """A stored signature as an array of 8-character hex slots."""
-    text = F.hex(signature)
-    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.substring(text, i * 8 + 1, F.lit(8)))
-
-
 def true_likeness(observations: DataFrame, templates: DataFrame) -> DataFrame:
     """``template_id, observed_at, logged, likeness``: what was logged for a match, and the signatures' real likeness.
 
@@ -133,12 +133,13 @@ def true_likeness(observations: DataFrame, templates: DataFrame) -> DataFrame:
 def export_bundle(templates: DataFrame) -> DataFrame:
     """One JSON line per template: schema version 1, signatures in base64, pq-gram parameters; the host key is never part of it."""
     t = latest_rows(templates)
+    plain = lambda c: F.regexp_replace(F.base64(c), r"[\r\n]", "")
     return t.select(
         F.to_json(
             F.struct(
                 F.lit(1).alias("schemaVersion"), F.lit("hmac-sha256").alias("hashAlgorithm"), F.lit(2).alias("pqGramP"), F.lit(3).alias("pqGramQ"), F.lit(256).alias("pqGramTopK"), "store_id", "template_id",
-                F.hex("host_hash").alias("hostHash"), F.col("version_number").alias("version"), F.base64("signature_minhash").alias("signature"), F.base64("pq_gram_vector").alias("pqGramVector"),
-                F.base64("extractor_blob").alias("extractor"), F.col("observation_count").alias("observationCount"), F.unix_micros("created_at").alias("createdAt"), F.unix_micros("last_seen").alias("lastSeen"),
+                F.hex("host_hash").alias("hostHash"), F.col("version_number").alias("version"), plain("signature_minhash").alias("signature"), plain("pq_gram_vector").alias("pqGramVector"),
+                plain("extractor_blob").alias("extractor"), F.col("observation_count").alias("observationCount"), F.unix_micros("created_at").alias("createdAt"), F.unix_micros("last_seen").alias("lastSeen"),
             )
         ).alias("value")
     )
@@ -150,7 +151,9 @@ BUNDLE = (
 
 
 def import_bundle(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Templates of exported lines, replacing existing ones of the same id; only schema version 1 is read.
+    """Templates of exported lines, replacing existing ones of the same store and id; only schema version 1 is read.
+
+    Of several lines of one template that with the highest version counts, then the one seen last.
 
     Bands are computed anew by whoever probes, from the signature, so they are never stale.
     """
@@ -158,13 +161,27 @@ def import_bundle(lines: DataFrame, existing: DataFrame | None = None) -> DataFr
     new = b.select(
         "store_id", "template_id", F.unhex("hostHash").alias("host_hash"), F.col("version").alias("version_number"), F.unbase64("signature").alias("signature_minhash"), F.unbase64("pqGramVector").alias("pq_gram_vector"),
         F.unbase64("extractor").alias("extractor_blob"), F.col("observationCount").alias("observation_count"), F.timestamp_micros("createdAt").alias("created_at"), F.timestamp_micros("lastSeen").alias("last_seen"),
-    ).dropDuplicates(["template_id"])
+    )
+    order = F.struct("version_number", "last_seen", "observation_count", F.xxhash64("extractor_blob", "signature_minhash", "pq_gram_vector"))
+    rest = F.struct(*[c for c in new.columns if c not in ("store_id", "template_id")])
+    new = new.groupBy("store_id", "template_id").agg(F.max_by(rest, order).alias("t")).select("store_id", "template_id", "t.*")
     if existing is None:
         return new
-    kept = existing.select(*new.columns).join(new.select("template_id"), "template_id", "left_anti")
+    kept = existing.select(*new.columns).join(new.select("store_id", "template_id"), ["store_id", "template_id"], "left_anti")
     return kept.select(*new.columns).unionByName(new)
 
 
+def import_report(lines: DataFrame, existing: DataFrame) -> DataFrame:
+    """``store_id, imported, replaced, refused``: what an import would add and replace, and how many lines it cannot read."""
+    b = lines.select(F.from_json("value", BUNDLE).alias("b"))
+    readable = F.col("b.schemaVersion").eqNullSafe(F.lit(1)) & F.col("b.template_id").isNotNull()
+    refused = b.where(~readable).select(F.col("b.store_id").alias("store_id"), F.lit("refused").alias("what"))
+    old = existing.select("store_id", "template_id").distinct().withColumn("there", F.lit(True))
+    new = import_bundle(lines).select("store_id", "template_id").join(old, ["store_id", "template_id"], "left")
+    rows = new.select("store_id", F.when(F.col("there"), "replaced").otherwise("imported").alias("what")).unionByName(refused)
+    return rows.groupBy("store_id").agg(*[F.count_if(F.col("what") == c).alias(c) for c in ("imported", "replaced", "refused")])
+
+
 def bundle_json(lines: list[str]) -> str:
     """A small bundle as one JSON document, as the command line exchanges it."""
     return json.dumps([json.loads(x) for x in lines], sort_keys=True)
@@ -179,12 +196,51 @@ def upsert_candidates(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.dropDuplicates(["host", "role", "target"]).join(existing, ["host", "role", "target"], "left_anti")
 
 
-def cooled(jobs: DataFrame, key: list[str], at: str, wait: str = "1 hour", capacity: int = 256) -> DataFrame:
-    """Jobs a queue takes: at most one per key and fixed ``wait`` slot, the first of it, and ``capacity`` per slot in all.
+def cooled(jobs: DataFrame, key: list[str], at: str, wait: float = 3600.0, taken: str | None = None, keep: float = 1800.0) -> DataFrame:
+    """The key and ``at`` of the jobs a queue takes: of a key's jobs none within ``wait`` seconds after the last one taken.
 
-    The queue's cooldown is aligned to slots, so that no key's jobs need one task.
+    With ``taken``, the time a job would be worked on, jobs that are older than ``keep`` seconds by
+    then are dropped and start no cooldown.  Which job is taken depends on the one taken before,
+    so a key's times are gone through in order; they are deduplicated before the shuffle and
+    stream through their task, which holds the last one only.  Null times are left out.
     """
-    slot = F.window(F.col(at), wait)["start"]
-    first = jobs.withColumn("slot", slot).groupBy(*key, "slot").agg(F.min(at).alias(at))
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy(at, *key))
-    return first.withColumn("rank", rank).where(F.col("rank") <= capacity).drop("rank")
+    rows = jobs.where(F.col(at).isNotNull())
+    if taken is not None:
+        rows = rows.where(F.unix_micros(F.col(taken).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp")) <= F.lit(int(keep * 1e6)))
+    named = F.struct(*key)
+    times = rows.groupBy(*key, at).agg(F.first(F.lit(1))).select(F.to_json(named, {"ignoreNullFields": "false"}).alias("_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), *key, at)
+    schema = times.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, until = None, 0
+        step = int(wait * 1e6)
+        for pdf in batches:
+            keys, at_, keep_ = pdf["_key"].to_numpy(), pdf["_at"].to_numpy(), []
+            i, n = 0, len(pdf)
+            while i < n:
+                if keys[i] != last:
+                    last, until = keys[i], at_[i]
+                if at_[i] >= until:
+                    keep_.append(i)
+                    until = at_[i] + step
+                i += 1
+            yield pdf.iloc[keep_]
+
+    parts = int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return times.repartition(parts, "_key").sortWithinPartitions("_key", "_at").mapInPandas(run, schema).drop("_key", "_at")
+
+
+def registered(new: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows to append for new templates (``template_id, host, minhash, bands``) and for their bands (``host, band, hash, template_id``): those not in the store."""
+    fresh = new.dropDuplicates(["template_id"]).join(store.select("template_id"), "template_id", "left_anti")
+    return fresh, fresh.select("host", F.posexplode("bands").alias("band", "hash"), "template_id")
+
+
+def usable_rows(rows: DataFrame, version: int = FORMAT, column: str = "format_version") -> DataFrame:
+    """Rows of the format that is understood; rows of another or no format are left out, as if they had never been learned."""
+    return rows.where(F.col(column) == version).drop(column) if column in rows.columns else rows.limit(0)
+
+
+def stamped(rows: DataFrame, version: int = FORMAT, column: str = "format_version") -> DataFrame:
+    """Rows as they are written: with the format they are in."""
+    return rows.withColumn(column, F.lit(version))

@@ -19,6 +19,11 @@ _SKETCH = _SHINGLES + """, sketch AS (
 )"""
 _COUNTS = _TAGS + """, counts AS (SELECT file_id, tag, count(*) AS n, min(pos) AS first_pos FROM tags GROUP BY ALL)"""
 _HOSTS = "hosts AS (SELECT DISTINCT file_id, lower(host) AS host FROM wcxb_samples WHERE host IS NOT NULL)"
+_LINKS = r"""links AS (
+  SELECT DISTINCT source, lower(regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href ELSE regexp_extract(source, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || href END, '#.*$', '')) AS target
+  FROM (SELECT lower(regexp_replace(url, '#.*$', '')) AS source, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM wcxb_samples WHERE url IS NOT NULL)
+  WHERE (regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') OR starts_with(href, '/')) AND regexp_matches(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href ELSE source END, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]+')
+)"""
 _WORD = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"
 _PAIRS = f"""pairs AS (SELECT DISTINCT id, page_type, html, gold, regexp_replace(html, '<[^>]*>', ' ', 'g') AS plain FROM fixtures WHERE gold IS NOT NULL),
 p AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(plain), '{_WORD}')) AS word FROM pairs) GROUP BY ALL),
@@ -97,10 +102,6 @@ SELECT token, n,
     OR token IN ({", ".join(f"'{x}'" for x in SINGLETONS)})) END AS stable,
   CASE WHEN token IN ({", ".join(f"'{x}'" for x in sorted(NOISE_TOKENS))}) OR regexp_matches(token, '^({"|".join(NOISE_PREFIXES)})') THEN '' ELSE regexp_replace(token, '{NOISE_SUFFIX}', '') END AS quiet
 FROM t""",
-    "excerpt_escape": r"""
-SELECT doc_id, length(left(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), 200))::INTEGER AS excerpt_len,
-  (length(text) + length(regexp_replace(text, '[^\\*_`]', '', 'g')))::INTEGER AS escaped_len, length(text)::INTEGER AS text_len
-FROM documents WHERE text IS NOT NULL""",
     "word_counts": f"""
 SELECT word, sum(n)::BIGINT AS n, count(*) AS documents
 FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY word""",
@@ -122,7 +123,7 @@ SELECT template_id, count(*) AS kept, min(observed_at) AS oldest, max(observed_a
     "drift_average": """
 WITH s AS (SELECT DISTINCT template_id, observed_at, loaded_at, similarity_at_match AS x FROM template_observations WHERE similarity_at_match IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY observed_at DESC, loaded_at DESC, x DESC) - 1 AS k FROM s),
-n AS (SELECT *, count(*) OVER (PARTITION BY template_id) AS n FROM k WHERE k < 200)
+n AS (SELECT *, count(*) OVER (PARTITION BY template_id) AS n FROM k)
 SELECT template_id, max(n) AS n, round(sum(pow(0.8, k) * CASE WHEN k = n - 1 THEN 1.0 ELSE 0.2 END * (1 - x)), 9) AS ewma FROM n GROUP BY template_id""",
     "longest_drift": """
 WITH s AS (SELECT DISTINCT template_id, observed_at, loaded_at, similarity_at_match AS x FROM template_observations WHERE similarity_at_match IS NOT NULL),
@@ -162,4 +163,28 @@ FROM (SELECT response_id, coalesce(regexp_replace(lower(trim(status)), '[^a-z]',
     "bundle_roundtrip": """
 WITH l AS (SELECT *, row_number() OVER (PARTITION BY store_id, template_id ORDER BY file_seq DESC, version_number DESC, last_seen DESC NULLS LAST) AS k FROM templates WHERE template_id IS NOT NULL)
 SELECT store_id, template_id, hex(host_hash) AS host_hash, version_number, md5(signature_minhash) AS signature, md5(pq_gram_vector) AS vector, md5(extractor_blob) AS extractor, observation_count FROM l WHERE k = 1""",
+    "queue_cooldown": """
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, ts FROM events WHERE ts IS NOT NULL),
+q AS (
+  SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL
+  UNION ALL
+  SELECT q.user_id, q.event_type, min(e.ts) AS ts FROM q JOIN e ON e.user_id = q.user_id AND e.event_type = q.event_type AND e.ts >= q.ts + INTERVAL 1 HOUR GROUP BY ALL
+)
+SELECT * FROM q""",
+    "bundle_export": """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY store_id, template_id ORDER BY file_seq DESC, version_number DESC, last_seen DESC NULLS LAST) AS k FROM templates WHERE template_id IS NOT NULL)
+SELECT '{"schemaVersion":1,"hashAlgorithm":"hmac-sha256","pqGramP":2,"pqGramQ":3,"pqGramTopK":256,"store_id":"' || store_id || '","template_id":"' || template_id || '"' || coalesce(',"hostHash":"' || hex(host_hash) || '"', '')
+  || coalesce(',"version":' || version_number::VARCHAR, '') || coalesce(',"signature":"' || base64(signature_minhash) || '"', '') || coalesce(',"pqGramVector":"' || base64(pq_gram_vector) || '"', '')
+  || coalesce(',"extractor":"' || base64(extractor_blob) || '"', '') || coalesce(',"observationCount":' || observation_count::VARCHAR, '') || coalesce(',"createdAt":' || epoch_us(created_at)::VARCHAR, '')
+  || coalesce(',"lastSeen":' || epoch_us(last_seen)::VARCHAR, '') || '}' AS value
+FROM l WHERE k = 1""",
+    "site_links": f"WITH {_LINKS} SELECT source, target FROM links",
+    "site_map": f"""
+WITH RECURSIVE {_LINKS}, own AS (SELECT source, target FROM links WHERE {_HOST.format(u='source')} = {_HOST.format(u='target')}),
+seeds AS (SELECT min(lower(regexp_replace(url, '#.*$', ''))) AS url FROM wcxb_samples WHERE url IS NOT NULL AND {_HOST.format(u='url')} <> '' GROUP BY {_HOST.format(u='url')}),
+walk AS (SELECT url AS root, url, 0 AS depth FROM seeds UNION SELECT w.root, o.target, w.depth + 1 FROM walk w JOIN own o ON o.source = w.url WHERE w.depth < 3),
+reached AS (SELECT root, url, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL)
+SELECT root, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, url) AS place FROM reached) WHERE place <= 50""",
+    "excerpt_escape": r"""
+SELECT doc_id, md5(left(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), 200)) AS excerpt, md5(regexp_replace(text, '([\\*_`])', '\\\1', 'g')) AS escaped FROM documents WHERE text IS NOT NULL""",
 }

@@ -352,30 +352,73 @@ def schema_changes(blobs: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------- one table
 
 
+def _holders(value, path: str) -> tuple[list[dict], str]:
+    """The objects of a blob that can have the field of a path, and its name in them; ``[]`` goes to all items, ``{}`` to all values of a map."""
+    steps = path.replace("[]", ".[]").replace("{}", ".{}").split(".")
+    spots = [value]
+    for name in steps[:-1]:
+        if name == "[]":
+            spots = [y for x in spots if isinstance(x, list) for y in x]
+        elif name == "{}":
+            spots = [y for x in spots if isinstance(x, dict) for y in x.values()]
+        else:
+            spots = [x[name] for x in spots if isinstance(x, dict) and name in x]
+    return [x for x in spots if isinstance(x, dict)], steps[-1]
+
+
 def rewrite(value: dict, renames: list[tuple[str, str]]) -> dict:
     """A blob with its fields under their first names: the renames of its files undone, latest first."""
     for old, new in reversed(renames):
-        if not isinstance(value, dict):
-            return value
-        steps = new.replace("[]", ".[]").replace("{}", ".{}").split(".")
         last = old.rpartition(".")[2]
-        spots = [value]
-        for name in steps[:-1]:
-            if name == "[]":
-                spots = [y for x in spots if isinstance(x, list) for y in x]
-            elif name == "{}":
-                spots = [y for x in spots if isinstance(x, dict) for y in x.values()]
-            else:
-                spots = [x[name] for x in spots if isinstance(x, dict) and name in x]
-        for x in spots:
-            if isinstance(x, dict) and steps[-1] in x and x.get(last) is None:
-                x[last] = x.pop(steps[-1])
+        holders, name = _holders(value, new)
+        for x in holders:
+            if name in x and x.get(last) is None:
+                x[last] = x.pop(name)
+    return value
+
+
+def as_kind(value, kind: str):
+    """A value in another type, where nothing is lost by it; any other value as it is."""
+    if value is None or kind_of(value) == kind:
+        return value
+    if isinstance(value, str):
+        text = value.strip()
+        if kind == "boolean":
+            return {"true": True, "false": False}.get(text.lower(), value)
+        if kind == "string" or not text:
+            return value
+        try:
+            made = json.loads(text)
+        except ValueError:
+            return value
+        return made if kind_of(made) == kind else value
+    if isinstance(value, list):
+        return as_kind(value[0], kind) if len(value) == 1 and kind_of(value[0]) != "array" else value
+    if kind == "array":
+        return [value]
+    if kind == "string":
+        return canonical(value) if isinstance(value, (bool, dict)) else str(value)
+    if kind == "boolean" and value in (0, 1):
+        return bool(value)
+    return int(value) if kind == "number" and isinstance(value, bool) else value
+
+
+def retype(value: dict, kinds: dict[str, str]) -> dict:
+    """A blob whose fields are of the wanted types (path -> type) where they can be without loss, outer fields first."""
+    for path in sorted(kinds, key=lambda p: p.count(".")):
+        holders, name = _holders(value, path)
+        for x in holders:
+            if name in x:
+                x[name] = as_kind(x[name], kinds[path])
     return value
 
 
-def unify(blobs: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+def unify(blobs: DataFrame, changes: DataFrame, fields: list[str], kinds: dict[str, str] | None = None) -> DataFrame:
     """All files as one table: the file's key, ``template_id``, ``fields`` as JSON text under first names, and ``rest``.
 
+    ``kinds`` has the types that fields (paths under first names) have in the table; where a
+    file wrote another, the value is brought back as far as nothing is lost.
+
     The renames reported for a store's files up to a blob's own are undone in the blob; what
     is under none of the wanted names is kept in ``rest``, so nothing is lost.  Unreadable
     blobs give a row with null fields and null rest.  Repeated rows count once.
@@ -399,6 +442,7 @@ def unify(blobs: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
                     out.append((table, store, seq, template, *[None] * len(fields), None))
                     continue
                 value = rewrite(value, [(x["old_path"], x["new_path"]) for x in script] if script is not None else [])
+                value = retype(value, kinds) if kinds else value
                 taken = [canonical(value.pop(f)) if value.get(f) is not None else value.pop(f, None) for f in fields]
                 out.append((table, store, seq, template, *taken, canonical(value)))
             yield pd.DataFrame(out, columns=[*FILE, "template_id", *fields, "rest"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rendered_queries
 from .functions import stability, web
 from .model import STRUCTURAL_TAGS
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
@@ -39,18 +40,25 @@ def p4_found(spark: SparkSession, where: str) -> DataFrame:
     return schema_drift.schema_changes(_blobs(spark, where))
 
 
+#: The fields of both blob kinds under the names of the stores' first files, and the types they have in the tables.
+FENCE_FIELDS = ["Host", "Version", "PrefixPattern", "ContentStartPattern", "ContentEndPattern", "BailoutBytes", "MaxCaptureBytes"]
+FENCE_KINDS = {"Version": "number", "BailoutBytes": "number", "MaxCaptureBytes": "number"} | {
+    f"{p}.{f}": k for p in FENCE_FIELDS[2:5] for f, k in {"TagName": "string", "IsClose": "boolean", "RequiredAttributes": "array", "RequiredAttributes[].Name": "string", "RequiredAttributes[].Value": "string"}.items()
+}
+RULE_FIELDS = ["templateId", "version", "rules", "centroid", "notes"]
+RULE_KINDS = {"version": "number", "rules": "array", "rules[].role": "number", "rules[].ruleId": "string", "rules[].meanConfidence": "number", "rules[].observationCount": "number", "rules[].driftScore": "number", "centroid.totalObservations": "number"}
+
+
 def p4_table(spark: SparkSession, where: str) -> DataFrame:
-    """The fence stores as one table under the names of their first files."""
+    """The fence stores as one table under the names and types of their first files."""
     blobs = _blobs(spark, where).where("blob_table = 'streaming_templates'")
-    fields = ["Host", "Version", "PrefixPattern", "ContentStartPattern", "ContentEndPattern", "BailoutBytes", "MaxCaptureBytes"]
-    return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), fields)
+    return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), FENCE_FIELDS, FENCE_KINDS)
 
 
 def p4_template_table(spark: SparkSession, where: str) -> DataFrame:
-    """The learned-template stores as one table under the names of their first files, those inside rules and centroids too."""
+    """The learned-template stores as one table under the names and types of their first files, those inside rules and centroids too."""
     blobs = _blobs(spark, where).where("blob_table = 'templates'")
-    fields = ["templateId", "version", "rules", "centroid", "notes"]
-    return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), fields)
+    return schema_drift.unify(blobs, schema_drift.schema_changes(blobs), RULE_FIELDS, RULE_KINDS)
 
 
 # ---------------------------------------------------------------------- pages and their kernel
@@ -69,8 +77,17 @@ def template_events(spark: SparkSession, where: str) -> DataFrame:
     return learn.events(learn_templates(spark, where))
 
 
+#: When match_frozen stops learning.
+FROZEN_AT = "2025-04-01 00:00:00"
+
+
 def match_frozen(spark: SparkSession, where: str) -> DataFrame:
-    return learn.learned(_pages(spark, where), "file_id", "host", "html", "crawled_at", learn=False)
+    """The pages since FROZEN_AT, matched to what the pages before it taught and to nothing later."""
+    from datetime import datetime, timezone
+
+    until = datetime.fromisoformat(FROZEN_AT).replace(tzinfo=timezone.utc).timestamp()
+    late = _pages(spark, where).where(F.col("crawled_at") >= F.to_timestamp(F.lit(FROZEN_AT))).select(F.col("file_id").alias("page")).distinct()
+    return learn.learned(_pages(spark, where), "file_id", "host", "html", "crawled_at", until=until).join(late, "page", "left_semi")
 
 
 def dom_nodes(spark: SparkSession, where: str) -> DataFrame:
@@ -123,12 +140,12 @@ def node_shingles(spark: SparkSession, where: str) -> DataFrame:
 
 
 def element_features(spark: SparkSession, where: str) -> DataFrame:
-    return features.element_features(_pages(spark, where), "file_id", "html", 20)
+    return features.element_features(_pages(spark, where), "file_id", "html")
 
 
 def gold_labels(spark: SparkSession, where: str) -> DataFrame:
     fixtures = _read(spark, where, "fixtures").dropDuplicates(["id"])
-    return features.gold_labels(features.element_features(fixtures, "id", "html", 20), fixtures.where("gold IS NOT NULL"), "id", "gold")
+    return features.gold_labels(features.element_features(fixtures, "id", "html"), fixtures.where("gold IS NOT NULL"), "id", "gold")
 
 
 def extraction_scores(spark: SparkSession, where: str) -> DataFrame:
@@ -174,11 +191,30 @@ def emit_candidates(spark: SparkSession, where: str) -> DataFrame:
 # ------------------------------------------------------------------------------ fence scanning
 
 
+def _fences(spark: SparkSession, where: str) -> DataFrame:
+    """``host, blob``: the newest usable fence of every host, from the stores as one table; where there is none, one made from the host's first page."""
+    stored = p4_table(spark, where)
+    parts = [F.concat(F.lit(f'"{c}":'), F.col(c)) for c in FENCE_FIELDS]
+    blob = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).cast("binary")
+    rows = _read(spark, where, "streaming_templates").where("host IS NOT NULL").select("store_id", "file_seq", "template_id", "host", "version", "created_at").distinct()
+    known = jobs.latest_usable(rows.join(stored.select("store_id", "file_seq", "template_id", blob.alias("blob")), ["store_id", "file_seq", "template_id"]))
+    made = jobs.induced_fences(_pages(spark, where), "file_id", "host", "html", "crawled_at")
+    return known.unionByName(made.join(known.select("host"), "host", "left_anti"))
+
+
 def fence_scan(spark: SparkSession, where: str) -> DataFrame:
-    """Pages scanned with a fence template of their host; hosts without one give NoTemplate."""
-    rows = _read(spark, where, "streaming_templates").where("host IS NOT NULL")
-    latest = rows.groupBy(F.lower("host").alias("host")).agg(F.max_by("template_blob", F.struct("version", "file_seq", "created_at", "template_id")).alias("blob"))
-    return jobs.scan_pages(_pages(spark, where).dropDuplicates(["file_id"]), latest, "file_id", "host", "html")
+    """Pages scanned with the newest usable fence of their host."""
+    return jobs.scan_pages(_pages(spark, where).dropDuplicates(["file_id"]), _fences(spark, where), "file_id", "host", "html")
+
+
+def fence_store(spark: SparkSession, where: str) -> DataFrame:
+    """Every host's newest usable fence."""
+    return _fences(spark, where).select("host", F.decode("blob", "UTF-8").alias("blob"))
+
+
+def fence_refits(spark: SparkSession, where: str) -> DataFrame:
+    """When the fences of hosts are made, looked at again, and become new versions, page by page."""
+    return jobs.refit_pages(_pages(spark, where), "file_id", "host", "html", "crawled_at")
 
 
 def site_links(spark: SparkSession, where: str) -> DataFrame:
@@ -186,12 +222,14 @@ def site_links(spark: SparkSession, where: str) -> DataFrame:
 
 
 def site_map(spark: SparkSession, where: str) -> DataFrame:
-    links = site_links(spark, where)
-    seeds = _pages(spark, where).select(web.canonical_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
-    return skeleton.site_map(links, seeds)
+    """A crawl from the first address of every host, three steps deep and of fifty pages at most, as crawls are limited."""
+    url = web.canonical_url(F.col("url"))
+    seeds = _pages(spark, where).where("url IS NOT NULL").select(web.host_of(F.col("url")).alias("host"), url.alias("url")).where("host <> ''").groupBy("host").agg(F.min("url").alias("url")).select("url")
+    return skeleton.site_map(site_links(spark, where), seeds)
 
 
 def queue_cooldown(spark: SparkSession, where: str) -> DataFrame:
+    """The events a queue would take, at most one per user and kind within an hour after the last one taken."""
     return stores.cooled(_read(spark, where, "events"), ["user_id", "event_type"], "ts")
 
 
@@ -349,7 +387,7 @@ def class_tokens(spark: SparkSession, where: str) -> DataFrame:
 
 def excerpt_escape(spark: SparkSession, where: str) -> DataFrame:
     d = _read(spark, where, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.length(web.excerpt(F.col("text"), 200)).alias("excerpt_len"), F.length(web.escape_markdown(F.col("text"))).alias("escaped_len"), F.length("text").alias("text_len"))
+    return d.select("doc_id", F.md5(web.excerpt(F.col("text"), 200)).alias("excerpt"), F.md5(web.escape_markdown(F.col("text"))).alias("escaped"))
 
 
 def word_counts(spark: SparkSession, where: str) -> DataFrame:
@@ -441,7 +479,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     p4_found, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
-    node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan,
+    node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan, fence_store, fence_refits,
     site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe, band_classes, band_pairs,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,
     longest_drift, true_likeness, fence_versions, fence_at_version, store_history, store_changes, latest_templates, aging_score, status_report,
@@ -449,10 +487,10 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *rendered_queries.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .oracles import SQL
 
-    return dict(SQL)
+    return SQL | rendered_queries.SQL

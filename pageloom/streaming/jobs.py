@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import pickle
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from ..html.shred import Dom
 from ..operators.classify import blocks_of
 from ..operators.fingerprint import fingerprint
 from ..operators.learn import RESULT, HostState, plain_markdown
-from .fence import CaptureDrift, FenceTemplate, Pattern, Scanner, scan
+from .fence import CaptureDrift, FenceTemplate, Pattern, Scanner, induce_fence, scan
 
 _RESULT = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -147,3 +148,130 @@ def scan_pages(pages: DataFrame, fences: DataFrame, key: str, host: str, html: s
 
     own = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("page"), F.lower(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(html).alias("source"))
     return own.join(fences.select("host", "blob"), "host", "left").mapInPandas(run, VERDICT)
+
+
+# ------------------------------------------------------------------------------ fences in stores
+
+
+def as_json(fence: FenceTemplate) -> str:
+    """The stored JSON form of a fence template; ``template_of`` gives it back."""
+    pattern = lambda p: {"TagName": p.tag, "IsClose": p.is_close, "RequiredAttributes": [{"Name": k, "Value": v} for k, v in p.attrs]}
+    return json.dumps({
+        "Host": fence.host, "Version": fence.version, "TemplateId": fence.template_id, "PrefixPattern": pattern(fence.prefix), "ContentStartPattern": pattern(fence.start), "ContentEndPattern": pattern(fence.end),
+        "BailoutBytes": fence.bailout, "MaxCaptureBytes": fence.max_capture,
+    }, sort_keys=True)
+
+
+def usable(blob: bytes | str | None) -> bool:
+    """Whether a stored fence can be scanned with."""
+    if blob is None:
+        return False
+    try:
+        template_of(json.loads(blob if isinstance(blob, str) else bytes(blob).decode("utf-8-sig")))
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return False
+    return True
+
+
+def latest_usable(fences: DataFrame) -> DataFrame:
+    """``host, blob``: of every host's stored fences (``host, version, file_seq, created_at, template_id, blob``) the newest that can be scanned with."""
+    fits = F.pandas_udf(lambda s: s.map(usable), "boolean")
+    rows = fences.where(F.col("host").isNotNull()).where(fits("blob"))
+    return rows.groupBy(F.lower("host").alias("host")).agg(F.max_by("blob", F.struct("version", "file_seq", "created_at", "template_id")).alias("blob"))
+
+
+def induced_fences(pages: DataFrame, key: str, host: str, html: str, at: str) -> DataFrame:
+    """``host, blob``: a fence made from the earliest page of every host from which one can be made."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [induce_fence(h, s or "") if h else None for h, s in zip(pdf["host"], pdf["source"])]
+            yield pdf[["host", "at", "page"]].assign(blob=[as_json(t).encode() if t else None for t in made])
+
+    own = pages.where(F.col(key).isNotNull() & F.col(host).isNotNull()).select(F.lower(host).alias("host"), F.col(at).alias("at"), F.col(key).cast("string").alias("page"), F.col(html).alias("source"))
+    made = own.mapInPandas(run, "host string, at timestamp, page string, blob binary").where("blob IS NOT NULL")
+    return made.groupBy("host").agg(F.min_by("blob", F.struct("at", "page")).alias("blob"))
+
+
+REFIT = "host string, at timestamp, page string, reason string, version int, changed boolean, template string"
+
+
+class FenceState:
+    """A host's fence as its captures come in: learned from the first page, made anew on drift, at a cadence, or when nothing is captured."""
+
+    def __init__(self, host: str):
+        self.host, self.fence, self.drift = host, None, CaptureDrift()
+
+    def step(self, source: str) -> tuple[str, int, bool, str] | None:
+        """Takes a page; (reason, version, changed, template) when the fence was made or looked at again."""
+        if self.fence is None:
+            self.fence = induce_fence(self.host, source)
+            return ("first", 1, True, as_json(self.fence)) if self.fence else None
+        verdict, a, b = scan(self.fence, source.encode())
+        reason = self.drift.step(b - a) if verdict == "Captured" else "miss"
+        if reason is None:
+            return None
+        new = induce_fence(self.host, source)
+        old = (self.fence.prefix, self.fence.start, self.fence.end)
+        changed = new is not None and (new.prefix, new.start, new.end) != old
+        if changed:
+            self.fence = replace(new, version=self.fence.version + 1)
+            self.drift = CaptureDrift()
+        return reason, self.fence.version, changed, as_json(self.fence)
+
+
+def _refit(host: FenceState, pdf: pd.DataFrame) -> list[tuple]:
+    return [(host.host, at, page, *made) for at, page, source in zip(pdf["at"], pdf["page"], pdf["source"]) if (made := host.step(source or ""))]
+
+
+def refit_pages(pages: DataFrame, key: str, host: str, html: str, at: str) -> DataFrame:
+    """REFIT rows of a batch of pages: when a host's fence was made, looked at again, and whether it became a new version.
+
+    Pages stream through their host's task in order of time; the state is one fence.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: FenceState | None = None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for h, part in pdf.groupby("host", sort=False):
+                if state is None or state.host != h:
+                    state = FenceState(h)
+                rows += _refit(state, part)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in REFIT.split(", ")])
+
+    own = pages.where(F.col(key).isNotNull() & F.col(host).isNotNull()).select(F.lower(host).alias("host"), F.col(at).alias("at"), F.col(key).cast("string").alias("page"), F.col(html).alias("source"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(parts, "host").dropDuplicates(["host", "page"]).sortWithinPartitions("host", "at", "page").mapInPandas(run, REFIT)
+
+
+def refit_stream(pages: DataFrame, ttl: str = "30 days") -> DataFrame:
+    """The same for a stream of ``host, at, page, source``; a host that is silent for ``ttl`` of processing time is forgotten."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        host = pickle.loads(state.get[0]) if state.exists else FenceState(key[0])
+        rows: list[tuple] = []
+        for pdf in frames:
+            rows += _refit(host, pdf.sort_values(["at", "page"]))
+        state.update((pickle.dumps(host),))
+        state.setTimeoutDuration(int(pd.Timedelta(ttl).total_seconds() * 1000))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in REFIT.split(", ")])
+
+    return pages.groupBy("host").applyInPandasWithState(step, REFIT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def every(stream: DataFrame, work, where: str, interval: str = "1 hour"):
+    """Starts a periodic pass (such as mining) over a stream: ``work(batch)`` per trigger, at least a minute apart; a pass that fails is left for the next."""
+    if pd.Timedelta(interval) < pd.Timedelta("1 minute"):
+        raise ValueError("passes are at least a minute apart")
+
+    def once(batch: DataFrame, number: int) -> None:
+        try:
+            work(batch)
+        except Exception as problem:  # noqa: BLE001  # a bad pass must not end the stream
+            print(f"pass {number} failed: {problem}")
+
+    return stream.writeStream.trigger(processingTime=interval).option("checkpointLocation", where).foreachBatch(once).start()
