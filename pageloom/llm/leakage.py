@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
+from .lookalikes import bit_set
 
 #: Least consecutive words, and letters or digits in scripts without word breaks.
 WORDS, LETTERS = 12, 25
@@ -131,22 +132,25 @@ def _shred(by_lang: bool, bits: np.ndarray | None):
 
 
 def _runs(a: pd.Series, b: pd.Series, letters: pd.Series) -> pd.DataFrame:
-    """Of the tokens around hits, side by side: the longest exact run through the window, and all equal tokens."""
-    longest, equal, compared = [], [], []
-    for x, y, wide in zip(a, b, letters):
-        x, y = np.asarray(x), np.asarray(y)
+    """Of the tokens around hits, side by side: the longest exact run through the window, and all equal tokens. All hits of a kind at once."""
+    out = np.zeros((len(a), 3), dtype=np.int32)
+    wide = letters.to_numpy(dtype=bool)
+    for kind in (False, True):
+        rows = np.nonzero(wide == kind)[0]
+        if not len(rows):
+            continue
+        x, y = (np.stack(s.to_numpy()[rows]) for s in (a, b))
         real = (x != -1) & (y != -1)
         same = (x == y) & real
-        least = LETTERS if wide else WORDS
-        best = run = 0
-        for s in same:
-            run = run + 1 if s else 0
-            best = max(best, run)
-        longest.append(best)
-        mid = slice(least - 1, len(x) - least + 1)
-        equal.append(int(same.sum()))
-        compared.append(int(real.sum()) or int(real[mid].size))
-    return pd.DataFrame({"longest": longest, "equal": equal, "compared": compared})
+        best = run = np.zeros(len(rows), dtype=np.int32)
+        for k in range(same.shape[1]):
+            run = (run + 1) * same[:, k]
+            best = np.maximum(best, run)
+        least = LETTERS if kind else WORDS
+        middle = same.shape[1] - 2 * (least - 1)
+        compared = real.sum(axis=1)
+        out[rows] = np.stack([best, same.sum(axis=1), np.where(compared > 0, compared, middle)], axis=1)
+    return pd.DataFrame(out, columns=["longest", "equal", "compared"])
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -160,10 +164,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item
     passages = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).distinct()
     schema = "key bigint, id bigint, context array<bigint>, letters boolean"
     seeds = cut(passages.mapInPandas(_shred(True, None), schema))
-    # At most 2^BITS numbers come to the driver, whatever the passages.
-    used = np.array([r[0] for r in seeds.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot")).distinct().collect()], dtype=np.int64)
-    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    np.bitwise_or.at(bits, used >> 3, (1 << (used & 7)).astype(np.uint8))
+    bits = bit_set(seeds.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot")), BITS)
     texts = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).alias("id"), F.col(text).alias("text"))
     hits = texts.mapInPandas(_shred(False, bits), schema)
     runs = F.pandas_udf(_runs, "longest int, equal int, compared int")

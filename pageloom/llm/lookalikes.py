@@ -20,36 +20,20 @@ until the result lists them.
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut, stored
+from ..functions.codecs import read_vector
 
 SLOTS, EQUAL_SLOTS, COSINE = 128, 109, 0.90
 RECALL, SHARED, SMALL, START, DEEPEST, BITS = 0.999, 1.6, 128, 2, 6, 22
 
 
-def read_vector(blob: bytes | None) -> dict[str, float]:
-    """A pq-gram vector: a u32 count, then u32 key length, UTF-8 key and f64 weight per entry. Broken ones are empty."""
-    if not blob or len(blob) < 4:
-        return {}
-    (n,), at, out = struct.unpack_from("<I", blob, 0), 4, {}
-    try:
-        for _ in range(n):
-            (size,) = struct.unpack_from("<I", blob, at)
-            key = blob[at + 4 : at + 4 + size].decode("utf-8")
-            (out[key],) = struct.unpack_from("<d", blob, at + 4 + size)
-            at += 12 + size
-    except (struct.error, UnicodeDecodeError):
-        return {}
-    return {k: v for k, v in out.items() if math.isfinite(v) and v != 0}
-
-
 def slots_of(blob: bytes | None) -> np.ndarray | None:
     """The slots of a signature, or None where it is no evidence."""
     if blob is None or len(blob) != 4 * SLOTS:
@@ -103,21 +87,22 @@ def _descend(tokens: np.ndarray, weights: np.ndarray, owner: np.ndarray, path: n
     return (np.concatenate(owners), np.concatenate(paths)) if owners else (owner[:0], path[:0])
 
 
-def _slots_set(numbers: np.ndarray) -> np.ndarray:
-    """A bit set of fixed size from slot numbers below 2 ** BITS."""
-    bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    np.bitwise_or.at(bits, numbers >> 3, (1 << (numbers & 7)).astype(np.uint8))
-    return bits
-
-
 def _in_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     slot = values.astype(np.uint64) >> np.uint64(64 - BITS)
     return ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _collected(slots: DataFrame) -> np.ndarray:
-    """The bit set of a ``slot`` column; at most 2 ** BITS numbers come to the driver, whatever the data."""
-    return _slots_set(np.array([r[0] for r in slots.distinct().collect()], dtype=np.int64))
+def bit_set(slots: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The numbers below 2 ** bits of a one-column table as a bit set of fixed size.
+
+    The bits are put together in the JVM, 64 a row, so that at most 2 ** (bits - 6) rows come to
+    the driver, whatever the data.
+    """
+    slot = F.col(slots.columns[0])
+    words = slots.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slots.columns[0]} & 63 AS int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out.view(np.uint8)
 
 
 def _plant(decode: Callable, rate: float, runs: int, depth: int, crowded: list[np.ndarray]):
@@ -173,20 +158,34 @@ def chosen_path_candidates(sets: DataFrame, decode: Callable, overlap: float, re
             a, b = again.withColumnRenamed("id", "id_a"), again.withColumnRenamed("id", "id_b")
             pairs = pairs.unionByName(a.join(b, "path").where("id_a < id_b").select("id_a", "id_b"))
             break
-        crowded.append(_collected(slots))
+        crowded.append(bit_set(slots))
     return pairs.distinct()
 
 
 def equal_slots(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int((np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4")).sum()) / SLOTS for x, y in zip(a, b)], dtype="float64")
+    """The share of equal slots of two columns of signatures, all at once."""
+    if not len(a):
+        return pd.Series([], dtype="float64")
+    x, y = (np.frombuffer(b"".join(s), "<u4").reshape(-1, SLOTS) for s in (a, b))
+    return pd.Series((x == y).mean(axis=1))
 
 
 def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The cosine of two columns of vectors; a vector that occurs in many pairs of a batch is read once."""
+    known: dict[bytes, tuple[dict[str, float], float]] = {}
+
+    def read(blob: bytes) -> tuple[dict[str, float], float]:
+        if blob not in known:
+            vector = read_vector(blob)
+            known[blob] = vector, math.sqrt(sum(v * v for v in vector.values()))
+        return known[blob]
+
     out = []
     for x, y in zip(a, b):
-        p, q = read_vector(x), read_vector(y)
-        dot = sum(v * q[k] for k, v in p.items() if k in q)
-        out.append(dot / math.sqrt(sum(v * v for v in p.values()) * sum(v * v for v in q.values())) if p and q else 0.0)
+        (p, n), (q, m) = read(x), read(y)
+        if len(p) > len(q):
+            p, q = q, p
+        out.append(sum(v * q[k] for k, v in p.items() if k in q) / (n * m) if n and m else 0.0)
     return pd.Series(out, dtype="float64")
 
 
@@ -203,29 +202,44 @@ def fingerprints(templates: DataFrame) -> DataFrame:
     return templates.where(F.col("template_id").isNotNull()).groupBy("template_id").agg(F.max("signature_minhash").alias("signature"))
 
 
-def _links(members: DataFrame, decode: Callable, overlap: float, measure: Callable, threshold: float) -> DataFrame:
-    """``x, y`` of all templates whose ``data`` reach the threshold; members: template_id, data, repeated rows allowed.
-
-    Equal data are one class, named by a hash; the data travel once, the templates of a class
-    only by name.
-    """
+def _classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id, template_id``: which templates have which data; ``id, data``: every different data once), both written."""
     named = members.withColumn("id", F.xxhash64("data"))
-    owners = cut(named.select("id", "template_id").distinct())
-    sets = stored(named.groupBy("id").agg(F.first("data").alias("data")))
+    return cut(named.select("id", "template_id").distinct()), stored(named.groupBy("id").agg(F.first("data").alias("data")))
+
+
+def _near(sets: DataFrame, decode: Callable, overlap: float, measure: Callable, threshold: float) -> DataFrame:
+    """``id_a, id_b`` of all different data that reach the threshold."""
     close = F.pandas_udf(measure, "double")
     met = cut(chosen_path_candidates(sets, decode, overlap))
     # Only sets that are in some pair go into the verification join.
     ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).select(F.shiftrightunsigned("id", 64 - BITS).alias("slot"))
-    bits = _collected(ids)
+    bits = bit_set(ids)
     wanted = F.pandas_udf(lambda s: pd.Series(_in_set(bits, s.to_numpy().view(np.uint64))), "boolean")
     some = sets.where(wanted("id"))
     a, b = some.select(F.col("id").alias("id_a"), F.col("data").alias("data_a")), some.select(F.col("id").alias("id_b"), F.col("data").alias("data_b"))
-    near = met.join(a, "id_a").join(b, "id_b").where(close("data_a", "data_b") >= threshold - 1e-12).select("id_a", "id_b")
-    left, right = owners.select(F.col("id").alias("id_a"), F.col("template_id").alias("x")), owners.select(F.col("id").alias("id_b"), F.col("template_id").alias("y"))
-    apart = near.join(left, "id_a").join(right, "id_b").select("x", "y")
-    copies = owners.join(owners.groupBy("id").count().where("count > 1").select("id"), "id")
-    within = copies.select("id", F.col("template_id").alias("x")).join(copies.select("id", F.col("template_id").alias("y")), "id").select("x", "y")
-    return apart.unionByName(within).where("x <> y").select(F.least("x", "y").alias("template_id_a"), F.greatest("x", "y").alias("template_id_b"))
+    return met.join(a, "id_a").join(b, "id_b").where(close("data_a", "data_b") >= threshold - 1e-12).select("id_a", "id_b")
+
+
+def _both_ways(near: DataFrame) -> DataFrame:
+    """``id_a, id_b`` of links in both directions."""
+    turn = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))))
+    return near.select(turn.alias("e")).select("e.id_a", "e.id_b")
+
+
+def _evidences(templates: DataFrame) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(owners, sets, near) of both kinds of evidence, signatures and vectors."""
+    evidence, counts = F.pandas_udf(_evidence, "boolean"), F.pandas_udf(_counts, "boolean")
+    rows = templates.where(F.col("template_id").isNotNull())
+    by_slot = rows.where(F.length("signature_minhash") == 4 * SLOTS).select("template_id", F.col("signature_minhash").alias("data")).where(evidence("data"))
+    by_gram = rows.where(F.length("pq_gram_vector") > 4).select("template_id", F.col("pq_gram_vector").alias("data")).where(counts("data"))
+    out = []
+    for members, decode, overlap, measure, threshold in (
+        (by_slot, signature_set, EQUAL_SLOTS / SLOTS, equal_slots, EQUAL_SLOTS / SLOTS), (by_gram, vector_set, 1 - math.sqrt(1 - COSINE**2), cosines, COSINE),
+    ):
+        owners, sets = _classes(members)
+        out.append((owners, sets, _near(sets, decode, overlap, measure, threshold)))
+    return out
 
 
 def lookalike_pairs(templates: DataFrame) -> DataFrame:
@@ -234,47 +248,100 @@ def lookalike_pairs(templates: DataFrame) -> DataFrame:
     Signatures that are null, cut short or the same in all slots and empty or broken vectors
     give no pairs; rows with a null template_id are ignored; a template never pairs with itself.
     """
-    evidence, counts = F.pandas_udf(_evidence, "boolean"), F.pandas_udf(_counts, "boolean")
-    rows = templates.where(F.col("template_id").isNotNull())
-    by_slot = rows.where(F.length("signature_minhash") == 4 * SLOTS).select("template_id", F.col("signature_minhash").alias("data")).where(evidence("data"))
-    by_gram = rows.where(F.length("pq_gram_vector") > 4).select("template_id", F.col("pq_gram_vector").alias("data")).where(counts("data"))
-    slots = _links(by_slot, signature_set, EQUAL_SLOTS / SLOTS, equal_slots, EQUAL_SLOTS / SLOTS)
-    grams = _links(by_gram, vector_set, 1 - math.sqrt(1 - COSINE**2), cosines, COSINE)
-    return slots.unionByName(grams).distinct()
+    pairs = []
+    for owners, _, near in _evidences(templates):
+        left, right = owners.select(F.col("id").alias("id_a"), F.col("template_id").alias("x")), owners.select(F.col("id").alias("id_b"), F.col("template_id").alias("y"))
+        copies = owners.join(owners.groupBy("id").count().where("count > 1").select("id"), "id")
+        within = copies.select("id", F.col("template_id").alias("x")).join(copies.select("id", F.col("template_id").alias("y")), "id").select("x", "y")
+        pairs.append(near.join(left, "id_a").join(right, "id_b").select("x", "y").unionByName(within).where("x <> y"))
+    both = pairs[0].unionByName(pairs[1])
+    return both.select(F.least("x", "y").alias("template_id_a"), F.greatest("x", "y").alias("template_id_b")).distinct()
 
 
-def lookalike_groups(pairs: DataFrame) -> DataFrame:
-    """``template_id, group_id, links``: connected components of pairs, group_id the smallest member.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label``: the connected components of ``a, b`` links, named by their smallest node.
 
     Labels shrink along links until they stand still; each round is written to the
     checkpoint folder, and a jump to the label's own label halves long chains.
     """
-    edges = cut(pairs.select(F.col("template_id_a").alias("a"), F.col("template_id_b").alias("b")).unionByName(pairs.select(F.col("template_id_b").alias("a"), F.col("template_id_a").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("links")).select(F.col("a").alias("template_id"), "label", "links"))
+    turn = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = cut(edges.where("a <> b").select(turn.alias("e")).select("e.a", "e.b").distinct())
+    labels = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
-        heard = edges.join(labels.select(F.col("template_id").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        jumped = labels.select(F.col("template_id").alias("label"), F.col("label").alias("beyond"))
-        new = labels.join(heard, F.col("template_id") == F.col("a")).join(jumped, "label", "left")
-        new = cut(new.select("template_id", F.least("label", "other", "beyond").alias("label"), "links", (F.least("label", "other", "beyond") != F.col("label")).alias("moved")))
+        heard = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        jumped = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        new = labels.join(heard, F.col("node") == F.col("a")).join(jumped, "label", "left")
+        low = F.least("label", "other", "beyond")
+        new = cut(new.select("node", low.alias("label"), (low != F.col("label")).alias("moved")))
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
-            return labels.withColumnRenamed("label", "group_id").select("template_id", "group_id", "links")
+            return labels
+
+
+def lookalike_groups(templates: DataFrame) -> DataFrame:
+    """``template_id, group_id, links``: the groups of templates that are linked directly or through others, and how many each is linked to.
+
+    Only templates with a link are listed; ``group_id`` is the smallest member.  Templates hang
+    on the classes of their equal fingerprints, and links are between classes: a layout with a
+    million copies has a million links to its class, not their square.  ``links`` counts the
+    other templates of the own classes and of all linked ones, by each evidence.
+    """
+    members, edges, counts = [], [], []
+    for kind, (owners, _, near) in zip("sg", _evidences(templates)):
+        near = cut(near)
+        sizes = cut(owners.groupBy("id").agg(F.count("*").alias("n")))
+        both = _both_ways(near)
+        beside = both.join(sizes.withColumnRenamed("id", "id_b"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.sum("n").alias("more"))
+        name = lambda c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+        linked = owners.join(sizes, "id").join(beside, "id", "left").select("template_id", name("id").alias("class"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links")).where("links > 0")
+        members.append(linked)
+        edges += [near.select(name("id_a").alias("a"), name("id_b").alias("b")), linked.select(F.concat(F.lit("t:"), "template_id").alias("a"), F.col("class").alias("b"))]
+    everyone = members[0].unionByName(members[1])
+    graph = edges[0]
+    for e in edges[1:]:
+        graph = graph.unionByName(e)
+    labels = components(graph).where("node LIKE 't:%'").select(F.substring("node", 3, 1_000_000).alias("template_id"), "label")
+    first = labels.groupBy("label").agg(F.min("template_id").alias("group_id"))
+    return labels.join(first, "label").join(everyone.groupBy("template_id").agg(F.sum("links").alias("links")), "template_id").select("template_id", "group_id", "links")
 
 
 def wandering_observations(observations: DataFrame, templates: DataFrame) -> DataFrame:
     """Observations whose page is closer to a look-alike of the template they were logged for.
 
     ``template_id, observed_at, nearest_id, own_slots, nearest_slots``: the signature of each
-    observation is compared with its own template's and those of its look-alikes only.
-    Observations without evidence or of unknown templates are left out; repeated rows count once.
+    observation is compared with its own template's and with the different signatures of its
+    look-alikes, each once, under the smallest template that has it.  The rivals of a template
+    travel to its observations as one row of one signature each, spread by a salt, so that a
+    template with a tenth of all observations takes no task for itself.  Observations without
+    evidence or of unknown templates are left out; repeated rows count once.
     """
-    evidence, equal = F.pandas_udf(_evidence, "boolean"), F.pandas_udf(equal_slots, "double")
-    prints = fingerprints(templates).where(F.length("signature") == 4 * SLOTS).where(evidence("signature")).select("template_id", "signature")
-    pairs = lookalike_pairs(templates)
-    both = pairs.select(F.col("template_id_a").alias("template_id"), F.col("template_id_b").alias("near_id")).unionByName(pairs.select(F.col("template_id_b").alias("template_id"), F.col("template_id_a").alias("near_id")))
-    rivals = both.join(prints.select(F.col("template_id").alias("near_id"), F.col("signature").alias("near_signature")), "near_id")
+    evidence = F.pandas_udf(_evidence, "boolean")
+    prints = stored(fingerprints(templates).where(F.length("signature") == 4 * SLOTS).where(evidence("signature")).select("template_id", "signature"))
+    named = prints.withColumn("id", F.xxhash64("signature"))
+    classes = stored(named.groupBy("id").agg(F.first("signature").alias("signature"), F.min("template_id").alias("first")))
+    links = []
+    for owners, _, near in _evidences(templates):
+        both = _both_ways(near).unionByName(owners.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).distinct())
+        # From a template by its evidence to classes of evidence, and from their templates to classes of signatures.
+        target = owners.join(named.select("template_id", F.col("id").alias("klass")), "template_id").select(F.col("id").alias("id_b"), "klass").distinct()
+        links.append(owners.withColumnRenamed("id", "id_a").join(both, "id_a").join(target, "id_b").select("template_id", "klass"))
+    rivals = links[0].unionByName(links[1]).distinct().join(named.select("template_id", F.col("id").alias("own")), "template_id").where("klass <> own").select("template_id", "klass")
+    rivals = rivals.join(classes.select(F.col("id").alias("klass"), F.col("signature").alias("near"), "first"), "klass")
+    gathered = prints.join(rivals.groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("first", "near"))).alias("rivals")), "template_id")
+    salts = max(2, observations.sparkSession.sparkContext.defaultParallelism)
+    spread = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     seen = observations.where(F.length("signature_minhash") == 4 * SLOTS).where(evidence("signature_minhash")).select("template_id", "observed_at", "signature_minhash").distinct()
-    own = seen.join(prints, "template_id").withColumn("own_slots", equal("signature_minhash", "signature") * SLOTS).drop("signature")
-    scored = own.join(rivals, "template_id").withColumn("near_slots", equal("signature_minhash", "near_signature") * SLOTS).where("near_slots > own_slots")
-    best = Window.partitionBy("template_id", "observed_at", "signature_minhash").orderBy(F.desc("near_slots"), "near_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("template_id", "observed_at", F.col("near_id").alias("nearest_id"), F.col("own_slots").cast("int").alias("own_slots"), F.col("near_slots").cast("int").alias("nearest_slots"))
+    met = seen.withColumn("salt", F.pmod(F.xxhash64("observed_at", "signature_minhash"), F.lit(salts))).join(spread, ["template_id", "salt"])
+
+    def nearest(seen_: pd.Series, own: pd.Series, near: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, o, others in zip(seen_, own, near):
+            s = np.frombuffer(s, "<u4")
+            scores = (np.frombuffer(b"".join(x["near"] for x in others), "<u4").reshape(-1, SLOTS) == s).sum(axis=1)
+            at = int(scores.argmax())  # rivals are in the order of their names, so ties go to the first
+            rows.append((int((np.frombuffer(o, "<u4") == s).sum()), others[at]["first"], int(scores[at])))
+        return pd.DataFrame(rows, columns=["own", "id", "slots"])
+
+    found = F.pandas_udf(nearest, "struct<own:int,id:string,slots:int>")
+    scored = met.select("template_id", "observed_at", found("signature_minhash", "signature", "rivals").alias("n")).where("n.slots > n.own")
+    return scored.select("template_id", "observed_at", F.col("n.id").alias("nearest_id"), F.col("n.own").alias("own_slots"), F.col("n.slots").alias("nearest_slots"))

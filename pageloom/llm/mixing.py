@@ -27,7 +27,7 @@ from ..checkpoints import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-splitting pattern that goes with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ROUNDS, CLOSE, BUCKET = 60, 1e-6, 500
+ROUNDS, CLOSE, BUCKET = 200, 1e-6, 500
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -74,19 +74,19 @@ def _goals(sizes: DataFrame, targets: DataFrame, total: float | None) -> DataFra
     return both.withColumn("goal", F.least(F.coalesce(share * size, F.lit(0.0)), F.col("can").cast("double"))).select("mix_id", "source", "target_share", "max_repeats", "goal", "scale", "have")
 
 
-def multipliers(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+def multipliers(sizes: DataFrame, goals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``mix_id, source, lambda, max_repeats``: the dual solution. ``sizes``: source, n_tokens, n.
 
     Newton's method per constraint with bisection as its safeguard; the constraints of a mix
     do not share documents, so its Hessian is diagonal.  A source whose goal needs every cap
-    gets an infinite multiplier.
+    gets an infinite multiplier.  A dual that has not converged after ``rounds`` is an error, not a result.
     """
     state = cut(
         goals.where("goal > 0").select(
             "mix_id", "source", "max_repeats", "goal", "scale", "have", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), (F.col("goal") >= F.col("have") * F.col("max_repeats") * (1 - 1e-9)).alias("full")
         )
     )
-    for round_ in range(ROUNDS):
+    for _ in range(rounds):
         rate = F.least(F.col("max_repeats").cast("double"), F.exp(F.least(F.col("lam") * F.col("n_tokens") / F.col("scale"), F.lit(700.0))))
         free = rate < F.col("max_repeats")
         step = state.join(sizes, "source").groupBy("mix_id", "source").agg(
@@ -104,6 +104,8 @@ def multipliers(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         state = new.drop("done")
         if new.where("NOT done").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"the dual has not converged in {rounds} rounds")
     return state.select("mix_id", "source", "max_repeats", "scale", F.when(F.col("full"), F.lit(math.inf)).otherwise(F.col("lam")).alias("lam"))
 
 

@@ -43,7 +43,7 @@ def p5_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, where: str) -> DataFrame:
-    return lookalikes.lookalike_groups(p5_found(spark, where))
+    return lookalikes.lookalike_groups(_read(spark, where, "templates"))
 
 
 def p5_wandering(spark: SparkSession, where: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import cut, stored
+from ..checkpoints import FEW, counted, cut, stored
 from ..html.tree import Line
 from .mainbody import Page, stray_lines, weight
 from .notices import is_filler, is_notice, may_hold_filler, may_hold_notice, notice_line
@@ -259,26 +259,29 @@ def _sketched(classes: DataFrame, similarity: float, recall: float) -> tuple[Dat
     return classes.withColumn("s", made("text")).select("klass", "trusted", "s.*"), limit
 
 
-def spread_labels(units: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def spread_labels(units: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, few: int = FEW) -> DataFrame:
     """``klass, trusted``: the classes of text (``xxhash64`` of it) that are in one connected component with a trusted one.
 
     ``units`` has ``text`` and ``trusted``.  Two texts are linked when they share a key in a
     SimHash table, are within the Hamming distance of pairs at the similarity, and their
-    shingle sets reach it.
+    shingle sets reach it.  A frontier, its keys and its pairs are broadcast to the stored tables
+    where counting shows at most ``few`` rows, and shuffled beyond.
     """
     classes = stored(units.groupBy(F.xxhash64("text").alias("klass")).agg(F.first("text").alias("text"), F.max("trusted").alias("trusted")))
     sketched, limit = _sketched(classes, similarity, recall)
     sketched = stored(sketched)
     tables = stored(sketched.where(~F.col("trusted")).select("klass", F.explode("keys").alias("key")))
     labelled = sketched.where("trusted").select("klass", "trusted")
-    frontier = labelled.select("klass")
+    frontier = cut(labelled.select("klass"))
     distance = F.aggregate(F.zip_with("signature", "signature0", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     both = F.size(F.array_intersect("shingles", "shingles0"))
     jaccard = both / (F.size("shingles") + F.size("shingles0") - both)
+    marks = lambda klass, end: sketched.select(F.col("klass").alias(klass), F.col("signature").alias(f"signature{end}"), F.col("shingles").alias(f"shingles{end}"))
     while True:
-        probes = sketched.join(frontier, "klass", "left_semi").select(F.col("klass").alias("from"), F.explode("keys").alias("key"))
-        met = tables.join(labelled, "klass", "left_anti").join(probes, "key").select("klass", "from").distinct()
-        pairs = met.join(sketched.select("klass", "signature", "shingles"), "klass").join(sketched.select(F.col("klass").alias("from"), F.col("signature").alias("signature0"), F.col("shingles").alias("shingles0")), "from")
+        probes = cut(sketched.join(counted(frontier, few), "klass", "left_semi").select(F.col("klass").alias("from"), F.explode("keys").alias("key")))
+        met = tables.join(counted(probes, few), "key").select("klass", "from").distinct().join(labelled.select("klass"), "klass", "left_anti")
+        met = counted(cut(met), few)
+        pairs = marks("klass", "").join(met, "klass").join(marks("from", "0").join(met.select("from"), "from", "left_semi"), "from")
         frontier = cut(pairs.where((distance <= limit) & (jaccard >= similarity - 1e-9)).select("klass").distinct())
         if frontier.isEmpty():
             return labelled

@@ -148,8 +148,49 @@ def test_lookalikes_against_brute_force(spark):
     got = rows(lookalikes.lookalike_pairs(df))
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
     assert lookalikes.lookalike_pairs(df.limit(0)).count() == 0
-    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "template_id_a string, template_id_b string")
-    assert rows(lookalikes.lookalike_groups(pairs)) == [("a", "a", 1), ("b", "a", 2), ("c", "a", 2), ("d", "a", 1), ("x", "x", 1), ("y", "x", 1)]
+    group = {i: i for i in ids}
+    for a, b in sorted(want):
+        low, high = sorted((group[a], group[b]))
+        group = {i: low if g == high else g for i, g in group.items()}
+    linked = {i for pair in want for i in pair}
+    groups = rows(lookalikes.lookalike_groups(df))
+    assert {(i, g) for i, g, _ in groups} == {(i, group[i]) for i in linked} and all(n > 0 for _, _, n in groups) and lookalikes.lookalike_groups(df.limit(0)).count() == 0
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "y")], "a string, b string")
+    assert rows(lookalikes.components(edges)) == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_bit_set(spark):
+    numbers = [0, 1, 63, 64, 4095, 64, 2**12 - 65]
+    bits = lookalikes.bit_set(spark.createDataFrame([(n,) for n in numbers], "slot long"), 12)
+    assert [k for k in range(2**12) if bits[k >> 3] >> (k & 7) & 1] == sorted(set(numbers))
+    assert not lookalikes.bit_set(spark.createDataFrame([], "slot long"), 12).any()
+
+
+def test_wandering_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    signs = {}
+    for k in range(6):
+        s = base.copy()
+        s[k * 6 : k * 6 + 6] ^= 1
+        signs[f"t{k}"] = s
+    signs["t6"] = signs["t5"]  # a copy is no rival of its own
+    signs["far"] = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    templates = spark.createDataFrame([(i, s.tobytes(), None) for i, s in signs.items()] + [("none", None, None)], "template_id string, signature_minhash binary, pq_gram_vector binary")
+    data, want = [], set()
+    for k in range(60):
+        own, page = f"t{k % 7}", signs[f"t{(k * 5) % 7}"].copy()
+        page[rng.choice(128, k % 4, replace=False)] ^= 7
+        data += [(own, k, page.tobytes(), 1.0)] * (1 + k % 2)
+        mine = int((page == signs[own]).sum())
+        rivals = [(-int((page == s).sum()), i) for i, s in signs.items() if i != own and (s == signs[own]).sum() >= 109 and not (s == signs[own]).all()]
+        score, near = min((n, "t5" if i == "t6" else i) for n, i in rivals)
+        if -score > mine:
+            want.add((own, k, near, mine, -score))
+    data += [("far", 99, signs["t0"].tobytes(), 1.0), ("none", 98, signs["t0"].tobytes(), 1.0), ("t0", 97, b"short", 1.0), ("t0", 96, None, None), (None, 95, signs["t0"].tobytes(), 1.0)]
+    seen = spark.createDataFrame(data, "template_id string, observed_at int, signature_minhash binary, similarity_at_match double")
+    assert set(rows(lookalikes.wandering_observations(seen, templates))) == want and len(want) > 20
+    assert lookalikes.wandering_observations(seen.limit(0), templates).count() == lookalikes.wandering_observations(seen, templates.limit(0)).count() == 0
 
 
 def test_lookalike_copies_larger_than_a_node(spark):
@@ -237,6 +278,10 @@ def test_mixing(spark):
     assert mixing.mix(documents.limit(0), targets).count() == 0
     small = mixing.mix(documents, targets.where("mix_id = 'm'"), total=5000.0)
     assert small.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] == pytest.approx(5000, rel=0.05)
+    with pytest.raises(ArithmeticError):  # a dual that is not solved gives no mix
+        sizes = spark.createDataFrame([("a", 3, 10), ("a", 7, 5)], "source string, n_tokens int, n long")
+        goals = spark.createDataFrame([("m", "a", 2, 90.0, 7, 65)], "mix_id string, source string, max_repeats int, goal double, scale int, have long")
+        mixing.multipliers(sizes, goals, rounds=2)
     chosen.unpersist()
 
 
