@@ -21,8 +21,14 @@ def _folder(df: DataFrame) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the checkpoint folder: for wide rows that several jobs read again."""
+    """``df`` as a compressed table in the checkpoint folder: for wide rows that several jobs read again.
+
+    The folder goes when the driver ends.
+    """
     path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 

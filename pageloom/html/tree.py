@@ -50,6 +50,7 @@ _IMPLIED = {
 _SCOPE = frozenset("table td th caption body html button template".split())
 #: Deeper elements stay siblings of the last one that fits, as in browsers, so that no page can exhaust the stack.
 MAX_DEPTH = 400
+_CLOSES_LOST = frozenset(["td", "th", "caption", "table"])
 _TABLE_PARENTS = frozenset("table tbody thead tfoot tr".split())
 _TABLE_CHILDREN = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
 _TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
@@ -302,6 +303,17 @@ def parse(source: str | None) -> Node:
         if tag is None:  # comment, doctype, processing instruction
             continue
         tag = tag.lower()
+        if tag == stack[-1].tag and len(stack) > 2:  # closes what was opened last, as most end tags do
+            stack.pop()
+            if lost:
+                if tag in _CLOSES_LOST:
+                    lost.clear()
+                elif tag in FORMATTING:
+                    for i in range(len(lost) - 1, -1, -1):
+                        if lost[i].tag == tag:
+                            del lost[i]
+                            break
+            continue
         if tag in ("html", "body", "head"):
             if tag == "head":
                 in_head = False
@@ -342,7 +354,7 @@ def parse(source: str | None) -> Node:
             t = stack[i].tag
             if t == tag:
                 pop_to(i)
-                if tag in ("td", "th", "caption", "table"):
+                if tag in _CLOSES_LOST:
                     lost.clear()
                 break
             if t in ("td", "th", "body") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
@@ -406,6 +418,13 @@ def lines_of(body: Node, every: bool = True) -> list[Line]:
                 out.append(Line(owner, text, sum(len(p[0]) for p in parts if p[1]), True, [], len(out)))
             parts.clear()
             return
+        if len(parts) == 1:  # plain text, as most lines are
+            raw, linked, coded = parts[0]
+            parts.clear()
+            text = " ".join(raw.split())
+            if text:
+                out.append(Line(owner, text, len(text) if linked else 0, False, [(0, len(text))] if coded else [], len(out)))
+            return
         text, link, code, space = "", 0, [], False
         chunks: list[str] = []
         length = 0
@@ -440,7 +459,7 @@ def lines_of(body: Node, every: bool = True) -> list[Line]:
                 parts.append((c, linked, coded))
                 continue
             tag = c.tag
-            if tag in UNSEEN or c.hidden:
+            if tag in UNSEEN or (c._attrs and c.hidden):
                 continue
             if tag == "br":
                 parts.append(("\n", linked, coded))

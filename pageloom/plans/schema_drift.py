@@ -153,8 +153,10 @@ def edit_script(old: dict[str, str], new: dict[str, str], same: dict[tuple[str,
     """The minimum-cost script (change, old_path, new_path) between two schemas (path -> type).
 
     ``same`` has, for pairs of paths, the share of templates with equal values.  Costs: a
-    match by name 0, a type change 1, a rename 1 (only from SAME_VALUES up), deleting or
-    inserting a subtree its number of fields.  Nothing below a changed field is listed.
+    match by name 0, a type change 1, a rename 1 (only from SAME_VALUES up), a move to another
+    parent 1 (likewise), deleting or inserting a subtree its number of fields.  Nothing below a
+    changed field is listed.  Moves are only looked for where ``same`` has values of fields
+    under different parents; they are listed as ``moved`` in the place of a removal and an addition.
     """
     same = same or {}
     children: list[dict[str, list[str]]] = []
@@ -205,6 +207,15 @@ def edit_script(old: dict[str, str], new: dict[str, str], same: dict[tuple[str,
         script += [("renamed", a, b) for a, b in renamed.items()]
         script += [("removed", a, "") for a in gone if a not in renamed]
         script += [("added", "", b) for b in come if b not in renamed.values()]
+    gone, come = sorted(a for c, a, _ in script if c == "removed"), sorted(b for c, _, b in script if c == "added")
+    share = lambda a, b: same.get((a, b), 0.0) if parent_of(a) != parent_of(b) and old[a] == new[b] else 0.0
+    taken: set[str] = set()
+    for _, a, b in sorted((-share(a, b), a, b) for a in gone for b in come if share(a, b) >= SAME_VALUES):
+        if a not in taken and b not in taken:  # the surest first
+            taken |= {a, b}
+            script.remove(("removed", a, ""))
+            script.remove(("added", "", b))
+            script.append(("moved", a, b))
     return script
 
 
@@ -282,6 +293,16 @@ def _steps(schemas: DataFrame) -> DataFrame:
 _PAIR = T.ArrayType(T.StructType([T.StructField("old_path", T.StringType()), T.StructField("new_path", T.StringType())]))
 
 
+def _moves(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Pairs of fields of one name and type of which one goes and one comes, under different parents."""
+    out = []
+    for a, b in zip(before, after):
+        old, new = {x["path"]: x["type"] for x in a}, {x["path"]: x["type"] for x in b}
+        name = lambda p: p.rpartition(".")[2]
+        out.append([{"old_path": p, "new_path": q} for p in old if p not in new for q in new if q not in old and old[p] == new[q] and name(p) == name(q) and parent_of(p) != parent_of(q)])
+    return pd.Series(out)
+
+
 def _candidates(before: pd.Series, after: pd.Series) -> pd.Series:
     """Pairs of fields of which one goes and one comes, under one parent, with one type."""
     out = []
@@ -310,16 +331,17 @@ def _values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names)
 
 
-def schema_changes(blobs: DataFrame) -> DataFrame:
+def schema_changes(blobs: DataFrame, moves: bool = False) -> DataFrame:
     """``blob_table, store_id, file_seq, change, old_path, new_path``: every change of a file against its predecessor.
 
     A file whose predecessor (file_seq one less) is missing, or either of which has no readable
-    blob, has no changes.  Empty tables give none.
+    blob, has no changes.  Empty tables give none.  With ``moves`` a field that went under another
+    parent with its values is ``moved``; without, it is removed and added.
     """
     from ..checkpoints import cut
 
     steps = cut(_steps(file_schemas(blobs)))
-    pairs_of = F.pandas_udf(_candidates, _PAIR)
+    pairs_of = F.pandas_udf((lambda a, b: pd.Series([x + y for x, y in zip(_candidates(a, b), _moves(a, b))])) if moves else _candidates, _PAIR)
     pairs = steps.select(*FILE, F.explode(pairs_of("before", "after")).alias("p")).select(*FILE, "p.old_path", "p.new_path")
     pairs = cut(pairs)
     # What to look up in which file; a salt on both sides spreads a store that holds much of the table.
@@ -367,10 +389,15 @@ def _holders(value, path: str) -> tuple[list[dict], str]:
 
 
 def rewrite(value: dict, renames: list[tuple[str, str]]) -> dict:
-    """A blob with its fields under their first names: the renames of its files undone, latest first."""
+    """A blob with its fields under their first names and in their first places: the renames and moves of its files undone, latest first."""
     for old, new in reversed(renames):
         last = old.rpartition(".")[2]
         holders, name = _holders(value, new)
+        if parent_of(old) != parent_of(new):  # a move: brought back where both places are single ones
+            targets, _ = _holders(value, old)
+            if len(holders) == len(targets) == 1 and name in holders[0] and targets[0].get(last) is None:
+                targets[0][last] = holders[0].pop(name)
+            continue
         for x in holders:
             if name in x and x.get(last) is None:
                 x[last] = x.pop(name)
@@ -423,7 +450,7 @@ def unify(blobs: DataFrame, changes: DataFrame, fields: list[str], kinds: dict[s
     is under none of the wanted names is kept in ``rest``, so nothing is lost.  Unreadable
     blobs give a row with null fields and null rest.  Repeated rows count once.
     """
-    renames = changes.where("change = 'renamed'").select("blob_table", "store_id", F.col("file_seq").alias("since"), "old_path", "new_path")
+    renames = changes.where("change IN ('renamed', 'moved')").select("blob_table", "store_id", F.col("file_seq").alias("since"), "old_path", "new_path")
     files = blobs.select(*FILE).distinct()
     scripts = (
         files.join(renames, ["blob_table", "store_id"]).where("since <= file_seq").groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("since", "old_path", "new_path"))).alias("script"))

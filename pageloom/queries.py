@@ -49,6 +49,11 @@ RULE_FIELDS = ["templateId", "version", "rules", "centroid", "notes"]
 RULE_KINDS = {"version": "number", "rules": "array", "rules[].role": "number", "rules[].ruleId": "string", "rules[].meanConfidence": "number", "rules[].observationCount": "number", "rules[].driftScore": "number", "centroid.totalObservations": "number"}
 
 
+def p4_moves(spark: SparkSession, where: str) -> DataFrame:
+    """The same changes with moves told from removals and additions."""
+    return schema_drift.schema_changes(_blobs(spark, where), moves=True)
+
+
 def p4_table(spark: SparkSession, where: str) -> DataFrame:
     """The fence stores as one table under the names and types of their first files."""
     blobs = _blobs(spark, where).where("blob_table = 'streaming_templates'")
@@ -478,7 +483,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    p4_found, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
+    p4_found, p4_moves, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
     node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan, fence_store, fence_refits,
     site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe, band_classes, band_pairs,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,
