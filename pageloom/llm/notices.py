@@ -162,6 +162,11 @@ def _fillers() -> Finder:
     return Finder(_FILLER)
 
 
+@functools.cache
+def _told() -> Finder:
+    return Finder(_FILLER, *sorted(_TOLD))
+
+
 def _low(text: str) -> str:
     return text.lower().replace("’", "'")
 
@@ -191,7 +196,8 @@ _SHARED = frozenset("a ad amet ante culpa do dolor duis ea elis est et eu ex fam
 _TOLD = LOREM - _SHARED
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCES = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])")
-_STOPS = re.compile(r"[.!?。！？।]+")
+_ENDS = ".!?。！？।"
+_STOPS = re.compile(f"[{_ENDS}]+")
 
 
 def is_notice(text: str) -> bool:
@@ -208,8 +214,7 @@ def notice_line(text: str) -> bool:
 
 def may_hold_filler(text: str) -> bool:
     """False only where no line of the text can be pseudo-Latin or name itself filler."""
-    low = text.lower()
-    return not _TOLD.isdisjoint(_WORD.findall(low)) or _fillers().may(low)
+    return _told().may(text.lower())
 
 
 def is_filler(text: str, told: bool = True) -> bool:
@@ -222,7 +227,7 @@ def is_filler(text: str, told: bool = True) -> bool:
         words = _WORD.findall(text.lower())
         if len(words) >= 4 and not _SHARED.issuperset(words) and sum(w in LOREM for w in words) >= 0.6 * len(words):
             return True
-    if len(_STOPS.findall(text)) >= 2:
+    if sum(map(text.count, _ENDS)) >= 2:
         parts = [x.strip().lower() for x in _STOPS.split(text) if x.strip()]
         if len(parts) >= 3 and len(set(parts)) <= len(parts) // 3:
             return True

@@ -234,9 +234,10 @@ def tables_for(classes: int, similarity: float = SIMILARITY, recall: float = REC
 def table_keys(sign: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """One key a table and signature: the table's own part of the signature, with the table's number above it."""
     flat = np.unpackbits(sign.view(np.uint8).reshape(len(sign), -1), axis=1)[:, : bits * tables].reshape(-1, bits)
-    wide = np.zeros((len(flat), 32), np.uint8)
-    wide[:, 32 - bits :] = flat
-    values = np.packbits(wide, axis=1).view(">u4").astype(np.int64).reshape(len(sign), tables)
+    values = np.zeros(len(flat), np.int64)
+    for k in range(bits):
+        values = values * 2 + flat[:, k]
+    values = values.reshape(len(sign), tables)
     return values + (np.arange(tables, dtype=np.int64) << 32)
 
 
