@@ -338,12 +338,12 @@ def schema_changes(blobs: DataFrame, moves: bool = False) -> DataFrame:
     blob, has no changes.  Empty tables give none.  With ``moves`` a field that went under another
     parent with its values is ``moved``; without, it is removed and added.
     """
-    from ..checkpoints import cut
+    from ..checkpoints import counted, cut
 
     steps = cut(_steps(file_schemas(blobs)))
     pairs_of = F.pandas_udf((lambda a, b: pd.Series([x + y for x, y in zip(_candidates(a, b), _moves(a, b))])) if moves else _candidates, _PAIR)
     pairs = steps.select(*FILE, F.explode(pairs_of("before", "after")).alias("p")).select(*FILE, "p.old_path", "p.new_path")
-    pairs = cut(pairs)
+    pairs = counted(cut(pairs))
     # What to look up in which file; a salt on both sides spreads a store that holds much of the table.
     salts = _salts(blobs)
     wanted = pairs.select("blob_table", "store_id", (F.col("file_seq") - 1).alias("file_seq"), F.col("old_path").alias("path")).unionByName(pairs.select(*FILE, F.col("new_path").alias("path")))
