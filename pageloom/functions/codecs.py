@@ -63,3 +63,16 @@ def stored_bands(signature: Column) -> Column:
     """The bands of a stored signature: 16 keys of eight slots each."""
     text = F.hex(signature)
     return F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda i: F.substring(text, i * (8 * BAND) + 1, F.lit(8 * BAND)))
+
+
+def equal_share(a: Column, b: Column) -> Column:
+    """The share of equal slots of two stored signatures of full length, a batch at once."""
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        left, right = (np.frombuffer(b"".join(s), "<u4").reshape(-1, SLOTS) for s in (x, y))
+        return pd.Series((left == right).mean(axis=1))
+
+    return share(a, b)

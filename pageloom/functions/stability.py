@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -16,33 +17,31 @@ STATE = (
     r"in-range|out-of-range|read-only|read-write|empty|root|file|marker|selection|backdrop|motion-safe|motion-reduce|print|portrait|landscape|rtl|ltr)"
     r"(-[a-z][a-z-]*)?:"
 )
-_UTILITY_HEADS = (
-    "p m w h gap space text bg border rounded grid flex col row min max inset top right bottom left z opacity shadow ring fill stroke cursor select "
-    "resize object overflow whitespace break content origin transition duration delay ease animate transform translate rotate scale skew filter blur "
-    "brightness contrast saturate p[xytrbl] m[xytrbl] aspect order font leading tracking list placeholder divide outline truncate sr not-sr antialiased "
-    "subpixel italic not-italic underline line-through no-underline uppercase lowercase capitalize normal-case items justify self place basis grow shrink"
-).split()
-_UTILITY_VALUES = (
-    r"\d x-\d y-\d t-\d r-\d b-\d l-\d full auto screen min max none px fit prose reverse wrap nowrap first last center left right start end justify "
-    r"between around evenly baseline stretch hidden visible scroll clip solid dashed dotted double inherit current transparent black white gray red orange "
-    r"yellow green teal blue indigo purple pink slate zinc neutral stone amber lime emerald cyan sky violet fuchsia rose primary secondary cols-\d rows-\d "
-    r"span-\d flow-\w+ flex grid block inline cover contain fill bold semibold medium light normal extrabold thin"
-).split()
-_ATOMIC_HEADS = "p m d w h text bg border rounded col row mt mb ml mr mx my pt pb pl pr px py".split()
-_ATOMIC_VALUES = (
-    r"\d sm md lg xl xxl auto none fluid flex grid block inline inline-block inline-flex table center left right start end justify primary secondary "
-    "success warning danger info light dark muted white black body wrap nowrap truncate uppercase lowercase capitalize"
-).split()
+UTILITY = (
+    r"^(p|m|w|h|gap|space|text|bg|border|rounded|grid|flex|col|row|min|max|inset|top|right|bottom|left|z|opacity|shadow|ring|fill|stroke|cursor|"
+    r"select|resize|object|overflow|whitespace|break|content|origin|transition|duration|delay|ease|animate|transform|translate|rotate|scale|skew|"
+    r"filter|blur|brightness|contrast|saturate|p[xytrbl]|m[xytrbl]|aspect|order|font|leading|tracking|list|placeholder|divide|outline|truncate|sr|"
+    r"not-sr|antialiased|subpixel|italic|not-italic|underline|line-through|no-underline|uppercase|lowercase|capitalize|normal-case|items|justify|"
+    r"self|place|basis|grow|shrink)-(\d|x-\d|y-\d|t-\d|r-\d|b-\d|l-\d|full|auto|screen|min|max|none|px|fit|prose|reverse|wrap|nowrap|first|last|"
+    r"center|left|right|start|end|justify|between|around|evenly|baseline|stretch|hidden|visible|scroll|clip|solid|dashed|dotted|double|inherit|"
+    r"current|transparent|black|white|gray|red|orange|yellow|green|teal|blue|indigo|purple|pink|slate|zinc|neutral|stone|amber|lime|emerald|cyan|"
+    r"sky|violet|fuchsia|rose|primary|secondary|cols-\d|rows-\d|span-\d|flow-\w+|flex|grid|block|inline|cover|contain|fill|bold|semibold|medium|"
+    r"light|normal|extrabold|thin)"
+)
+ATOMIC = (
+    r"^(p|m|d|w|h|text|bg|border|rounded|col|row|mt|mb|ml|mr|mx|my|pt|pb|pl|pr|px|py)-(\d|sm|md|lg|xl|xxl|auto|none|fluid|flex|grid|block|inline|"
+    r"inline-block|inline-flex|table|center|left|right|start|end|justify|primary|secondary|success|warning|danger|info|light|dark|muted|white|"
+    r"black|body|wrap|nowrap|truncate|uppercase|lowercase|capitalize)"
+)
 SINGLETONS = (
     "flex grid block inline inline-block inline-flex inline-grid hidden visible invisible collapse table table-row table-cell table-caption table-column "
     "table-column-group table-footer-group table-header-group table-row-group contents flow-root list-item fixed absolute relative sticky static"
 ).split()
-UTILITY = f"^({'|'.join(_UTILITY_HEADS)})-({'|'.join(_UTILITY_VALUES)})"
-ATOMIC = f"^({'|'.join(_ATOMIC_HEADS)})-({'|'.join(_ATOMIC_VALUES)})"
 _STYLES = re.compile("|".join(f"(?:{x})" for x in (VARIANT, STATE, UTILITY, ATOMIC)))
 _SINGLE = frozenset(SINGLETONS)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def is_stable(token: str) -> bool:
     """Whether a class token (or id) can identify an element: no hash, no utility, no layout word."""
     n = len(token)

@@ -95,6 +95,32 @@ def overridden(pages: DataFrame, key: str, host: str, html: str, templates: list
     return own.mapInPandas(run, f"page string, host string, matched boolean, blocks {_struct()}")
 
 
+def best_render(pages: DataFrame, key: str, static: str, rendered_: str, least: int = 200) -> DataFrame:
+    """``page, used, markdown``: what is extracted from a page as it was sent, or as a browser rendered it where that gives more.
+
+    The rendered form is only looked at where the static one gives under ``least`` characters, and
+    used only where it gives more; pages without either are empty and ``static``.
+    """
+    from .learn import plain_markdown
+
+    def text(source: str | None) -> str:
+        return plain_markdown(blocks_of(Dom.of(source))) if source and source.strip() else "\n"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page, first, second in zip(pdf["page"], pdf["source"], pdf["rendered"]):
+                used, best = "static", text(first)
+                if len(best.strip()) < least:
+                    other = text(second)
+                    if len(other.strip()) > len(best.strip()):
+                        used, best = "rendered", other
+                rows.append((page, used, best))
+            yield pd.DataFrame(rows, columns=["page", "used", "markdown"])
+
+    return _pages(pages, key, static, F.col(rendered_).alias("rendered")).mapInPandas(run, "page string, used string, markdown string")
+
+
 CLAIMS = "array<struct<tag:string,id:string,classes:array<string>,data:map<string,string>,aria:map<string,string>,role:string>>"
 
 
@@ -140,4 +166,4 @@ def register(spark, classifier: Callable | None = None) -> None:
     spark.udtf.register("html_blocks", HtmlBlocks)
 
 
-__all__ = ["ROLES", "blocks", "dom_nodes", "induced_rules", "markdown", "overridden", "page_blocks", "register"]
+__all__ = ["ROLES", "best_render", "blocks", "dom_nodes", "induced_rules", "markdown", "overridden", "page_blocks", "register"]

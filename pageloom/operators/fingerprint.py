@@ -7,6 +7,7 @@ the best template are plain Catalyst.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -31,11 +32,17 @@ def _u64(x: int) -> bytes:
     return x.to_bytes(8, "little")
 
 
-def class_hash(classes: list[str]) -> int:
-    kept = quiet_classes(classes)
+@functools.lru_cache(maxsize=1 << 16)
+def _class_hash(classes: tuple[str, ...]) -> int:
+    kept = quiet_classes(list(classes))
     return xxh64(",".join(sorted(kept)).encode()) if kept else 0
 
 
+def class_hash(classes: list[str]) -> int:
+    """The hash of an element's class tokens without noise; the same few token lists stand on most elements."""
+    return _class_hash(tuple(classes)) if classes else 0
+
+
 def shingles(dom: Dom) -> np.ndarray:
     """Hashes of WIDTH consecutive elements in document order; fewer elements stand for themselves."""
     above = [0] * len(dom)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import slots
+from ..functions.codecs import equal_share
 from .fingerprint import aging
 
 RING, HISTORY, FORMAT = 100, 3, 4
@@ -123,8 +123,7 @@ def true_likeness(observations: DataFrame, templates: DataFrame) -> DataFrame:
     """
     own = templates.where(F.length("signature_minhash") == 512).select("template_id", F.col("signature_minhash").alias("own")).distinct()
     seen = observations.where(F.length("signature_minhash") == 512).select("template_id", "observed_at", "signature_minhash", F.col("similarity_at_match").alias("logged")).distinct()
-    equal = F.aggregate(F.zip_with(slots(F.col("own")), slots(F.col("signature_minhash")), lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return seen.join(own, "template_id").select("template_id", "observed_at", "logged", (equal / F.lit(128.0)).alias("likeness"))
+    return seen.join(own, "template_id").select("template_id", "observed_at", "logged", equal_share(F.col("own"), F.col("signature_minhash")).alias("likeness"))
 
 
 # ----------------------------------------------------------------------------------- bundles

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions.stability import ATOMIC, SINGLETONS, STATE, UTILITY, VARIANT
+from .plans.schema_drift import ROLES
 from .model import NOISE_PREFIXES, NOISE_SUFFIX, NOISE_TOKENS, STRUCTURAL_TAGS
 
 _HOST = r"lower(regexp_extract(coalesce({u}, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1))"
@@ -42,10 +43,68 @@ _LATEST = """latest AS (
 )"""
 
 
+_ROLE = "|".join(sorted(ROLES))
+_DRIFT = rf"""WITH RECURSIVE raw AS (
+  SELECT 'streaming_templates' AS blob_table, store_id, file_seq, template_id, max(template_blob) AS b FROM streaming_templates WHERE store_id IS NOT NULL AND file_seq IS NOT NULL AND template_id IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'templates', store_id, file_seq, template_id, max(extractor_blob) FROM templates WHERE store_id IS NOT NULL AND file_seq IS NOT NULL AND template_id IS NOT NULL GROUP BY ALL
+),
+blobs AS (SELECT *, blob_table || '/' || store_id AS store FROM (SELECT blob_table, store_id, file_seq, template_id, ltrim(try(decode(b)), chr(65279)) AS j FROM raw) WHERE json_valid(j)),
+nodes AS (
+  SELECT store, file_seq, template_id, t.id, t.fullkey, t.type, t.atom,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(t.fullkey, '^\$\.', ''), '\[[0-9]+\]', '[]', 'g'), '\.(?:{_ROLE})(\.|$)', '{{}}\1', 'g'), '(claims\[\]\.data)\.[^.]+(\.|$)', '\1{{}}\2', 'g') AS path
+  FROM blobs, json_tree(j) AS t WHERE t.fullkey <> '$' AND t.type <> 'NULL'
+),
+fields AS (
+  SELECT store, file_seq, template_id, id, fullkey, path, CASE WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'ARRAY' THEN 'array' ELSE 'object' END AS type
+  FROM nodes WHERE NOT ends_with(path, ']') AND NOT ends_with(path, '}}')
+),
+readable AS (SELECT store, file_seq, count(*) AS readable FROM blobs GROUP BY ALL),
+present AS (SELECT store, file_seq, path, count(DISTINCT template_id) AS n FROM fields GROUP BY ALL),
+typed AS (SELECT store, file_seq, path, arg_min(type, lpad((1000000000 - n)::VARCHAR, 12, '0') || type) AS type FROM (SELECT store, file_seq, path, type, count(*) AS n FROM fields GROUP BY ALL) GROUP BY ALL),
+schema_ AS (SELECT p.store, p.file_seq, p.path, t.type, regexp_replace(regexp_replace(p.path, '(^|\.)[^.]*$', ''), '(\[\]|\{{\}})+$', '') AS parent
+  FROM present p JOIN readable r USING (store, file_seq) JOIN typed t USING (store, file_seq, path) WHERE p.n >= r.readable * 0.1 - 1e-9),
+steps AS (SELECT DISTINCT a.store, a.file_seq FROM schema_ a JOIN schema_ b ON b.store = a.store AND b.file_seq = a.file_seq - 1),
+both_ AS (
+  SELECT store, file_seq, path, max(parent) AS parent, max(old_type) AS old_type, max(new_type) AS new_type FROM (
+    SELECT s.store, s.file_seq, f.path, f.parent, NULL AS old_type, f.type AS new_type FROM steps s JOIN schema_ f USING (store, file_seq)
+    UNION ALL SELECT s.store, s.file_seq, f.path, f.parent, f.type, NULL FROM steps s JOIN schema_ f ON f.store = s.store AND f.file_seq = s.file_seq - 1) GROUP BY ALL
+),
+up AS (
+  SELECT store, file_seq, path, parent AS above FROM both_ WHERE parent <> ''
+  UNION
+  SELECT u.store, u.file_seq, u.path, b.parent FROM up u JOIN both_ b ON b.store = u.store AND b.file_seq = u.file_seq AND b.path = u.above WHERE b.parent <> ''
+),
+hidden AS (SELECT DISTINCT u.store, u.file_seq, u.path FROM up u LEFT JOIN both_ b ON b.store = u.store AND b.file_seq = u.file_seq AND b.path = u.above WHERE b.old_type IS DISTINCT FROM b.new_type OR b.path IS NULL),
+seen AS (SELECT * FROM both_ WHERE (store, file_seq, path) NOT IN (SELECT (store, file_seq, path) FROM hidden) AND old_type IS DISTINCT FROM new_type),
+pairs AS (SELECT o.store, o.file_seq, o.path AS old_path, n.path AS new_path FROM seen o JOIN seen n ON n.store = o.store AND n.file_seq = o.file_seq AND n.parent = o.parent AND o.new_type IS NULL AND n.old_type IS NULL AND o.old_type = n.new_type),
+wanted AS (SELECT store, file_seq - 1 AS file_seq, old_path AS path FROM pairs UNION SELECT store, file_seq, new_path FROM pairs),
+leaves AS (
+  SELECT f.store, f.file_seq, f.template_id, f.path, f.id, string_agg(substr(n.fullkey, length(f.fullkey) + 1) || '=' || CASE WHEN n.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'n' || (n.atom::VARCHAR)::DOUBLE::VARCHAR ELSE n.type || coalesce(n.atom::VARCHAR, '') END, ';' ORDER BY n.fullkey) AS v
+  FROM fields f JOIN wanted w USING (store, file_seq, path) JOIN nodes n ON n.store = f.store AND n.file_seq = f.file_seq AND n.template_id = f.template_id AND (n.fullkey = f.fullkey OR starts_with(n.fullkey, f.fullkey || '.') OR starts_with(n.fullkey, f.fullkey || '['))
+  GROUP BY ALL
+),
+forms AS (SELECT store, file_seq, template_id, path, string_agg(v, '|' ORDER BY id) AS v FROM leaves GROUP BY ALL),
+renamed AS (
+  SELECT p.store, p.file_seq, old_path, new_path FROM pairs p JOIN forms a ON a.store = p.store AND a.file_seq = p.file_seq - 1 AND a.path = p.old_path JOIN forms b ON b.store = p.store AND b.file_seq = p.file_seq AND b.path = p.new_path AND b.template_id = a.template_id
+  GROUP BY ALL HAVING avg((a.v = b.v)::INTEGER) >= 0.9
+),
+out_ AS (
+  SELECT store, file_seq, 'renamed' AS change, old_path, new_path FROM renamed
+  UNION ALL SELECT store, file_seq, 'type_changed', path, path FROM seen WHERE old_type IS NOT NULL AND new_type IS NOT NULL
+  UNION ALL SELECT store, file_seq, 'removed', path, '' FROM seen WHERE new_type IS NULL AND (store, file_seq, path) NOT IN (SELECT (store, file_seq, old_path) FROM renamed)
+  UNION ALL SELECT store, file_seq, 'added', '', path FROM seen WHERE old_type IS NULL AND (store, file_seq, path) NOT IN (SELECT (store, file_seq, new_path) FROM renamed)
+)
+SELECT split_part(store, '/', 1) AS blob_table, substr(store, strpos(store, '/') + 1) AS store_id, file_seq, change, old_path, new_path FROM out_"""
+
+
 def _q(text: str) -> str:
     return text.replace("'", "''")
 
 
+#: The key of keyed_host_hash, and what HMAC makes of it before the inner and the outer hash.
+KEY = b"a key of at least sixteen bytes"
+_PAD_IN, _PAD_OUT = (bytes(k ^ x for k in KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
 SQL: dict[str, str] = {
     "pages_by_host": f"SELECT {_HOST.format(u='url')} AS host, count(DISTINCT file_id) AS pages, min(crawled_at) AS first_seen FROM wcxb_samples GROUP BY 1",
     "host_hash": "SELECT host, left(sha256(host), 32) AS host_hash FROM (SELECT DISTINCT lower(host) AS host FROM wcxb_samples WHERE host IS NOT NULL)",
@@ -187,4 +246,18 @@ reached AS (SELECT root, url, min(depth)::INTEGER AS depth FROM walk GROUP BY AL
 SELECT root, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, url) AS place FROM reached) WHERE place <= 50""",
     "excerpt_escape": r"""
 SELECT doc_id, md5(left(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), 200)) AS excerpt, md5(regexp_replace(text, '([\\*_`])', '\\\1', 'g')) AS escaped FROM documents WHERE text IS NOT NULL""",
+    "p4_found": _DRIFT,
+    "band_classes": f"""
+WITH {_SKETCH}, {_HOSTS}, m AS (SELECT file_id, host, string_agg(mark, ',' ORDER BY slot) AS marks FROM sketch JOIN hosts USING (file_id) GROUP BY ALL)
+SELECT host, file_id, min(file_id) OVER (PARTITION BY host, marks) AS class_id FROM m""",
+    "band_pairs": f"""
+WITH {_SKETCH}, {_HOSTS}, m AS (SELECT file_id, host, list(mark ORDER BY slot) AS marks FROM sketch JOIN hosts USING (file_id) GROUP BY ALL),
+c AS (SELECT host, marks, min(file_id) AS page FROM m GROUP BY ALL)
+SELECT a.host, a.page AS file_a, b.page AS file_b, len(list_filter(range(1, 17), lambda i: a.marks[i] = b.marks[i])) / 16.0::DOUBLE AS likeness
+FROM c a JOIN c b ON a.host = b.host AND a.page < b.page AND len(list_filter([0, 4, 8, 12], lambda k: a.marks[k + 1 : k + 4] = b.marks[k + 1 : k + 4])) > 0""",
+    "keyed_host_hash": f"""
+SELECT host, left(sha256(unhex('{_PAD_OUT}') || unhex(sha256(unhex('{_PAD_IN}') || host::BLOB))), 32) AS host_hash FROM (SELECT DISTINCT lower(host) AS host FROM wcxb_samples WHERE host IS NOT NULL)""",
+    "class_buckets": """
+WITH t AS (SELECT DISTINCT unnest(string_split(c, ' ')) AS token FROM (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS c FROM wcxb_samples))
+SELECT token, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(lower(token), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS fnv FROM t WHERE token <> ''""",
 }

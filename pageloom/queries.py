@@ -259,6 +259,24 @@ def host_hash(spark: SparkSession, where: str) -> DataFrame:
     return _pages(spark, where).where("host IS NOT NULL").select(F.lower("host").alias("host")).distinct().select("host", F.left(F.sha2("host", 256), F.lit(32)).alias("host_hash"))
 
 
+def keyed_host_hash(spark: SparkSession, where: str) -> DataFrame:
+    """Hosts under pseudonyms that need the key."""
+    from .functions.hashing import host_hash as hashed
+    from .oracles import KEY
+
+    made = F.pandas_udf(lambda s: s.map(lambda h: hashed(h, KEY).hex()), "string")
+    return _pages(spark, where).where("host IS NOT NULL").select(F.lower("host").alias("host")).distinct().select("host", made("host").alias("host_hash"))
+
+
+def class_buckets(spark: SparkSession, where: str) -> DataFrame:
+    """The hashes by which class tokens go into feature buckets."""
+    from .functions.hashing import fnv1a32
+
+    raw = F.explode(F.regexp_extract_all("html", F.lit(r'class="([^"]*)"'), F.lit(1)))
+    tokens = _pages(spark, where).select(raw.alias("c")).select(F.explode(F.split("c", " ")).alias("token")).where("token <> ''").distinct()
+    return tokens.select("token", F.pandas_udf(lambda s: s.map(fnv1a32), "bigint")("token").alias("fnv"))
+
+
 def url_functions(spark: SparkSession, where: str) -> DataFrame:
     u = F.col("url")
     rows = _pages(spark, where).select("file_id", "url").distinct()
@@ -485,7 +503,7 @@ def status_report(spark: SparkSession, where: str) -> DataFrame:
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     p4_found, p4_moves, p4_table, p4_template_table, flagship, learn_templates, template_events, match_frozen, dom_nodes, extract_blocks, extract_markdown, markdown_main_only, page_outlines, page_fingerprints, fast_probe, slow_probe,
     node_grams, node_shingles, element_features, gold_labels, extraction_scores, rule_observations, stable_chains, claim_frequency, cluster_medoids, cluster_outliers, emit_candidates, fence_scan, fence_store, fence_refits,
-    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe, band_classes, band_pairs,
+    site_links, site_map, queue_cooldown, bundle_export, bundle_roundtrip, pages_by_host, host_hash, keyed_host_hash, class_buckets, url_functions, accept_quality, tag_events, structural_tags, event_sessions, events_ndjson, tag_histogram, tag_shingles, minhash_sql, band_probe, band_classes, band_pairs,
     gram_cosine, tag_entropy, page_title, class_tokens, excerpt_escape, word_counts, word_f1, f1_rollup, excess_words, with_without, value_percentiles, events_hourly, observation_ring, drift_average,
     longest_drift, true_likeness, fence_versions, fence_at_version, store_history, store_changes, latest_templates, aging_score, status_report,
 )

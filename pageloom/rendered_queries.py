@@ -51,6 +51,21 @@ def card_markdown(spark: SparkSession, where: str) -> DataFrame:
     return extract.markdown(_cards(spark, where, True), "page", "html")
 
 
+def card_renders(spark: SparkSession, where: str) -> DataFrame:
+    """Every other page comes without its main element until a browser has rendered it."""
+    pages = _cards(spark, where, True)
+    sent = F.when(F.col("page").cast("bigint") % 2 == 1, F.regexp_replace("html", "<main.*</main>", "<main></main>")).otherwise(F.col("html"))
+    return extract.best_render(pages.withColumn("sent", sent), "page", "sent", "html")
+
+
+def card_registered(spark: SparkSession, where: str) -> DataFrame:
+    """The rows a store takes for the hosts' templates, those of hosts with an even number being there already: one per band."""
+    _, templates = _prints(spark, where)
+    there = templates.where(F.regexp_extract("host", "([0-9]+)", 1).cast("int") % 2 == 0)
+    _, bands = stores.registered(templates, there)
+    return bands.groupBy("host", "template_id").agg(F.count("*").alias("bands"), F.count_distinct("band").alias("numbers"))
+
+
 def card_results(spark: SparkSession, where: str) -> DataFrame:
     """The results of extraction as JSON lines, as a sink takes them."""
     return json_results(extract.markdown(_cards(spark, where, True), "page", "html", "MainContentOnly").select("page", "title", "markdown"))
@@ -413,6 +428,8 @@ SELECT page, pre::INTEGER AS pre, "end"::INTEGER AS "end", parent::INTEGER AS pa
 SELECT a.page, a.pre::INTEGER AS pre, a.tag, count(*) AS elements, sum(CASE WHEN b.tag = 'p' THEN b.n ELSE 0 END)::BIGINT AS paragraphs FROM nodes a JOIN nodes b ON a.page = b.page AND b.pre > a.pre AND b.pre <= a."end" GROUP BY ALL""",
     "card_blocks": f"WITH {_CARDS}, {_BLOCKS} SELECT page, ord::INTEGER AS ord, role, confidence::DOUBLE AS confidence, txt AS text, xpath, length(txt)::INTEGER AS text_length, density::DOUBLE AS link_density, links::INTEGER AS links FROM blocks",
     "card_markdown": f"WITH {_CARDS}, {_MARKED} SELECT page, 5::INTEGER AS n_blocks, name AS title, md AS markdown FROM marked",
+    "card_renders": f"""WITH {_CARDS}, {_MARKED} SELECT page, CASE WHEN k % 2 = 1 THEN 'rendered' ELSE 'static' END AS used, md AS markdown FROM marked""",
+    "card_registered": f"""WITH {_CARDS}, {_ORDER} SELECT host, page AS template_id, 16::BIGINT AS bands, 16::BIGINT AS numbers FROM ordered WHERE nr = 1 AND regexp_extract(host, '([0-9]+)', 1)::INTEGER % 2 = 1""",
     "card_results": f"""WITH {_CARDS}, {_MARKED} SELECT '{{"page":"' || page || '","title":"' || name || '","markdown":"' || replace(md, chr(10), '\\n') || '"}}' AS value FROM marked""",
     "card_features": f"""WITH {_CARDS}, {_NODES}, kids AS (SELECT page, parent, count(*) AS m FROM nodes GROUP BY ALL), same AS (SELECT page, parent, tag, count(*) AS s FROM nodes GROUP BY ALL),
 texts AS (SELECT a.page, a.pre, string_agg(b.own, '' ORDER BY b.pre) AS txt FROM nodes a JOIN nodes b ON a.page = b.page AND b.pre >= a.pre AND b.pre <= a."end" GROUP BY ALL)
@@ -503,7 +520,7 @@ SELECT page, (i - 1)::INTEGER AS k, regexp_extract(tag, '^</?([a-z0-9]+)', 1) AS
   CASE WHEN strpos(tag, '="') > 0 THEN replace(regexp_extract(tag, ' (.*)>$', 1), '"', '') ELSE '' END AS attrs, bool_or(tag = '<h1>') OVER (PARTITION BY page ORDER BY i) AS tripped FROM p"""
 
 QUERIES = (
-    card_pages, card_nodes, card_inside, card_blocks, card_markdown, card_results, card_outlines, card_features, card_gold, card_rules, card_prints, card_grams, card_learning, card_frozen, card_overrides, card_events,
+    card_pages, card_nodes, card_inside, card_blocks, card_markdown, card_renders, card_registered, card_results, card_outlines, card_features, card_gold, card_rules, card_prints, card_grams, card_learning, card_frozen, card_overrides, card_events,
     card_fast_probe, card_slow_probe, card_fences, card_fence_refits, card_tags, card_links, card_site_maps, card_candidates, card_mining_totals, card_outcomes, stored_fast_probe, stored_slow_probe, stored_grams,
     stored_claim_frequency, stored_clusters, stored_chains, stored_medoid_distance, order_report, import_counts, store_formats, candidate_upserts,
 )

@@ -37,12 +37,6 @@ def labelled_corpus(spark: SparkSession, folder: str, split: str, page_type: str
     return labels.join(pages, "file_id")
 
 
-def better_render(pages: DataFrame, first: str, second: str, least: int = 200) -> DataFrame:
-    """``pages`` with ``text``: the second rendering's where the first has under ``least`` characters and the second has more."""
-    n = lambda c: F.coalesce(F.length(F.trim(F.col(c))), F.lit(0))
-    return pages.withColumn("text", F.when((n(first) < least) & (n(second) > n(first)), F.col(second)).otherwise(F.col(first)))
-
-
 class _Part(InputPartition):
     def __init__(self, urls: list[str]):
         super().__init__(0)

@@ -206,8 +206,9 @@ def test_sources(spark, tmp_path):
     assert sources.labelled_corpus(spark, str(tmp_path), "dev", "article").first()["html"] == "<p>m"
     spark.dataSource.register(sources.fetching_source("fixture_pages", ["http://a/", "http://b/"], {"http://a/": "<p>1"}.get, 2))
     assert rows(spark.read.format("fixture_pages").load()) == [("http://a/", "<p>1"), ("http://b/", None)]
-    two = spark.createDataFrame([("x" * 10, "y" * 20), ("x" * 300, "y" * 900), (None, "z")], "a string, b string")
-    assert [r["text"][0] for r in sources.better_render(two, "a", "b").collect()] == ["y", "x", "z"]
+    two = spark.createDataFrame([("short", "<main><p>x</p></main>", PAGE, "clash"), ("long", PAGE, "<p>y", "clash"), ("none", None, "", "clash"), ("worse", "<main><p>some few words</p></main>", "<p>z", "clash"), (None, PAGE, PAGE, "clash")], "id string, a string, b string, rendered string")
+    got = {r["page"]: r for r in extract.best_render(two, "id", "a", "b").collect()}
+    assert {k: r["used"] for k, r in got.items()} == {"short": "rendered", "long": "static", "none": "static", "worse": "static"} and got["short"]["markdown"] == got["long"]["markdown"] and got["none"]["markdown"] == "\n"
 
 
 def test_site_map(spark):
