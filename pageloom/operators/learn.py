@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -99,40 +99,50 @@ class HostState:
             return "SlowPathMatch", t, s
         return "NovelEphemeral", None, 0.0
 
-    def step(self, dom: Dom, print_: dict, fresh: list[Block], now: float, profile_markdown) -> dict:
+    def step(self, dom: Dom, print_: dict, now: float, profile_markdown, classify: Callable[[Dom], list[Block]] = blocks_of) -> dict:
+        """The page is only classified anew where its template's rules do not serve: for a first page, a broken template, or one that has drifted."""
         if self.override is not None:
             applied, hit, _ = apply_rules(dom, self.override)
             if hit:  # a hand-written template that finds nothing leaves the page to the learned ones
                 return self._row("OperatorOverride", None, 1.0, None, dom, applied, profile_markdown, None, None, None) | {"template_id": f"operator:{self.host}", "version": self.override.get("version", 1)}
         status, t, similarity = self.match(print_, now)
-        blocks, event, old_version, diff, broken = fresh, None, None, None, False
+        made: list[list[Block]] = []
+
+        def fresh() -> list[Block]:
+            if not made:
+                made.append(classify(dom))
+            return made[0]
+
+        event, old_version, diff = None, None, None
         true = likeness(t.print, print_) if t else None
         if t is not None:
             applied, hit, missed = apply_rules(dom, t.extractor)
             broken = is_broken(applied, hit, missed)
-            blocks = fresh if broken else applied
+            blocks = fresh() if broken else applied
             if self.learn:
                 t.observations += 1
                 t.last_seen = max(t.last_seen, now)
                 t.ring = (t.ring + [(now, similarity)])[-RING:]
                 force = broken
                 accumulated = t.extractor["drift"]
-                basis = fresh if broken or accumulated >= GATE * REFIT else blocks
+                basis = fresh() if broken or accumulated >= GATE * REFIT else blocks
                 if force or t.observations >= MIN_OBSERVATIONS:
                     drift = ALPHA * drift_of(t.extractor, basis) + (1 - ALPHA) * accumulated
                     t.extractor["drift"] = drift
                     if force or drift >= REFIT:
-                        new = induce(None, fresh)
+                        new = induce(None, fresh())
                         diff, old_version = diff_of(t, new, print_), t.version
                         t.retired = ([(t.version, t.extractor, now, "signal-loss" if force else "drift")] + t.retired)[:HISTORY]
                         t.extractor, t.print, t.version = new, print_, t.version + 1
                         if not self.stale_bands:
                             t.bands = set(enumerate(print_["bands"]))
-                        status, event, blocks = "Refit", "version-change", fresh
-        elif self.learn:
+                        status, event, blocks = "Refit", "version-change", fresh()
+        else:
+            blocks = fresh()
+        if t is None and self.learn:
             status, event = "Novel", "new-template"
             ident = hashlib.sha256(f"{self.host}|{print_['hex']}|{len(self.templates)}".encode()).hexdigest()[:32]
-            t = Template(ident, print_, induce(dom, fresh), 1, 1, now, now, set(enumerate(print_["bands"])))
+            t = Template(ident, print_, induce(dom, blocks), 1, 1, now, now, set(enumerate(print_["bands"])))
             self.templates.append(t)
         return self._row(status, t, similarity, true, dom, blocks, profile_markdown, event, old_version, diff)
 
@@ -178,8 +188,9 @@ def _fold(learn: bool, until: float | None, overrides: dict[str, dict]):
                     state = HostState(host, learn, override=overrides.get(host))
                 now = at.timestamp() if at is not None and at is not pd.NaT else 0.0
                 state.learn = learn and (until is None or now < until)
-                dom = Dom.of(source)
-                rows.append({"host": host, "page": page} | state.step(dom, json.loads(print_), blocks_of(dom), now, plain_markdown))
+                mark = json.loads(print_)
+                mark["minhash"] = np.array(mark["minhash"])
+                rows.append({"host": host, "page": page} | state.step(Dom.of(source), mark, now, plain_markdown))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
             yield out
 

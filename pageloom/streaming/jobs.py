@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..html.shred import Dom
-from ..operators.classify import blocks_of
 from ..operators.fingerprint import fingerprint
 from ..operators.learn import RESULT, HostState, plain_markdown
 from .fence import CaptureDrift, FenceTemplate, Pattern, Scanner, induce_fence, scan
@@ -34,7 +33,7 @@ def learn_stream(pages: DataFrame) -> DataFrame:
             rows = []
             for page, at, source in pdf.sort_values(["at", "page"])[["page", "at", "source"]].itertuples(index=False):
                 dom = Dom.of(source)
-                rows.append({"host": key[0], "page": page} | host.step(dom, fingerprint(dom), blocks_of(dom), at.timestamp(), plain_markdown))
+                rows.append({"host": key[0], "page": page} | host.step(dom, fingerprint(dom), at.timestamp(), plain_markdown))
             yield pd.DataFrame(rows, columns=_RESULT)
         for t in host.templates:
             t.extractor["rules"] = [dict(r) for r in t.extractor["rules"]]

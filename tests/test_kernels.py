@@ -139,19 +139,19 @@ def test_rules_find_their_blocks_again():
 
 def test_learning():
     state = HostState("h")
-    step = lambda src, at: state.step(Dom.of(src), fingerprint(src), blocks_of(Dom.of(src)), at, plain_markdown)
+    step = lambda src, at: state.step(Dom.of(src), fingerprint(src), at, plain_markdown)
     assert step(PAGE, 0)["status"] == "Novel"
     again = step(PAGE, 1)
     assert again["status"] == "FastPathHit" and again["similarity"] == 1.0 and again["observations"] == 2
     assert step(OTHER, 2)["status"] == "Novel" and len({t.template_id for t in state.templates}) == 2
     frozen = HostState("h", learn=False)
-    result = frozen.step(Dom.of(PAGE), fingerprint(PAGE), blocks_of(Dom.of(PAGE)), 0, plain_markdown)
+    result = frozen.step(Dom.of(PAGE), fingerprint(PAGE), 0, plain_markdown)
     assert result["status"] == "NovelEphemeral" and result["template_id"] is None
 
 
 def test_broken_template_is_refitted():
     state = HostState("h")
-    run = lambda src: state.step(Dom.of(src), fingerprint(src), blocks_of(Dom.of(src)), 0, plain_markdown)
+    run = lambda src: state.step(Dom.of(src), fingerprint(src), 0, plain_markdown)
     run(PAGE)
     for r in state.templates[0].extractor["rules"]:
         r["claims"], r["css"] = None, ["nothing.here"]
