@@ -246,7 +246,9 @@ def test_refits_make_new_versions(spark, tmp_path):
     assert [(r["page"], r["reason"], r["version"], r["changed"]) for r in batch.orderBy("page").collect()] == [("p00", "first", 1, True), ("p05", "miss", 2, True)]
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.refit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("refits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start().awaitTermination(120)
+    query = stream.writeStream.format("memory").queryName("refits").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
     assert rows(spark.table("refits")) == rows(batch)
     with pytest.raises(ValueError):
         jobs.every(stream, print, str(tmp_path / "d"), "10 seconds")
