@@ -247,7 +247,10 @@ def test_refits_make_new_versions(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = jobs.refit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("refits").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    query.processAllAvailable()
+    for _ in range(60):  # a stream with timeouts does not end by itself
+        if spark.table("refits").count() == batch.count():
+            break
+        query.awaitTermination(1)
     query.stop()
     assert rows(spark.table("refits")) == rows(batch)
     with pytest.raises(ValueError):
