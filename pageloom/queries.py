@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rendered_queries
+from .checkpoints import stored
 from .functions import stability, web
 from .model import STRUCTURAL_TAGS
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
@@ -120,7 +121,7 @@ def page_fingerprints(spark: SparkSession, where: str) -> DataFrame:
 
 
 def _probe_sides(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
-    prints = page_fingerprints(spark, where).dropDuplicates(["page"])
+    prints = stored(page_fingerprints(spark, where).dropDuplicates(["page"]))  # both sides read it
     dated = prints.join(_pages(spark, where).groupBy(F.col("file_id").alias("page")).agg(F.min("crawled_at").alias("last_seen")), "page")
     oldest = dated.groupBy("host", "minhash").agg(F.min_by(F.struct("page", "minhash", "bands", "grams", "norm", "last_seen"), F.struct("last_seen", "page")).alias("t"), F.count("*").alias("observation_count"))
     return prints, oldest.select(F.col("t.page").alias("template_id"), "host", "t.minhash", "t.bands", "t.grams", "observation_count", "t.last_seen")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import stored
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
 from .sources import pages as page_sources
 from .sources.rendered import FIRST, LAST, MORE, PAGE, customer_pages
@@ -139,7 +140,7 @@ def card_events(spark: SparkSession, where: str) -> DataFrame:
 
 def _prints(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
     """All pages' fingerprints, and the first page of every host as its template."""
-    prints = fingerprint.fingerprints(_cards(spark, where), "page", "host", "html")
+    prints = stored(fingerprint.fingerprints(_cards(spark, where), "page", "host", "html"))  # both sides read it
     dated = prints.join(_cards(spark, where).select("page", "at"), "page")
     first = dated.groupBy("host").agg(F.min_by(F.struct("page", "minhash", "bands", "grams", "at"), "at").alias("t"), F.count("*").alias("observation_count"))
     return prints, first.select(F.col("t.page").alias("template_id"), "host", "t.minhash", "t.bands", "t.grams", "observation_count", F.col("t.at").alias("last_seen"))
