@@ -8,6 +8,8 @@ the best template are plain Catalyst.
 from __future__ import annotations
 
 import functools
+import hashlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -86,9 +88,32 @@ def gram_counts(dom: Dom) -> Counter:
     return out
 
 
+def _shape(dom: Dom) -> tuple:
+    """All that a fingerprint depends on: the elements with their parents and attributes, no text."""
+    return tuple(dom.parent), tuple([x.tag for x in dom.nodes]), tuple([a if type(a := x._attrs) is str else tuple(a.items()) for x in dom.nodes])
+
+
+#: Fingerprints and their digests by shape, for pages that differ in their texts only; at most so many at a time.
+_KNOWN: dict[tuple, tuple[bytes, dict]] = {}
+_KEPT = 512
+
+
+def _known(dom: Dom) -> tuple[bytes, dict]:
+    shape = _shape(dom)
+    if shape not in _KNOWN:
+        if len(_KNOWN) >= _KEPT:
+            _KNOWN.clear()
+        one = _fingerprint(dom)
+        _KNOWN[shape] = hashlib.blake2b(json.dumps(one).encode(), digest_size=16).digest(), one
+    return _KNOWN[shape]
+
+
 def fingerprint(source: "str | Dom | None") -> dict:
     """The fingerprint of a page. An empty page has the marks of its lone body element."""
-    dom = source if isinstance(source, Dom) else Dom.of(source)
+    return dict(_known(source if isinstance(source, Dom) else Dom.of(source))[1])
+
+
+def _fingerprint(dom: Dom) -> dict:
     marks = shingles(dom)
     slots = minhash(marks)
     top = dict(sorted(gram_counts(dom).items(), key=lambda kv: (-kv[1], kv[0]))[:TOP])
@@ -115,6 +140,35 @@ def fingerprints(pages: DataFrame, key: str, host: str, html: str) -> DataFrame:
     return rows.mapInPandas(_prints, f"page string, host string, {SCHEMA}")
 
 
+def layouts(pages: DataFrame, key: str, host: str, html: str, *more: str) -> DataFrame:
+    """``page, host``, the columns ``more``, ``klass, minhash, bands, grams``: one narrow row per page.
+
+    ``klass`` names the host and the whole fingerprint.  The fingerprint itself is only in a row of each
+    class in every Arrow batch and null in the others, so that a layout with many pages costs little more
+    than their names; ``classes_of`` gathers it.  Rows with a null key are left out.
+    """
+    parts = ["minhash", "bands", "grams"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, seen = [], set()
+            for h, source in zip(pdf["host"], pdf["source"]):
+                digest, one = _known(Dom.of(source))
+                klass = hashlib.blake2b(h.encode() + b"\0" + digest, digest_size=16).hexdigest()
+                rows.append((klass, *([None] * len(parts) if klass in seen else [one[c] for c in parts])))
+                seen.add(klass)
+            yield pd.concat([pdf.drop(columns="source").reset_index(drop=True), pd.DataFrame(rows, columns=["klass", *parts], dtype=object)], axis=1)
+
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("page"), F.lower(F.coalesce(F.col(host), F.lit(""))).alias("host"), *more, F.col(html).alias("source"))
+    given = "".join(f"{c} {pages.schema[c].dataType.simpleString()}, " for c in more)
+    return rows.mapInPandas(run, f"page string, host string, {given}klass string, " + ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in parts))
+
+
+def classes_of(pages: DataFrame) -> DataFrame:
+    """``host, klass, minhash, bands, grams``: one row per class of what ``layouts`` gives."""
+    return pages.where("minhash IS NOT NULL").groupBy("host", "klass").agg(*[F.first(c).alias(c) for c in ("minhash", "bands", "grams")])
+
+
 # ------------------------------------------------------------------------------- Catalyst side
 
 
@@ -146,6 +200,11 @@ def _scored(both: DataFrame, as_of: Column) -> DataFrame:
     return both.withColumn("score", aging(F.col("similarity"), F.col("observation_count"), age))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side that is never broadcast: equal fingerprints make files so much smaller than their rows that an estimate by bytes would send them all to the driver."""
+    return df.hint("merge")
+
+
 def fast_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = FAST) -> DataFrame:
     """``page, template_id, similarity, score``: the best template of the page's own host that shares a band.
 
@@ -155,12 +214,16 @@ def fast_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold:
     with many pages is one row; a template never matches the page of its own name.
     """
     classes = pages.groupBy("host", "minhash").agg(F.first("bands").alias("bands")).withColumn("klass", F.xxhash64("host", "minhash"))
+    return fast_classes(pages.select("page", F.xxhash64("host", "minhash").alias("klass")), classes, templates, as_of, threshold)
+
+
+def fast_classes(named: DataFrame, classes: DataFrame, templates: DataFrame, as_of: Column, threshold: float = FAST) -> DataFrame:
+    """The same with equal fingerprints taken together already: ``named`` has page and klass, ``classes`` klass, host, minhash, bands."""
     split = lambda df, *keep: df.select(*keep, "host", F.posexplode("bands").alias("band", "hash"))
-    met = split(classes, "klass").join(split(templates, "template_id"), ["host", "band", "hash"]).select("klass", "template_id").distinct()
-    both = met.join(classes.select("klass", F.col("minhash").alias("probe")), "klass").join(templates.select("template_id", "minhash", "observation_count", "last_seen"), "template_id")
+    met = split(classes, "klass").join(_shuffled(split(templates, "template_id")), ["host", "band", "hash"]).select("klass", "template_id").distinct()
+    both = met.join(_shuffled(classes.select("klass", F.col("minhash").alias("probe"))), "klass").join(_shuffled(templates.select("template_id", "minhash", "observation_count", "last_seen")), "template_id")
     alike = both.withColumn("similarity", jaccard(F.col("probe"), F.col("minhash"))).where(F.col("similarity") >= threshold).drop("probe", "minhash")
-    named = pages.select("page", F.xxhash64("host", "minhash").alias("klass"))
-    return _best(_scored(named.join(alike, "klass").where(F.col("page") != F.col("template_id")), as_of))
+    return _best(_scored(_shuffled(named.select("page", "klass")).join(alike, "klass").where(F.col("page") != F.col("template_id")), as_of))
 
 
 def slow_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = SLOW) -> DataFrame:

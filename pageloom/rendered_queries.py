@@ -15,14 +15,14 @@ from .operators import evaluate, extract, features, fingerprint, learn, mining,
 from .sources import pages as page_sources
 from .sources.rendered import FIRST, LAST, MORE, PAGE, customer_pages
 from .sources.sinks import json_results
-from .sources.tables import read
+from .sources.tables import read, spread
 from .streaming import jobs, tags
 
 AS_OF = "2026-01-01 00:00:00"
 
 
 def _cards(spark: SparkSession, where: str, extra: bool = False) -> DataFrame:
-    return customer_pages(read(spark, where, "customer"), read(spark, where, "nation"), extra)
+    return customer_pages(spread(read(spark, where, "customer")), read(spark, where, "nation"), extra)  # a short row makes a whole page
 
 
 def card_pages(spark: SparkSession, where: str) -> DataFrame:
@@ -61,7 +61,7 @@ def card_renders(spark: SparkSession, where: str) -> DataFrame:
 
 def card_registered(spark: SparkSession, where: str) -> DataFrame:
     """The rows a store takes for the hosts' templates, those of hosts with an even number being there already: one per band."""
-    _, templates = _prints(spark, where)
+    *_, templates = _prints(spark, where)
     there = templates.where(F.regexp_extract("host", "([0-9]+)", 1).cast("int") % 2 == 0)
     _, bands = stores.registered(templates, there)
     return bands.groupBy("host", "template_id").agg(F.count("*").alias("bands"), F.count_distinct("band").alias("numbers"))
@@ -138,21 +138,23 @@ def card_events(spark: SparkSession, where: str) -> DataFrame:
     return jobs.envelope(events.select("kind", "at", "host", "page", "new_version"), "kind", "at")
 
 
-def _prints(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
-    """All pages' fingerprints, and the first page of every host as its template."""
-    prints = stored(fingerprint.fingerprints(_cards(spark, where), "page", "host", "html"))  # both sides read it
-    dated = prints.join(_cards(spark, where).select("page", "at"), "page")
-    first = dated.groupBy("host").agg(F.min_by(F.struct("page", "minhash", "bands", "grams", "at"), "at").alias("t"), F.count("*").alias("observation_count"))
-    return prints, first.select(F.col("t.page").alias("template_id"), "host", "t.minhash", "t.bands", "t.grams", "observation_count", F.col("t.at").alias("last_seen"))
+def _prints(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The names of all pages with their classes, the classes' fingerprints, and the first page of every host as its template."""
+    pages = stored(fingerprint.layouts(_cards(spark, where), "page", "host", "html", "at"))  # all three read it
+    classes = stored(fingerprint.classes_of(pages))
+    first = pages.groupBy("host").agg(F.min_by(F.struct("page", "klass", "at"), "at").alias("t"), F.count("*").alias("observation_count"))
+    named = first.select(F.col("t.page").alias("template_id"), F.col("t.klass").alias("klass"), "observation_count", F.col("t.at").alias("last_seen"))
+    return pages.select("page", "host", "klass"), classes, named.join(classes.hint("merge"), "klass").drop("klass")
 
 
 def card_fast_probe(spark: SparkSession, where: str) -> DataFrame:
-    p = fingerprint.fast_probe(*_prints(spark, where), F.to_timestamp(F.lit(AS_OF)))
+    p = fingerprint.fast_classes(*_prints(spark, where), F.to_timestamp(F.lit(AS_OF)))
     return p.select("page", "template_id", "similarity", F.round("score", 6).alias("score"))
 
 
 def card_slow_probe(spark: SparkSession, where: str) -> DataFrame:
-    p = fingerprint.slow_probe(*_prints(spark, where), F.to_timestamp(F.lit(AS_OF)))
+    named, classes, templates = _prints(spark, where)
+    p = fingerprint.slow_probe(named.join(classes.drop("host").hint("merge"), "klass"), templates, F.to_timestamp(F.lit(AS_OF)))
     return p.select("page", "template_id", F.round("similarity", 9).alias("similarity"), F.round("score", 6).alias("score"))
 
 

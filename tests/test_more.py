@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom import rendered_queries
 from pageloom.checkpoints import counted
 from pageloom.functions.codecs import grams, read_vector, slots, stored_bands, write_signature, write_vector
 from pageloom.operators import enrich, evaluate, fingerprint, learn, mining, skeleton, stores
@@ -110,6 +111,18 @@ def test_probes_against_brute_force(spark):
     assert fingerprint.fast_probe(p.limit(0), t, F.lit(as_of)).count() == fingerprint.slow_probe(p, t.limit(0), F.lit(as_of)).count() == 0
 
 
+def test_alike_pages_are_not_broadcast(spark, tmp_path):
+    """card_fast_probe: equal fingerprints make small files of wide rows; a page is a narrow row, a layout a single one, and no side of the probe goes through the driver."""
+    customers = spark.range(3000).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 2 AS int) AS c_nationkey", "1.0D AS c_acctbal", "'AUTO' AS c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "nation-0"), (1, "nation-1")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = rendered_queries.card_fast_probe(spark, str(tmp_path))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["page"], r["template_id"], r["similarity"]) for r in found.collect()) == sorted((str(k), str(k % 2), 1.0) for k in range(2, 3000))
+    named, classes, templates = rendered_queries._prints(spark, str(tmp_path))
+    assert (named.count(), classes.count(), templates.count()) == (3000, 2, 2) and "minhash" not in named.columns
+
+
 # ------------------------------------------------------------------------------------ stores
 
 
