@@ -12,13 +12,16 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import stored
 from ..functions.hashing import bands, minhash, xxh64
 from ..functions.stability import quiet_classes
 from ..html.shred import Dom
@@ -226,24 +229,167 @@ def fast_classes(named: DataFrame, classes: DataFrame, templates: DataFrame, as_
     return _best(_scored(_shuffled(named.select("page", "klass")).join(alike, "klass").where(F.col("page") != F.col("template_id")), as_of))
 
 
+#: So many classes or templates of a host meet at once in one task, and so many classes at a time inside it.
+BLOCK, ROWS = 4096, 512
+
+
 def slow_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = SLOW) -> DataFrame:
-    """The same by cosine of pq-grams, with the candidates of a prefix filter.
+    """The same by cosine of pq-grams: every page meets every template of its host, exactly.
+
+    Equal grams of a host are taken together, and a class needs its two best templates only, as a
+    page is barred from one at most.  Hosts meet in blocks, as products of matrices.
+    """
+    name = F.sha2(F.concat_ws("|", "host", F.to_json(F.array_sort(F.map_entries("grams")))), 256)
+    rows = stored(pages.where("host IS NOT NULL AND grams IS NOT NULL").select("page", "host", "grams", name.alias("klass")))
+    classes = rows.groupBy("host", "klass").agg(F.first("grams").alias("grams"))
+    return slow_classes(rows.select("page", "klass"), classes, templates, as_of, threshold)
+
+
+def slow_classes(named: DataFrame, classes: DataFrame, templates: DataFrame, as_of: Column, threshold: float = SLOW) -> DataFrame:
+    """The same with equal grams taken together already: ``named`` has page and klass, ``classes`` klass, host, grams."""
+    age = (F.unix_micros(as_of) - F.unix_micros("last_seen")) / 86_400_000_000.0
+    left = stored(classes.select("host", "klass", "grams"))
+    right = stored(templates.where("host IS NOT NULL").select("host", F.col("template_id").alias("klass"), "grams", (BY_COUNT * F.log1p(F.col("observation_count").cast("double"))).alias("often"), (BY_AGE * F.exp(-age / DAYS)).alias("lately")))
+    sizes = left.groupBy("host").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("m")).unionByName(right.groupBy("host").agg(F.lit(0).cast("bigint").alias("n"), F.count("*").alias("m"))).groupBy("host").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK)
+    sizes = stored(sizes.where("n > 0 AND m > 0").select("host", parts("n").cast("int").alias("n_parts"), parts("m").cast("int").alias("m_parts")))
+    # Hosts of one block share tasks; the blocks of a larger one meet block by block.
+    tasks = (left.count() + right.count()) // BLOCK + 1
+    alone = F.col("n_parts") * F.col("m_parts") == 1
+    own = F.when(alone, F.pmod(F.xxhash64("host"), F.lit(tasks)).cast("int"))
+    at = lambda c: F.pmod(F.xxhash64("klass"), F.col(c)).cast("int")
+    placed = lambda df, i, j: df.join(_shuffled(sizes), "host").select(*df.columns, F.when(alone, F.lit("")).otherwise(F.concat(F.lit("="), "host")).alias("whose"), F.coalesce(own, i).alias("i"), F.explode(F.when(alone, F.array(F.lit(0))).otherwise(j)).alias("j"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    a = placed(left, at("n_parts"), upto("m_parts"))
+    b = placed(right, at("m_parts"), upto("n_parts")).select(*right.columns, "whose", F.when(F.col("whose") == "", F.col("i")).otherwise(F.col("j")).alias("i"), F.when(F.col("whose") == "", F.col("j")).otherwise(F.col("i")).alias("j"))
+    met = a.groupBy("whose", "i", "j").cogroup(b.groupBy("whose", "i", "j"))
+    best = met.applyInArrow(lambda x, y: nearest(x, y, threshold), "klass string, template_id string, similarity double, score double")
+    return _best(_shuffled(named).join(best, "klass").where(F.col("page") != F.col("template_id")))
+
+
+def _entries(grams: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, key and value of every entry of a column of maps."""
+    keys, rows, values, first = [], [], [], 0
+    for c in grams.chunks:
+        ends = c.offsets.to_numpy()
+        rows.append(np.repeat(np.arange(first, first + len(c)), np.diff(ends)))
+        keys.append(c.keys[ends[0] : ends[-1]])
+        values.append(c.items[ends[0] : ends[-1]].to_numpy(zero_copy_only=False))
+        first += len(c)
+    if not keys:
+        return np.zeros(0, dtype=np.int64), pa.array([], "string"), np.zeros(0)
+    return np.concatenate(rows), pa.concat_arrays(keys), np.concatenate(values)
+
+
+def nearest(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """``klass, template_id, similarity, score``: of every class of ``left`` the best template of its host in ``right``, and the best of another name.
+
+    The order is that of ``_best``: the score to nine digits, then the template_id.
+    """
+    n = len(left)
+    (row_a, keys_a, x), (row_b, keys_b, y) = _entries(left["grams"]), _entries(right["grams"])
+    code = pa.concat_arrays([keys_a, keys_b]).dictionary_encode().indices.to_numpy()
+    norm_a, norm_b = np.sqrt(np.bincount(row_a, x * x, n)), np.sqrt(np.bincount(row_b, y * y, len(right)))
+    names = pa.concat_arrays([*left["host"].chunks, *right["host"].chunks]).dictionary_encode().indices.to_numpy()
+    rank = _ranks(right["klass"].to_pylist())
+    sides = []
+    for hosts, row, codes, value in ((names[:n], row_a, code[: len(row_a)], x), (names[n:], row_b, code[len(row_a) :], y)):
+        by, order = np.argsort(hosts, kind="stable"), np.argsort(hosts[row], kind="stable")
+        bounds = np.arange(int(names.max()) + 2)
+        spot = np.empty(len(hosts), dtype=np.int64)
+        spot[by] = np.arange(len(by))
+        ends = np.searchsorted(hosts[by], bounds)
+        sides.append((by, ends, np.searchsorted(hosts[row][order], bounds), spot[row][order] - ends[hosts[row][order]], codes[order], value[order]))
+    (by_a, ends_a, cuts_a, *flat_a), (by_b, ends_b, cuts_b, *flat_b) = sides
+    often, lately = (right[c].to_numpy() for c in ("often", "lately"))
+    out = []
+    for h in range(int(names.max()) + 1):
+        rows, cols = by_a[ends_a[h] : ends_a[h + 1]], by_b[ends_b[h] : ends_b[h + 1]]
+        if not len(rows) or not len(cols):
+            continue
+        here_a, here_b = ([c[cuts[h] : cuts[h + 1]] for c in flat] for flat, cuts in ((flat_a, cuts_a), (flat_b, cuts_b)))
+        for lo, dot in _products(here_a, here_b, len(rows), len(cols)):
+            norms = norm_a[rows[lo : lo + len(dot)]][:, None] * norm_b[cols][None, :]
+            alike = np.divide(dot, norms, out=np.zeros_like(dot), where=norms != 0)
+            i, j = np.nonzero(alike >= threshold)
+            likeness, j = alike[i, j], cols[j]
+            score = likeness + often[j] + lately[j]
+            for pick in _two(i, score, rank[j]):
+                out.append((rows[lo + i[pick]], j[pick], likeness[pick], score[pick]))
+    k, t, s, v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+    return pa.table({"klass": left["klass"].take(pa.array(k)), "template_id": right["klass"].take(pa.array(t)), "similarity": pa.array(s), "score": pa.array(v, from_pandas=True)})
+
+
+def _ranks(names: list[str]) -> np.ndarray:
+    """The places of names in their order; equal names have one."""
+    place = {k: i for i, k in enumerate(sorted(set(names)))}
+    return np.array([place[k] for k in names], dtype=np.int64)
+
+
+def _products(a: list[np.ndarray], b: list[np.ndarray], n: int, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Dot products of n and m sparse rows, given as (row, code, value) in the order of rows: ROWS of the first at a time.
 
-    A page's grams are put in order, those rare among its host's templates first.  A template
-    that shares none of the first so many, those before what is left is too short to reach the
-    threshold, cannot reach it: only they are joined, so that a gram every page has meets
-    nobody.  The cosine of the candidates is exact.
+    Codes that many rows of both have are columns of matrices, the others are added pair by pair.
     """
-    right = templates.select("template_id", "host", F.explode("grams").alias("gram", "y"))
-    known = right.groupBy("host", "gram").agg(F.count("*").alias("usual"))
-    norm2 = lambda c: F.aggregate(F.map_values(c), F.lit(0.0), lambda s, v: s + v * v)
-    left = pages.select("page", "host", (norm2(F.col("grams")) * threshold * threshold).alias("need"), F.explode("grams").alias("gram", "x")).join(known, ["host", "gram"])
-    rest = Window.partitionBy("page").orderBy("usual", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    prefix = left.withColumn("rest", F.sum(F.col("x") * F.col("x")).over(rest)).where(F.col("rest") >= F.col("need") * (1 - 1e-9))
-    met = prefix.join(right.select("template_id", "host", "gram"), ["host", "gram"]).where(F.col("page") != F.col("template_id")).select("page", "template_id").distinct()
-    both = met.join(pages.select("page", F.col("grams").alias("probe")), "page").join(templates.select("template_id", "grams", "observation_count", "last_seen"), "template_id")
-    alike = both.withColumn("similarity", cosine(F.col("probe"), F.col("grams"))).where(F.col("similarity") >= threshold).drop("probe", "grams")
-    return _best(_scored(alike, as_of))
+    both = np.intersect1d(a[1], b[1])
+    a, b = ([c[np.isin(side[1], both)] for c in side] for side in (a, b))
+    (row_a, code_a, x), (row_b, code_b, y) = ((row, np.searchsorted(both, code), value) for row, code, value in (a, b))
+    often_a, often_b = np.bincount(code_a, minlength=len(both)), np.bincount(code_b, minlength=len(both))
+    dense = (often_a * often_b >= n * m / 500) | ((n + m) * len(both) <= 1 << 20)
+    column = np.cumsum(dense) - 1
+    width = int(dense.sum())
+    full_a, full_b = dense[code_a], dense[code_b]
+    rest = np.flatnonzero(~full_b)[np.argsort(code_b[~full_b], kind="stable")]
+    starts = np.searchsorted(code_b[rest], np.arange(len(both)))
+
+    def matrix(rows, columns, values, height, lo):
+        out = np.zeros((height, min(BLOCK // 2, width - lo)))
+        inside = (columns >= lo) & (columns < lo + out.shape[1])
+        out[rows[inside], columns[inside] - lo] = values[inside]
+        return out
+
+    right = [matrix(row_b[full_b], column[code_b[full_b]], y[full_b], m, lo) for lo in ([0] if 0 < width <= BLOCK // 2 else [])]
+    for first in range(0, n, ROWS):
+        height = min(ROWS, n - first)
+        part = slice(*np.searchsorted(row_a, [first, first + height]))
+        r, c, v, f = row_a[part] - first, code_a[part], x[part], full_a[part]
+        dot = np.zeros((height, m))
+        for lo in range(0, width, BLOCK // 2):
+            other = right[0] if right else matrix(row_b[full_b], column[code_b[full_b]], y[full_b], m, lo)
+            dot += matrix(r[f], column[c[f]], v[f], height, lo) @ other.T
+        r, c, v = r[~f], c[~f], v[~f]
+        if len(c):
+            times = often_b[c]
+            at = rest[np.repeat(starts[c] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            dot += np.bincount(np.repeat(r, times) * m + row_b[at], np.repeat(v, times) * y[at], height * m).reshape(height, m)
+        yield first, dot
+
+
+def _nine(score: np.ndarray) -> np.ndarray:
+    """Scores in units of the ninth digit, halves away from zero as ``round`` has it; unknown ones come first, as nulls do."""
+    units = np.floor(score * 1e9 + 0.5)
+    for k in np.flatnonzero(np.abs(score * 1e9 - np.floor(score * 1e9) - 0.5) < 1e-4):
+        units[k] = float(Decimal(repr(float(score[k]))).quantize(Decimal("1e-9"), ROUND_HALF_UP).scaleb(9))
+    return np.where(np.isnan(score), np.inf, units)
+
+
+def _two(row: np.ndarray, score: np.ndarray, rank: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the best of every row, then of the best of another name; rows stand together."""
+    worth = np.where(np.isnan(score), np.inf, score)
+    left = np.arange(len(row))
+    for again in (False, True):
+        if not len(left):
+            return
+        begins = np.flatnonzero(np.diff(row[left], prepend=-1))
+        top = np.repeat(np.maximum.reduceat(worth[left], begins), np.diff(np.append(begins, len(left))))
+        near = left[worth[left] >= top - 2e-9]
+        near = near[np.lexsort((rank[near], -_nine(score[near]), row[near]))]
+        best = near[np.flatnonzero(np.diff(row[near], prepend=-1))]
+        yield best
+        if not again:
+            taken = np.full(int(row.max()) + 1, -1, dtype=np.int64)
+            taken[row[best]] = rank[best]
+            left = left[rank[left] != taken[row[left]]]
 
 
 def node_shingles(nodes: DataFrame) -> DataFrame:

@@ -153,8 +153,7 @@ def card_fast_probe(spark: SparkSession, where: str) -> DataFrame:
 
 
 def card_slow_probe(spark: SparkSession, where: str) -> DataFrame:
-    named, classes, templates = _prints(spark, where)
-    p = fingerprint.slow_probe(named.join(classes.drop("host").hint("merge"), "klass"), templates, F.to_timestamp(F.lit(AS_OF)))
+    p = fingerprint.slow_classes(*_prints(spark, where), F.to_timestamp(F.lit(AS_OF)))
     return p.select("page", "template_id", F.round("similarity", 9).alias("similarity"), F.round("score", 6).alias("score"))
 
 

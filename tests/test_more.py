@@ -123,6 +123,20 @@ def test_alike_pages_are_not_broadcast(spark, tmp_path):
     assert (named.count(), classes.count(), templates.count()) == (3000, 2, 2) and "minhash" not in named.columns
 
 
+def test_slow_probe_takes_alike_pages_as_one(spark, tmp_path):
+    """card_slow_probe: no pages with their grams go through the driver, and a page that is a template gets the next best one."""
+    customers = spark.range(3000).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 2 AS int) AS c_nationkey", "1.0D AS c_acctbal", "'AUTO' AS c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "nation-0"), (1, "nation-1")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = rendered_queries.card_slow_probe(spark, str(tmp_path))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["page"], r["template_id"], r["similarity"]) for r in found.collect()) == sorted((str(k), str(k % 2), 1.0) for k in range(2, 3000))
+    when = datetime(2025, 1, 1)
+    pages = spark.createDataFrame([(p, "", {"a": 1.0}) for p in ("x", "y", "z", "w")] + [("v", "h", {"a": 1.0})], "page string, host string, grams map<string,double>")
+    templates = spark.createDataFrame([("x", "", {"a": 2.0}, 1, when), ("y", "", {"a": 3.0}, 1, when), ("z", "", {"b": 3.0}, 9, when)], "template_id string, host string, grams map<string,double>, observation_count int, last_seen timestamp")
+    assert {r["page"]: r["template_id"] for r in fingerprint.slow_probe(pages, templates, F.lit(datetime(2026, 1, 1))).collect()} == {"x": "y", "y": "x", "z": "x", "w": "x"}
+
+
 # ------------------------------------------------------------------------------------ stores
 
 
