@@ -230,7 +230,9 @@ def fast_classes(named: DataFrame, classes: DataFrame, templates: DataFrame, as_
 
 
 #: So many classes or templates of a host meet at once in one task, and so many classes at a time inside it.
-BLOCK, ROWS = 4096, 512
+BLOCK, ROWS = 2048, 512
+#: Matrices of so few entries are full whatever their codes.
+FULL = 1 << 20
 
 
 def slow_probe(pages: DataFrame, templates: DataFrame, as_of: Column, threshold: float = SLOW) -> DataFrame:
@@ -262,6 +264,9 @@ def slow_classes(named: DataFrame, classes: DataFrame, templates: DataFrame, as_
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     a = placed(left, at("n_parts"), upto("m_parts"))
     b = placed(right, at("m_parts"), upto("n_parts")).select(*right.columns, "whose", F.when(F.col("whose") == "", F.col("i")).otherwise(F.col("j")).alias("i"), F.when(F.col("whose") == "", F.col("j")).otherwise(F.col("i")).alias("j"))
+    # Tasks by number, not by bytes: few bytes are much work here.
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, min(4 * (tasks + (sizes.agg(F.sum(F.when(~alone, F.col("n_parts").cast("bigint") * F.col("m_parts")))).first()[0] or 0)), 4096))
+    a, b = (x.repartition(tasks, "whose", "i", "j") for x in (a, b))
     met = a.groupBy("whose", "i", "j").cogroup(b.groupBy("whose", "i", "j"))
     best = met.applyInArrow(lambda x, y: nearest(x, y, threshold), "klass string, template_id string, similarity double, score double")
     return _best(_shuffled(named).join(best, "klass").where(F.col("page") != F.col("template_id")))
@@ -311,11 +316,9 @@ def nearest(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
         for lo, dot in _products(here_a, here_b, len(rows), len(cols)):
             norms = norm_a[rows[lo : lo + len(dot)]][:, None] * norm_b[cols][None, :]
             alike = np.divide(dot, norms, out=np.zeros_like(dot), where=norms != 0)
-            i, j = np.nonzero(alike >= threshold)
-            likeness, j = alike[i, j], cols[j]
-            score = likeness + often[j] + lately[j]
-            for pick in _two(i, score, rank[j]):
-                out.append((rows[lo + i[pick]], j[pick], likeness[pick], score[pick]))
+            score = alike + often[cols] + lately[cols]
+            for i, j in _two(np.where(alike >= threshold, np.where(np.isnan(score), np.inf, score), -np.inf), score, rank[cols]):
+                out.append((rows[lo + i], cols[j], alike[i, j], score[i, j]))
     k, t, s, v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     return pa.table({"klass": left["klass"].take(pa.array(k)), "template_id": right["klass"].take(pa.array(t)), "similarity": pa.array(s), "score": pa.array(v, from_pandas=True)})
 
@@ -335,7 +338,7 @@ def _products(a: list[np.ndarray], b: list[np.ndarray], n: int, m: int) -> Itera
     a, b = ([c[np.isin(side[1], both)] for c in side] for side in (a, b))
     (row_a, code_a, x), (row_b, code_b, y) = ((row, np.searchsorted(both, code), value) for row, code, value in (a, b))
     often_a, often_b = np.bincount(code_a, minlength=len(both)), np.bincount(code_b, minlength=len(both))
-    dense = (often_a * often_b >= n * m / 500) | ((n + m) * len(both) <= 1 << 20)
+    dense = (often_a * often_b >= n * m / 500) | ((n + m) * len(both) <= FULL)
     column = np.cumsum(dense) - 1
     width = int(dense.sum())
     full_a, full_b = dense[code_a], dense[code_b]
@@ -343,18 +346,18 @@ def _products(a: list[np.ndarray], b: list[np.ndarray], n: int, m: int) -> Itera
     starts = np.searchsorted(code_b[rest], np.arange(len(both)))
 
     def matrix(rows, columns, values, height, lo):
-        out = np.zeros((height, min(BLOCK // 2, width - lo)))
+        out = np.zeros((height, min(BLOCK, width - lo)))
         inside = (columns >= lo) & (columns < lo + out.shape[1])
         out[rows[inside], columns[inside] - lo] = values[inside]
         return out
 
-    right = [matrix(row_b[full_b], column[code_b[full_b]], y[full_b], m, lo) for lo in ([0] if 0 < width <= BLOCK // 2 else [])]
+    right = [matrix(row_b[full_b], column[code_b[full_b]], y[full_b], m, lo) for lo in ([0] if 0 < width <= BLOCK else [])]
     for first in range(0, n, ROWS):
         height = min(ROWS, n - first)
         part = slice(*np.searchsorted(row_a, [first, first + height]))
         r, c, v, f = row_a[part] - first, code_a[part], x[part], full_a[part]
         dot = np.zeros((height, m))
-        for lo in range(0, width, BLOCK // 2):
+        for lo in range(0, width, BLOCK):
             other = right[0] if right else matrix(row_b[full_b], column[code_b[full_b]], y[full_b], m, lo)
             dot += matrix(r[f], column[c[f]], v[f], height, lo) @ other.T
         r, c, v = r[~f], c[~f], v[~f]
@@ -373,23 +376,21 @@ def _nine(score: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(score), np.inf, units)
 
 
-def _two(row: np.ndarray, score: np.ndarray, rank: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the best of every row, then of the best of another name; rows stand together."""
-    worth = np.where(np.isnan(score), np.inf, score)
-    left = np.arange(len(row))
+def _two(worth: np.ndarray, score: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and column of the best of every row that has one, then of the best of another name; ``worth`` is used up."""
     for again in (False, True):
-        if not len(left):
-            return
-        begins = np.flatnonzero(np.diff(row[left], prepend=-1))
-        top = np.repeat(np.maximum.reduceat(worth[left], begins), np.diff(np.append(begins, len(left))))
-        near = left[worth[left] >= top - 2e-9]
-        near = near[np.lexsort((rank[near], -_nine(score[near]), row[near]))]
-        best = near[np.flatnonzero(np.diff(row[near], prepend=-1))]
-        yield best
+        top = worth.max(axis=1)
+        some = np.flatnonzero(top > -np.inf)
+        i, j = np.nonzero(worth[some] >= top[some, None] - 2e-9)
+        i = some[i]
+        order = np.lexsort((rank[j], -_nine(score[i, j]), i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        yield i[first], j[first]
         if not again:
-            taken = np.full(int(row.max()) + 1, -1, dtype=np.int64)
-            taken[row[best]] = rank[best]
-            left = left[rank[left] != taken[row[left]]]
+            taken = np.full(len(worth), -1, dtype=np.int64)
+            taken[i[first]] = rank[j[first]]
+            worth[rank[None, :] == taken[:, None]] = -np.inf
 
 
 def node_shingles(nodes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from .model import STRUCTURAL_TAGS
 from .operators import evaluate, extract, features, fingerprint, learn, mining, skeleton, stores
 from .plans import schema_drift
 from .sources import pages as page_sources
-from .sources.tables import read
+from .sources.tables import read, spread
 from .streaming import jobs
 
 AS_OF = "2026-01-01 00:00:00"
@@ -116,13 +116,13 @@ def page_outlines(spark: SparkSession, where: str) -> DataFrame:
     return skeleton.outlines(_pages(spark, where), "file_id", "html")
 
 
-def page_fingerprints(spark: SparkSession, where: str) -> DataFrame:
-    return fingerprint.fingerprints(_pages(spark, where), "file_id", "host", "html")
+def page_fingerprints(spark: SparkSession, where: str, even: bool = False) -> DataFrame:
+    return fingerprint.fingerprints(spread(_pages(spark, where)) if even else _pages(spark, where), "file_id", "host", "html")
 
 
 def _probe_sides(spark: SparkSession, where: str) -> tuple[DataFrame, DataFrame]:
-    prints = stored(page_fingerprints(spark, where).dropDuplicates(["page"]))  # both sides read it
-    dated = prints.join(_pages(spark, where).groupBy(F.col("file_id").alias("page")).agg(F.min("crawled_at").alias("last_seen")), "page")
+    prints = stored(page_fingerprints(spark, where, True).dropDuplicates(["page"]))  # both sides read it
+    dated = prints.hint("merge").join(_pages(spark, where).groupBy(F.col("file_id").alias("page")).agg(F.min("crawled_at").alias("last_seen")), "page")
     oldest = dated.groupBy("host", "minhash").agg(F.min_by(F.struct("page", "minhash", "bands", "grams", "norm", "last_seen"), F.struct("last_seen", "page")).alias("t"), F.count("*").alias("observation_count"))
     return prints, oldest.select(F.col("t.page").alias("template_id"), "host", "t.minhash", "t.bands", "t.grams", "observation_count", "t.last_seen")
 

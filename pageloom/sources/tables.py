@@ -12,10 +12,10 @@ def read(spark: SparkSession, where: str, table: str) -> DataFrame:
     """A table of a folder. A table of long texts that the scan gives in fewer parts than there are cores is spread over
     all of them; with as many parts or more nothing is moved."""
     df = spark.read.parquet(f"{where}/{table}.parquet")
-    return spread(df) if table in HEAVY else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows that are costly in Python in as many parts as there are cores, at least."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows shuffled over all cores at least: a file of a single row group is one task, however many parts its scan has."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))

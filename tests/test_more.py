@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom import rendered_queries
+from pageloom import queries, rendered_queries
 from pageloom.checkpoints import counted
 from pageloom.functions.codecs import grams, read_vector, slots, stored_bands, write_signature, write_vector
 from pageloom.operators import enrich, evaluate, fingerprint, learn, mining, skeleton, stores
@@ -137,6 +137,37 @@ def test_slow_probe_takes_alike_pages_as_one(spark, tmp_path):
     assert {r["page"]: r["template_id"] for r in fingerprint.slow_probe(pages, templates, F.lit(datetime(2026, 1, 1))).collect()} == {"x": "y", "y": "x", "z": "x", "w": "x"}
 
 
+def test_slow_probe_of_a_host_of_alike_pages(spark, monkeypatch, tmp_path):
+    """slow_probe: pairs of pages are no rows, a host of several blocks gives what brute force gives, and a file of one row group is many tasks."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, (90, 12)).astype(float) + np.array([9.0] + [0.0] * 11)
+    prints = [(f"p{k:02d}", "" if k < 60 else f"h{k % 4}", {f"g{i}": float(v) for i, v in enumerate(row) if v}) for k, row in enumerate(x)]
+    pages = spark.createDataFrame(prints, "page string, host string, grams map<string,double>")
+    when = datetime(2025, 1, 1)
+    templates = spark.createDataFrame([(*p, k % 5, when + timedelta(days=k)) for k, p in enumerate(prints)], "template_id string, host string, grams map<string,double>, observation_count int, last_seen timestamp")
+    as_of = datetime(2026, 1, 1)
+    monkeypatch.setattr(fingerprint, "BLOCK", 7)
+    found = fingerprint.slow_probe(pages, templates, F.lit(as_of), 0.9)
+    assert "map_zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+    score = lambda sim, k: round(sim + 0.02 * np.log1p(k % 5) + 0.05 * np.exp(-(as_of - when - timedelta(days=k)).total_seconds() / 86400 / 30), 9)
+    cosine, want = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)), {}
+    for k, (page, host, _) in enumerate(prints):
+        if options := [(-score(cosine[k, i], i), other) for i, (other, h, _) in enumerate(prints) if h == host and i != k and cosine[k, i] >= 0.9]:
+            want[page] = min(options)[1]
+    assert {r["page"]: r["template_id"] for r in found.collect()} == want and len(want) > 40
+    side = lambda v: list(zip(*[(r, c, w) for r, row in enumerate(v) for c, w in enumerate(row) if w]))
+    v, w = rng.integers(0, 2, (40, 30)) * 2.0, np.where(rng.random((50, 30)) < 0.01, 3.0, 0.0) + np.eye(50, 30)
+    for limit in (3, 4096):
+        monkeypatch.setattr(fingerprint, "BLOCK", limit)
+        monkeypatch.setattr(fingerprint, "ROWS", 16)
+        monkeypatch.setattr(fingerprint, "FULL", 0)
+        a, b = ([np.array(c) for c in side(m)] for m in (v, w))
+        assert (np.vstack([d for _, d in fingerprint._products(a, b, 40, 50)]) == v @ w.T).all()
+    one = spark.range(64, numPartitions=1).selectExpr("id AS file_id", "'h' AS host", "'<p>' AS html")
+    monkeypatch.setattr(queries, "_pages", lambda *_: one)
+    assert queries.page_fingerprints(spark, "", True).rdd.glom().map(len).filter(bool).count() > 1
+
+
 # ------------------------------------------------------------------------------------ stores
 
 
