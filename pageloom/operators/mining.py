@@ -144,8 +144,9 @@ def candidates(observations: DataFrame, existing: DataFrame | None = None) -> Da
 
 def totals(observations: DataFrame, found: DataFrame) -> DataFrame:
     """``clusters, mined, hosts, candidates``: what one mining pass looked at and what it gave."""
-    sizes = clusters(observations).agg(F.count("*").alias("clusters"), F.sum(F.when(F.col("n") >= LEAST, 1).otherwise(0)).alias("mined"))
-    hosts = observations.agg(F.countDistinct("host").alias("hosts"))
+    parts = stored(cluster_hosts(observations))  # the observations are read once, for clusters and hosts
+    sizes = parts.groupBy(*CLUSTER).agg(F.sum("n").alias("n")).agg(F.count("*").alias("clusters"), F.sum(F.when(F.col("n") >= LEAST, 1).otherwise(0)).alias("mined"))
+    hosts = parts.agg(F.countDistinct("host").alias("hosts"))
     return sizes.crossJoin(hosts).crossJoin(found.agg(F.count("*").alias("candidates")))  # one row each
 
 

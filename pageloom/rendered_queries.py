@@ -207,7 +207,7 @@ def card_candidates(spark: SparkSession, where: str) -> DataFrame:
 
 def card_mining_totals(spark: SparkSession, where: str) -> DataFrame:
     """What a periodic mining pass reports."""
-    observations = _card_rules(spark, where)
+    observations = stored(_card_rules(spark, where))  # read again for candidates and totals
     return mining.totals(observations, mining.candidates(observations))
 
 

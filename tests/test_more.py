@@ -168,6 +168,16 @@ def test_slow_probe_of_a_host_of_alike_pages(spark, monkeypatch, tmp_path):
     assert queries.page_fingerprints(spark, "", True).rdd.glom().map(len).filter(bool).count() > 1
 
 
+def test_mining_totals_parse_every_page_once(spark, tmp_path):
+    """card_mining_totals: the plan of the totals reads stored observations and no longer the pages, each of which was parsed again for every count."""
+    customers = spark.range(40).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 2 AS int) AS c_nationkey", "1.0D AS c_acctbal", "'AUTO' AS c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "nation-0"), (1, "nation-1")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    found = rendered_queries.card_mining_totals(spark, str(tmp_path))
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(found.first()) == (5, 5, 2, 10)
+
+
 # ------------------------------------------------------------------------------------ stores
 
 
